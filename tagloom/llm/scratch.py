@@ -1,0 +1,73 @@
+"""Intermediate tables in the folder that all machines share.
+
+Lineage is cut with written Parquet tables, so a lost executor costs a re-read
+and never a recomputation.  The folder is spark.checkpoint.dir; a temporary one
+is made only where that setting is absent, as in tests.
+"""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: dict[str, SparkSession] = {}
+
+
+def base_dir(spark: SparkSession) -> str:
+    """The shared folder named by the session, else one made for this process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="tagloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+class Scratch:
+    """Tables of one operator call.
+
+    ``save`` writes a frame and returns the table read back; ``drop`` deletes
+    tables that later steps no longer read.  What is left goes at exit, since
+    the frame that an operator returns still reads it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.root = f"{base_dir(spark)}/tagloom/{name}-{uuid.uuid4().hex[:12]}"
+        _made[self.root] = spark
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")  # shuffle files go once the table stands
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            _delete(self.spark, f"{self.root}/{name}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for root, spark in list(_made.items()):
+        if spark.sparkContext._jsc is not None:
+            try:
+                _delete(spark, root)
+            except Exception:  # noqa: BLE001  the JVM may be gone at exit; nothing is left to do then
+                return

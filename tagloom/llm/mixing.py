@@ -96,3 +96,27 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     return outside.unionByName(inside).select(
         "doc_id", "source", "size", "source_size", "target", F.col("epochs").cast("int").alias("epochs"), (F.col("epochs") * F.col("size") + F.col("more")).cast("long").alias("taken")
     )
+
+
+def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
+    """The mixture itself: each row of docs as often as its epochs say, and the last, partial epoch's first words.
+
+    All columns stay; a shortened text has its words joined by one space (and
+    ``n_chars`` counted anew where it exists).  Documents of which the mix takes
+    nothing are gone.
+    """
+    taken = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("__taken"))  # type: ignore[arg-type]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
+    named = docs.withColumn("__size", size).alias("d")
+    t = taken.where("__taken > 0").alias("t")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("t.source")) & (F.col("d.__size") == F.col("t.size"))
+    joined = named.join(t, same).select("d.*", "__taken")
+    whole, part = F.floor(F.col("__taken") / F.col("__size")), F.col("__taken") % F.col("__size")
+    first_words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), 1, F.greatest(F.lit(1), part.cast("int"))), " ")
+    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    spread = joined.withColumn("__words", F.explode(copies))
+    out = spread.withColumn("text", F.when(F.col("__words") > 0, first_words).otherwise(F.col("text").cast("string")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__words") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -227,3 +227,19 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     return prints.join(mapped, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each near-duplicate group of docs, all columns as they were.
+
+    It is that of the smallest doc_id; among rows alike in doc_id, that of the
+    least text hash, and of fully repeated rows one.  Rows with a null doc_id
+    come after all others.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    heads = scratch.save(found.select("component_id").distinct(), "heads")
+    # a group's head is the row whose id is the group's; of the few rows with that id, one
+    mine = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("component_id")), "left_semi")
+    return mine.withColumn("__text", F.xxhash64(text)).dropDuplicates(["doc_id"]).drop("__text")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat_repair, mixing, packing, pii, quality_rules, simhash_trie, substring_dedup, topk_search
+from tagloom.llm import chat_repair, mixing, packing, pii, quality_rules, simhash_trie, substring_dedup, topk_search, warc_fixity, weak_labels
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_weak_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(_table(spark, sf_dir, "documents"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
 
@@ -40,6 +44,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica in which every 50th page has another first character."""
+    pages = _table(spark, sf_dir, "pages")
+    html = F.when(F.col("page_id") % 50 == 7, F.concat(F.lit("?"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
+    return warc_fixity.check_replica(pages, pages.withColumn("html", html))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -50,7 +61,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_simhash_near_dedup, op3_quality_rules, op5_personal_data, op6_chat_repair, op7_best_fit_packing, op9_substring_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_topk_search, op2_simhash_near_dedup, op3_quality_rules, op4_weak_label_classifier, op5_personal_data, op6_chat_repair, op7_best_fit_packing, op8_warc_fixity, op9_substring_dedup, op10_source_mixing)}
 
 
 OP1_SQL = """
@@ -69,6 +80,26 @@ WITH usable AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(floor(page_id / 2048.0) AS BIGINT) AS archive, coalesce(url, '') AS url, coalesce(html, '') AS html,
+         md5(CAST(page_id AS VARCHAR) || '|' || coalesce(url, '')) AS h
+  FROM pages
+), r AS (
+  SELECT page_id, archive, page_id % 50 <> 7 AS intact,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+         || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:'
+         || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) || '>' || chr(13) || chr(10)
+         || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
+         || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM p
+), s AS (
+  SELECT page_id, archive, intact, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256 FROM r
+)
+SELECT page_id, archive, CAST(row_number() OVER w - 1 AS BIGINT) AS leaf, CAST(sum(length) OVER w - length AS BIGINT) AS "offset", length, sha256, intact
+FROM s WINDOW w AS (PARTITION BY archive ORDER BY page_id, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL}
+    return {"op1_topk_search": OP1_SQL, "op8_warc_fixity": OP8_SQL}

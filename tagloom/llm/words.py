@@ -51,17 +51,26 @@ class Words:
     """The words of some texts: ``doc`` is each word's text, ``first[d]`` the first word of text d."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        self.raw = b" ".join(texts) + b" "
-        self.data = np.frombuffer(self.raw, np.uint8)
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        self._cut(data, np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))))
+
+    @classmethod
+    def mapped(cls, data: np.ndarray, ends: np.ndarray) -> Words:
+        """Words of texts that stand one after the other in ``data``, each ended by a separator before ``ends[d]``."""
+        own = cls.__new__(cls)
+        own._cut(data, ends)
+        return own
+
+    def _cut(self, data: np.ndarray, ends: np.ndarray) -> None:
+        self.data, self.ends = data, ends
         gap = _SEPARATOR[self.data]
         edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
         if not gap[0]:
             edge = np.concatenate((np.zeros(1, edge.dtype), edge))
         self.start, self.end = edge[0::2], edge[1::2]
-        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         self.first = np.concatenate((np.zeros(1, np.int64), np.searchsorted(self.start, ends)))
         self.count = np.diff(self.first)
-        self.doc = np.repeat(np.arange(len(texts)), self.count)
+        self.doc = np.repeat(np.arange(len(ends)), self.count)
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word: its bytes' numbers weighed by powers of an odd base."""

@@ -3,8 +3,8 @@
 Overlapping heuristic labellers vote low, high or nothing on each document, for
 two questions: is it junk, is it abusive.  Votes of all documents are counted
 per pattern (at most 3 to the number of labellers rows); expectation-
-maximisation over those counts estimates each labeller's accuracy and so each
-pattern's posterior.  The posteriors of a bounded sample of documents
+maximisation over those counts estimates each labeller's accuracy, per kind
+of fault, and so each pattern's posterior.  The posteriors of a bounded sample of documents
 (``max_training``, by hash of the id) train a hashed linear scorer, which then
 judges every document.
 """
@@ -24,14 +24,16 @@ from tagloom.llm.words import Words, slices, texts_of
 
 #: Common insults, as two overlapping lists of names and of qualities.
 INSULT_NAMES = ("idiot", "idiots", "moron", "morons", "loser", "losers", "scum", "trash", "clown", "clowns", "fool", "fools", "imbecile", "jerk", "freak", "vermin", "garbage", "dumbass", "bastard", "stupid")
-INSULT_QUALITIES = ("stupid", "pathetic", "worthless", "disgusting", "dumb", "ugly", "useless", "revolting", "despicable", "filthy", "idiotic", "moronic", "hateful", "vile", "brainless", "trash", "scum")
+INSULT_QUALITIES = ("stupid", "pathetic", "worthless", "disgusting", "dumb", "ugly", "useless", "revolting", "despicable", "filthy", "idiotic", "moronic", "hateful", "brainless", "trash", "scum")
 
 ABSTAIN, LOW, HIGH = 0, 1, 2
 QUESTIONS = ("junk", "abuse")
 BITS = 18
+#: Statistics whose order of magnitude is a feature.
+OCTAVES = ("symbol_share", "upper_share", "bang_share", "repeat_share", "dup_line_share", "distinct_share", "stop_share", "long_word_share", "insults")
 MAX_TRAINING = 6_000
 #: Features that fewer sampled documents hold are left out of the scorer.
-MIN_HOLDERS = 8
+MIN_HOLDERS = 15
 DROP_ABOVE = 0.6
 
 _LOWER = np.full(256, 0x20, np.uint8)
@@ -68,10 +70,10 @@ def votes(texts: list[bytes]) -> dict[str, np.ndarray]:
         vote(s["symbol_share"] > 0.02, s["symbol_share"] < 0.004),
         vote(s["upper_share"] > 0.3, (s["upper_share"] < 0.12) & ~few),
         vote(s["bang_share"] > 0.02),
-        vote(s["repeat_share"] > 0.2, s["repeat_share"] < 0.02),
+        vote(s["repeat_share"] > 0.35, s["repeat_share"] < 0.02),
         vote((s["distinct_share"] < 0.2) & ~few, s["distinct_share"] > 0.35),
-        vote(s["dup_line_share"] > 0.3, s["dup_line_share"] == 0),
-        vote(few, s["n_words"] > 40),
+        vote(s["dup_line_share"] > 0.4, s["dup_line_share"] == 0),
+        vote((s["digit_share"] > 0.3) | (s["n_words"] < 3), s["n_words"] > 40),
         vote((s["stop_share"] < 0.003) & ~few, s["stop_share"] > 0.008),
         vote(s["long_word_share"] > 0.1, s["long_word_share"] < 0.02),
     ]
@@ -91,30 +93,38 @@ def unpack(p: np.ndarray, labellers: int) -> np.ndarray:
 
 
 LABELLERS = {"junk": 9, "abuse": 4}
+#: Kinds of low documents, by the labellers that look for each.
+KINDS = {"junk": ((0,), (1, 2), (3, 4, 5), (6, 7, 8)), "abuse": ((0, 1, 2, 3),)}
 
 
-def posterior(patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: int = 60) -> np.ndarray:
-    """P(low) of each vote pattern, by expectation-maximisation from the majority vote.
+def posterior(patterns: np.ndarray, counts: np.ndarray, question: str, rounds: int = 60) -> np.ndarray:
+    """P(low) of each vote pattern, by expectation-maximisation.
 
-    Each labeller has its own chance of each vote given each truth; votes are
-    independent given the truth.
+    The truth is "good" or one of the kinds of low; each labeller has its own
+    chance of each vote given each truth, and votes are independent given it.
+    The start gives a pattern to the kinds whose labellers vote low; a pattern
+    without such a vote stays good.
     """
+    labellers, kinds = LABELLERS[question], KINDS[question]
     v, n = unpack(patterns, labellers), counts.astype(np.float64)
-    low, high = (v == LOW).sum(1), (v == HIGH).sum(1)
-    p = np.clip((low + 0.1) / (low + high + 0.4), 0.02, 0.98)
+    low = np.stack([(v[:, list(g)] == LOW).sum(1) for g in kinds], 1).astype(np.float64)
+    clean = low.sum(1) == 0
+    p = np.concatenate((0.3 ** low.sum(1, keepdims=True), low), 1)
+    p /= p.sum(1, keepdims=True)
     for _ in range(rounds):
-        prior = np.clip((n * p).sum() / n.sum(), 0.005, 0.5)
-        log_odds = np.full(len(p), np.log(prior / (1 - prior)))
+        weight = n[:, None] * p
+        log_p = np.tile(np.log(weight.sum(0) + 0.5), (len(v), 1))
         for k in range(labellers):
-            a = np.bincount(v[:, k], weights=n * p, minlength=3) + 0.5
-            b = np.bincount(v[:, k], weights=n * (1 - p), minlength=3) + 0.5
-            log_odds += np.log(a / a.sum())[v[:, k]] - np.log(b / b.sum())[v[:, k]]
-        p = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
-    return p
+            chance = np.stack([np.bincount(v[:, k], weights=weight[:, c], minlength=3) + 0.5 for c in range(p.shape[1])], 1)
+            log_p += np.log(chance / chance.sum(0))[v[:, k]]
+        p = np.exp(log_p - log_p.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[clean] = np.eye(p.shape[1])[0]
+    return 1 - p[:, 0]
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, feature, value): presence of each plain word, and the share of words of each shape."""
+    """(document, feature, value): presence of each plain word, the share of words of each shape, and each statistic's octave."""
     plain = _plain(texts)
     own = (plain.hashes() >> np.uint64(64 - BITS + 1)).astype(np.int64)
     key = np.unique(plain.doc * (1 << BITS) + own)
@@ -130,7 +140,15 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key, many = np.unique(shapes.doc * (1 << BITS) + kind, return_counts=True)
     shape_doc = key >> BITS
     share = 6.0 * many / shapes.count[shape_doc]
-    return np.concatenate((word_doc, shape_doc)), np.concatenate((word, key & ((1 << BITS) - 1))), np.concatenate((np.ones(len(word)), share))
+
+    s = statistics(texts) | {"insults": (_hits(plain, INSULT_NAMES) + _hits(plain, INSULT_QUALITIES)) / np.maximum(plain.count, 1)}
+    octave = np.stack([np.floor(np.log2(1 + 4096 * s[k])) for k in OCTAVES], 1).astype(np.int64)
+    stat = (1 << BITS) - 16 * len(OCTAVES) + 16 * np.arange(len(OCTAVES)) + np.minimum(octave, 15)
+    return (
+        np.concatenate((word_doc, shape_doc, np.repeat(np.arange(len(texts)), len(OCTAVES)))),
+        np.concatenate((word, key & ((1 << BITS) - 1), stat.ravel())),
+        np.concatenate((np.ones(len(word)), share, np.full(stat.size, 2.0))),
+    )
 
 
 def fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.ndarray, steps: int = 300, rate: float = 0.3, l2: float = 1e-4) -> np.ndarray:
@@ -195,7 +213,7 @@ def train(docs: DataFrame, scratch: Scratch, max_training: int = MAX_TRAINING) -
         counted = voted.groupBy(q).count().collect()  # at most 3 ** LABELLERS[q] rows
         p, n = np.array([r[q] for r in counted], np.int64), np.array([r["count"] for r in counted], np.int64)
         order = np.argsort(p)
-        truth[q] = dict(zip(p[order].tolist(), posterior(p[order], n[order], LABELLERS[q]).tolist(), strict=True)) if len(p) else {}
+        truth[q] = dict(zip(p[order].tolist(), posterior(p[order], n[order], q).tolist(), strict=True)) if len(p) else {}
     ids = voted.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training)
     sample = _own(docs).join(ids, "doc_id", "left_semi").limit(2 * max_training).repartition(1)
     rows = sample.mapInArrow(_trainer(truth), "question string, weights binary").collect()

@@ -57,7 +57,8 @@ def targets(per_source: DataFrame, weights: Sequence[float], share: float, max_e
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("source_size").over(every) * float(share)
     rows = rows.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    rows = rows.withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct(F.col("cap") / F.col("w"), F.col("level").alias("level")))).over(every)["level"])
+    rows = rows.withColumn("place", F.row_number().over(by_ratio))
+    rows = rows.withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct("place", "level"))).over(every)["level"])
     rows = rows.withColumn("target", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     return rows.withColumn("epochs", epochs).select(

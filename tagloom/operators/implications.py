@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions.lineage import cut
+
 MAX_DEPTH = 10
 _SUFFIX = r"\(([^)]+)\)$"
 _VARIANT = r"^(.+?)_\([^)]+\)_\((.+?)\)$"
@@ -46,13 +48,14 @@ def closure(rules: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 
     rules: (source_tag, implied_tag); cycles end, since a pair enters once.
     """
-    step = rules.where("source_tag <> implied_tag").select("source_tag", "implied_tag").distinct()
+    step = cut(rules.where("source_tag <> implied_tag").select("source_tag", "implied_tag").distinct())
     reached = step.withColumn("depth", F.lit(1))
     frontier = reached
     for depth in range(2, max_depth + 1):
         onward = step.select(F.col("source_tag").alias("implied_tag"), F.col("implied_tag").alias("next"))
         fresh = frontier.join(onward, "implied_tag").select("source_tag", F.col("next").alias("implied_tag")).where("source_tag <> implied_tag").distinct()
-        fresh = fresh.join(reached, ["source_tag", "implied_tag"], "left_anti").withColumn("depth", F.lit(depth)).cache()
+        fresh = fresh.join(reached, ["source_tag", "implied_tag"], "left_anti").withColumn("depth", F.lit(depth))
+        fresh = cut(fresh)
         if not fresh.head(1):
             break
         reached, frontier = reached.unionByName(fresh), fresh

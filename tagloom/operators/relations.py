@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions.lineage import cut
+
 
 def normalised(edges: DataFrame) -> DataFrame:
     """Edges (a, b, kind, source) with a < b, but for parent_child, which keeps its direction (OP-214)."""
@@ -41,13 +43,14 @@ def family(items: DataFrame, edges: DataFrame, item_id: int) -> DataFrame:
 
 def descendants(edges: DataFrame, max_depth: int = 20) -> DataFrame:
     """(ancestor, descendant, depth) over parent_child edges, least depth (OP-083, OP-218)."""
-    step = edges.where("kind = 'parent_child'").select(F.col("a").alias("ancestor"), F.col("b").alias("descendant")).distinct()
+    step = cut(edges.where("kind = 'parent_child'").select(F.col("a").alias("ancestor"), F.col("b").alias("descendant")).distinct())
     reached = step.withColumn("depth", F.lit(1))
     frontier = reached
     for depth in range(2, max_depth + 1):
         onward = step.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("next"))
         fresh = frontier.join(onward, "descendant").select("ancestor", F.col("next").alias("descendant")).distinct()
-        fresh = fresh.join(reached, ["ancestor", "descendant"], "left_anti").withColumn("depth", F.lit(depth)).cache()
+        fresh = fresh.join(reached, ["ancestor", "descendant"], "left_anti").withColumn("depth", F.lit(depth))
+        fresh = cut(fresh)
         if not fresh.head(1):
             break
         reached, frontier = reached.unionByName(fresh), fresh

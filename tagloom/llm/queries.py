@@ -100,6 +100,28 @@ SELECT page_id, archive, CAST(row_number() OVER w - 1 AS BIGINT) AS leaf, CAST(s
 FROM s WINDOW w AS (PARTITION BY archive ORDER BY page_id, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """
 
+_NEXT = " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER d" for k in range(1, 13))])
+OP9_SQL = f"""
+WITH t AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS words FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word FROM t
+), g AS (
+  SELECT doc_id, pos, {_NEXT} AS passage FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), least_doc AS (
+  SELECT passage, min(doc_id) AS lo FROM g WHERE passage IS NOT NULL GROUP BY passage
+), starts AS (
+  SELECT g.doc_id, g.pos FROM g JOIN least_doc m ON m.passage = g.passage WHERE m.lo < g.doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, pos + k AS pos FROM starts CROSS JOIN (SELECT unnest(range(0, 13)) AS k)
+), kept AS (
+  SELECT w.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY w.pos) AS text
+  FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.pos = w.pos WHERE gone.pos IS NULL GROUP BY 1
+)
+SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL, "op8_warc_fixity": OP8_SQL}
+    return {"op1_topk_search": OP1_SQL, "op8_warc_fixity": OP8_SQL, "op9_substring_dedup": OP9_SQL}

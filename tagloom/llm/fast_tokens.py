@@ -10,19 +10,17 @@ other texts go through the library whole.
 
 from __future__ import annotations
 
-import sys
-import types
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 
-from tagloom.llm.words import mix
+from tagloom.llm.words import mix, per_process
 
 _LIMIT = 0x300
 _SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
 #: Pieces kept per worker process; the store starts anew beyond it, so memory is bounded and results never change.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -150,10 +148,7 @@ class _Store:
 
 def store(path: str) -> _Store:
     """This process's store for a tokenizer file; Python workers keep it between tasks."""
-    shelf = sys.modules.setdefault("_tagloom_stores", types.ModuleType("_tagloom_stores"))
-    found = getattr(shelf, "stores", None)
-    if found is None:
-        found = shelf.stores = {}
-    if path not in found:
-        found[path] = _Store(path)
-    return found[path]
+    stores = per_process("token_stores", dict)
+    if path not in stores:
+        stores[path] = _Store(path)
+    return stores[path]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.fast_tokens import store
 from tagloom.llm.scratch import Scratch
-from tagloom.llm.words import slices, texts_of
+from tagloom.llm.words import slices
 
 CAPACITY = 2048
 TAIL_ID = 0
@@ -148,10 +148,9 @@ def _pieces(tokenizer: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, part = store(tokenizer), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()  # type: ignore[union-attr]
         for b in batches:
-            texts = texts_of(b.column(1))
-            for at, to in slices(texts):
+            for at, _, texts in slices(b.column(1)):
                 doc, piece, start, length, crc = [], [], [], [], []
-                for d, ids in enumerate(encoder.encode([t.decode("utf-8", "replace") for t in texts[at:to]])):
+                for d, ids in enumerate(encoder.encode([t.decode("utf-8", "replace") for t in texts])):
                     raw = np.append(ids, np.uint32(TAIL_ID)).astype("<u4").tobytes()
                     for k, s in enumerate(range(0, len(raw), 4 * capacity)):
                         own = raw[s : s + 4 * capacity]

@@ -10,14 +10,14 @@ than their length.  Positions are code points.
 from __future__ import annotations
 
 import re
-import sys
-import types
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.llm.words import per_process, slices
+
 #: Kinds in their order; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "account", "secret", "address")
 BASE = KINDS[:4]
@@ -53,19 +53,16 @@ def iban(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
-def _automaton():  # noqa: ANN202  built once per process
+def _build():  # noqa: ANN202
     import ahocorasick
 
-    shelf = sys.modules.setdefault("_tagloom_anchors", types.ModuleType("_tagloom_anchors"))
-    if not hasattr(shelf, "found"):
-        a = ahocorasick.Automaton()
-        anchors = {c: "digit" for c in "0123456789"} | {"@": "at", "+": "plus", "://": "scheme"}
-        anchors |= dict.fromkeys(ACCOUNT_CUES, "account") | dict.fromkeys(SECRET_CUES, "secret")
-        for text, kind in anchors.items():
-            a.add_word(text, kind)
-        a.make_automaton()
-        shelf.found = a
-    return shelf.found
+    a = ahocorasick.Automaton()
+    anchors = {c: "digit" for c in "0123456789"} | {"@": "at", "+": "plus", "://": "scheme"}
+    anchors |= dict.fromkeys(ACCOUNT_CUES, "account") | dict.fromkeys(SECRET_CUES, "secret")
+    for text, kind in anchors.items():
+        a.add_word(text, kind)
+    a.make_automaton()
+    return a
 
 
 def _dotted_quads(text: str, at: int, end: int) -> Iterator[Span]:
@@ -88,7 +85,7 @@ def spans(text: str | None) -> list[Span]:
         return []
     found: list[Span] = []
     mail_end = ip_end = card_end = 0
-    for last, kind in _automaton().iter(text):
+    for last, kind in per_process("anchors", _build).iter(text):
         if kind == "digit":
             if last >= ip_end:
                 ip_end = _DOTTED.match(text, last).end()  # type: ignore[union-attr]
@@ -147,13 +144,9 @@ def redacted(text: str | None) -> str | None:
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _texts(column: pa.Array) -> list[str | None]:
-    return column.cast(pa.large_string()).to_pylist()
-
-
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [[{"kind": k, "start": s, "end": e} for s, k, e in spans(t)] for t in _texts(b.column(1))]
+        rows = [[{"kind": k, "start": s, "end": e} for s, k, e in spans(t.decode())] for _, _, texts in slices(b.column(1)) for t in texts]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, _SPANS)], ["doc_id", "spans"])
 
 
@@ -191,7 +184,11 @@ def redact(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = list(b.columns)
-            columns[place] = pa.array([redacted(t) for t in _texts(b.column(place))], b.schema.field(place).type)
+            kind, parts = b.schema.field(place).type, []
+            for at, to, texts in slices(b.column(place)):
+                known = b.column(place).slice(at, to - at).is_valid().to_pylist()
+                parts.append(pa.array([redacted(t.decode()) if k else None for t, k in zip(texts, known, strict=True)], kind))
+            columns[place] = pa.concat_arrays(parts) if parts else pa.array([], kind)
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
     out = docs.mapInArrow(run, docs.schema)

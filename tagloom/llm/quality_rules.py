@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.words import Words, grams, mix, slices, texts_of
+from tagloom.llm.words import Words, grams, mix, slices
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -169,9 +169,8 @@ def _measured(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = texts_of(b.column(1))
-            for at, to in slices(texts):
-                s = statistics(texts[at:to])
+            for at, to, texts in slices(b.column(1)):
+                s = statistics(texts)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *(pa.array(s[k].astype(np.float64)) for k in FEATURES)], ["doc_id", *FEATURES])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -197,9 +196,8 @@ def _judge(trees: Trees | None, reject_above: float) -> Callable[[Iterator[pa.Re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = texts_of(b.column(b.schema.get_field_index("text")))
-            for at, to in slices(texts):
-                s = statistics(texts[at:to])
+            for at, to, texts in slices(b.column(b.schema.get_field_index("text"))):
+                s = statistics(texts)
                 failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
                 low = np.zeros(to - at) if trees is None else trees.probability(np.stack([s[k] for k in FEATURES], 1).astype(np.float64))
                 kept = ~failed & (low <= reject_above)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.components import components
 from tagloom.llm.scratch import Scratch
-from tagloom.llm.words import texts_of
+from tagloom.llm.words import slices
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -66,7 +66,7 @@ def _majority(digests: np.ndarray, n: int) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = np.fromiter((fingerprint(t) for t in texts_of(b.column(1))), np.uint64, b.num_rows)
+        found = np.fromiter((fingerprint(t) for _, _, texts in slices(b.column(1)) for t in texts), np.uint64, b.num_rows)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
 

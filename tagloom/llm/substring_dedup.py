@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.scratch import Scratch
-from tagloom.llm.words import Words, grams, slices, texts_of
+from tagloom.llm.words import Words, grams, slices
 
 WINDOW = 13
 GRAM = 5
@@ -56,9 +56,9 @@ def _windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, key, doc_id): each anchor hash of a text once."""
     for b in batches:
-        ids, keys, texts = b.column(0), b.column(1), texts_of(b.column(2))
-        for at, to in slices(texts):
-            w = Words(texts[at:to])
+        ids, keys = b.column(0), b.column(1)
+        for at, _, texts in slices(b.column(2)):
+            w = Words(texts)
             _, q, h, _ = _windows(w)
             if not len(q):
                 continue
@@ -74,9 +74,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, key, text, shared hashes) to one row per bundle of a shared anchor."""
     for b in batches:
-        ids, keys, texts, shared = b.column(0), b.column(1), texts_of(b.column(2)), b.column(3)
-        for at, to in slices(texts):
-            w = Words(texts[at:to])
+        ids, keys, shared = b.column(0), b.column(1), b.column(3)
+        for at, to, texts in slices(b.column(2)):
+            w = Words(texts)
             p, q, h, hashes = _windows(w)
             if not len(p):
                 continue
@@ -128,25 +128,26 @@ def spans(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for b in batches:
-        texts, ranges = texts_of(b.column(1)), b.column(2).to_pylist()
-        n_words, n_removed, kept, found = [], [], [], []
-        for text, own in zip(texts, ranges, strict=True):
-            words = text.split()
-            n_words.append(len(words))
-            merged: list[tuple[int, int]] = []
-            if own:
-                a = np.array([(r["start"], r["length"]) for r in own], np.int64)
-                merged = list(zip(*(x.tolist() for x in spans(a[:, 0], a[:, 1])), strict=True))
-                for s, e in reversed(merged):
-                    del words[s:e]
-            n_removed.append(n_words[-1] - len(words))
-            kept.append(b" ".join(words).decode())
-            found.append([{"start": s, "end": e} for s, e in merged])
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept), pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-            ["doc_id", "n_words", "n_removed", "kept", "removed"],
-        )
+        for at, to, texts in slices(b.column(1)):
+            n_words, n_removed, kept, found = [], [], [], []
+            for text, own in zip(texts, b.column(2).slice(at, to - at).to_pylist(), strict=True):
+                words = text.split()
+                n_words.append(len(words))
+                merged: list[tuple[int, int]] = []
+                if own:
+                    ranges = np.array([(r["start"], r["length"]) for r in own], np.int64)
+                    merged = list(zip(*(x.tolist() for x in spans(ranges[:, 0], ranges[:, 1])), strict=True))
+                    for s, e in reversed(merged):
+                        del words[s:e]
+                n_removed.append(n_words[-1] - len(words))
+                kept.append(b" ".join(words).decode())
+                found.append([{"start": s, "end": e} for s, e in merged])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).slice(at, to - at), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(found, span)],
+                ["doc_id", "n_words", "n_removed", "kept", "removed"],
+            )
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

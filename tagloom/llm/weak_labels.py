@@ -181,22 +181,21 @@ def _own(docs: DataFrame) -> DataFrame:
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = texts_of(b.column(1))
-        for at, to in slices(texts):
-            v = votes(texts[at:to])
+        for at, to, texts in slices(b.column(1)):
+            v = votes(texts)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *(pa.array(pattern(v[q])) for q in QUESTIONS)], ["doc_id", *QUESTIONS])
 
 
 def _trainer(truth: dict[str, dict[int, float]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = sorted(t for b in batches for t in texts_of(b.column(1)))
+        sample = pa.array(sorted(t for b in batches for t in texts_of(b.column(1))), pa.large_binary())
         parts, targets = [], []
-        for at, to in slices(texts):
-            d, f, x = features(texts[at:to])
+        for at, _, texts in slices(sample):
+            d, f, x = features(texts)
             parts.append((d + at, f, x))
-            v = votes(texts[at:to])
+            v = votes(texts)
             targets.append(np.stack([[truth[q].get(int(p), 0.5) for p in pattern(v[q])] for q in QUESTIONS], 1))
-        if texts:
+        if parts:
             doc, feature, value = (np.concatenate(x) for x in zip(*parts, strict=True))
             target = np.concatenate(targets)
             weights = [fit(doc, feature, value, target[:, k]) for k in range(len(QUESTIONS))]
@@ -223,9 +222,8 @@ def train(docs: DataFrame, scratch: Scratch, max_training: int = MAX_TRAINING) -
 def _score(weights: dict[str, np.ndarray], drop_above: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = texts_of(b.column(1))
-            for at, to in slices(texts):
-                d, f, x = features(texts[at:to])
+            for at, to, texts in slices(b.column(1)):
+                d, f, x = features(texts)
                 scores = []
                 for q in QUESTIONS:
                     w = weights.get(q, np.zeros((1 << BITS) + 1, np.float32))

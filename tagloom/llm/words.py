@@ -7,10 +7,16 @@ character, so bytes and code points give the same words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240601))
@@ -20,7 +26,7 @@ _BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text that are worked on at a time; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,16 +41,37 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Row ranges that hold about SLICE_BYTES each, one text at least."""
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > SLICE_BYTES:
-            yield at, k
-            at, size = k, 0
-        size += len(t) + 1
-    if at < len(texts):
-        yield at, len(texts)
+def slices(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, last row + 1, their texts) of about SLICE_BYTES each, one text at least.
+
+    Only one slice is held as Python objects at a time, and memory goes back to
+    the system when a column is done, since workers outlive their tasks.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(column):
+        before = ends[at - 1] if at else 0
+        to = max(int(np.searchsorted(ends, before + SLICE_BYTES, "right")), at + 1)
+        yield at, to, texts_of(column.slice(at, to - at))
+        at = to
+    tidy()
+
+
+def tidy() -> None:
+    """Return free memory to the system: cycles left by unpickled functions, Arrow's pool, the allocator's free pages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def per_process(name: str, make: Callable[[], Any]) -> Any:
+    """A value that is made once in each worker process and shared by its tasks."""
+    shelf = sys.modules.setdefault("_tagloom_shelf", types.ModuleType("_tagloom_shelf"))
+    if not hasattr(shelf, name):
+        setattr(shelf, name, make())
+    return getattr(shelf, name)
 
 
 class Words:
@@ -83,18 +110,15 @@ class Words:
             return mix((total[self.end] - total[self.start]) * _inverse_powers(self.start))
 
 
-_inverse = np.ones(1, U)
-
-
 def _inverse_powers(at: np.ndarray) -> np.ndarray:
-    global _inverse
+    held = per_process("inverse_powers", lambda: [np.ones(1, U)])
     need = int(at.max()) + 1 if len(at) else 1
-    if len(_inverse) < need:
-        grown = np.full(max(need, 2 * len(_inverse)), _BASE_INV, U)
+    if len(held[0]) < need:
+        grown = np.full(max(need, min(2 * len(held[0]), 2 * SLICE_BYTES)), _BASE_INV, U)
         grown[0] = 1
         with np.errstate(over="ignore"):
-            _inverse = np.multiply.accumulate(grown)
-    return _inverse[at]
+            held[0] = np.multiply.accumulate(grown)
+    return held[0][at]
 
 
 def grams(words: np.ndarray, n: int, base: int) -> np.ndarray:

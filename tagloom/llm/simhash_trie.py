@@ -232,14 +232,18 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group of docs, all columns as they were.
 
-    It is that of the smallest doc_id; among rows alike in doc_id, that of the
-    least text hash, and of fully repeated rows one.  Rows with a null doc_id
-    come after all others.
+    It is that of the smallest doc_id, null last; among rows alike in doc_id,
+    that of the least text hash, and of fully repeated rows one.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     scratch = Scratch(docs.sparkSession, "keep-one")
+    key = F.xxhash64(F.col("text").cast("string"))
     found = near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    heads = scratch.save(found.select("component_id").distinct(), "heads")
-    # a group's head is the row whose id is the group's; of the few rows with that id, one
-    mine = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("component_id")), "left_semi")
-    return mine.withColumn("__text", F.xxhash64(text)).dropDuplicates(["doc_id"]).drop("__text")
+    heads = scratch.save(found.select(F.col("component_id").alias("__head")).distinct(), "heads")
+    # a group's head is the row whose id is the group's
+    mine = docs.withColumn("__key", key).join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("__head")), "left_semi")
+    if not docs.groupBy(F.col("doc_id").cast("long").alias("id")).count().where("count > 1").head(1):
+        return mine.drop("__key")  # ids are unique, so each head is one row
+    mine = scratch.save(mine, "mine")
+    least = mine.groupBy("doc_id").agg(F.min("__key").alias("__least"))
+    same = mine.alias("m").join(least.alias("l"), F.col("m.doc_id").eqNullSafe(F.col("l.doc_id")) & F.col("__key").eqNullSafe(F.col("__least")), "left_semi")
+    return same.drop("__key").dropDuplicates(["doc_id"])

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.operators import ingest as arrivals
 from tagloom.operators import deltas, dml, health, implications, merge, rating, relations, review, search, similarity, stats
 from tagloom.plans.oracle import sql
 from tagloom.sources.proxies import SOURCE_PRIORITY, Catalog
@@ -404,6 +405,30 @@ add(
     UNION ALL SELECT 'without_tags', count(*) FROM items WHERE item_id NOT IN (SELECT item_id FROM item_tags)) SELECT "check", found, found = 0 AS passed FROM f""",
 )
 
+# --- arrivals -----------------------------------------------------------------
+
+
+def _frames(c: Catalog) -> DataFrame:
+    """Each line of an order as one frame's prediction."""
+    parts = c.raw("part").select("p_partkey", F.split("p_name", " ")[1].alias("tag"))
+    return c.raw("lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("item_id"), "tag", F.lit("other").alias("category"), (F.col("l_discount") * 10).alias("confidence"))
+
+
+def _hits(c: Catalog) -> DataFrame:
+    return c.raw("events").select(F.col("event_id").alias("item_id"), F.col("value").alias("similarity"), F.concat(F.lit("https://site.example/posts/"), F.col("user_id").cast("string")).alias("url"))
+
+
+add("frame_votes", lambda c: arrivals.frame_votes(_frames(c)), "SELECT l_orderkey AS item_id, split_part(p_name, ' ', 2) AS tag, 'general' AS category FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount * 10 >= 0.5 GROUP BY 1, 2 HAVING count(*) >= 2 OR max(l_discount * 10) >= 0.8")
+add("source_policy", lambda c: arrivals.source_policy(c.item_sources, ["A"], "N", ["R"]), "SELECT item_id, bool_or(source = 'A') AS has_trusted, bool_or(source = 'N') AS has_tagger, bool_and(source = 'R') AS stands_alone FROM item_sources GROUP BY 1")
+add("search_hits", lambda c: arrivals.search_hits(_hits(c), 60.0), "SELECT event_id AS item_id, 'site.example' AS host, user_id AS post_id FROM events WHERE value >= 60")
+add(
+    "value_quantiles", lambda c: arrivals.quantiles(c.raw("events"), "event_type", "value"),
+    """WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+    SELECT event_type, CAST(max(n) AS BIGINT) AS n, min(value) AS least, max(CASE WHEN k = round_even((n - 1) * 0.25, 0) THEN value END) AS p25, max(CASE WHEN k = round_even((n - 1) * 0.5, 0) THEN value END) AS p50, max(CASE WHEN k = round_even((n - 1) * 0.75, 0) THEN value END) AS p75,
+    max(value) AS most, round(avg(value), 6) AS mean FROM o GROUP BY 1""",
+)
+add("score_spread", lambda c: arrivals.score_spread(similarity.similar_by_tags(c, QUERY_ITEM)), f"{_sums('k.weight')} SELECT count(*) AS n, round(max({_PLAIN}) - min({_PLAIN}), 5) AS spread, round(max({_PLAIN}), 5) AS best, round(min({_PLAIN}), 5) AS worst FROM s")
+
 # --- streams ----------------------------------------------------------------
 
 

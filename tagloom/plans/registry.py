@@ -262,7 +262,15 @@ add("impl_auto_approve", lambda c: implications.auto_approved(_naming(c), implic
 
 _edges = lambda c: relations.backfill(c.items)
 add("rel_backfill", _edges, "SELECT a, b, kind, source FROM relations")
-add("rel_siblings", lambda c: relations.siblings(_edges(c)), "SELECT DISTINCT x.b AS a, y.b AS b FROM relations x JOIN relations y ON x.a = y.a AND x.b < y.b")
+
+
+def _pool_edges(c: Catalog) -> DataFrame:
+    """The first item of each pool as parent of the others."""
+    first = c.pool_items.where("sort_order = 1").select("pool_id", F.col("item_id").alias("a"))
+    return c.pool_items.where("sort_order > 1").join(first, "pool_id").select("a", F.col("item_id").alias("b"), F.lit("parent_child").alias("kind"), F.lit("pool").alias("source"))
+
+
+add("rel_siblings", lambda c: relations.siblings(_pool_edges(c)), "WITH e AS (SELECT f.item_id AS a, p.item_id AS b FROM pool_items p JOIN pool_items f ON f.pool_id = p.pool_id AND f.sort_order = 1 WHERE p.sort_order > 1) SELECT DISTINCT x.b AS a, y.b AS b FROM e x JOIN e y ON x.a = y.a AND x.b < y.b")
 add("rel_family", lambda c: relations.family(c.items, _edges(c), 30), "WITH m AS (SELECT post_id, parent_id FROM items WHERE item_id = 30) SELECT DISTINCT item_id FROM (SELECT b AS item_id FROM relations WHERE a = 30 UNION SELECT a FROM relations WHERE b = 30 UNION SELECT i.item_id FROM items i JOIN m ON i.parent_id = m.post_id OR i.post_id = m.parent_id OR i.parent_id = m.parent_id) WHERE item_id <> 30")
 add("rel_descendants", lambda c: relations.descendants(_edges(c)), "WITH d AS (SELECT a AS ancestor, b AS descendant, 1 AS depth FROM relations UNION SELECT d.ancestor, relations.b, d.depth + 1 FROM d JOIN relations ON relations.a = d.descendant WHERE d.depth < 20) SELECT ancestor, descendant, CAST(min(depth) AS INTEGER) AS depth FROM d GROUP BY 1, 2", recursive=True)
 add("rel_perspective", lambda c: relations.perspective(_edges(c), 30), "SELECT CASE WHEN a = 30 THEN b ELSE a END AS other, CASE WHEN a = 30 THEN 'child' ELSE 'parent' END AS role FROM relations WHERE a = 30 OR b = 30")

@@ -239,8 +239,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(F.col("text").cast("string"))
     found = near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     heads = scratch.save(found.select(F.col("component_id").alias("__head")).distinct(), "heads")
-    # a group's head is the row whose id is the group's
-    mine = docs.withColumn("__key", key).join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("__head")), "left_semi")
+    # a group's head is the row whose id is the group's; sort-merge at every size, open to the skew split
+    mine = docs.withColumn("__key", key).join(heads.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__head")), "left_semi")
     if not docs.groupBy(F.col("doc_id").cast("long").alias("id")).count().where("count > 1").head(1):
         return mine.drop("__key")  # ids are unique, so each head is one row
     mine = scratch.save(mine, "mine")

@@ -65,9 +65,10 @@ def _majority(digests: np.ndarray, n: int) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is a text, with its fingerprint in its place."""
     for b in batches:
-        found = np.fromiter((fingerprint(t) for _, _, texts in slices(b.column(1)) for t in texts), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        found = np.fromiter((fingerprint(t) for _, _, texts in slices(b.columns[-1]) for t in texts), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found.view(np.int64))], [*b.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -207,6 +208,24 @@ def links(distinct: DataFrame, scratch: Scratch, bucket_rows: int = BUCKET_ROWS)
     return dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "fp").mapInArrow(_edges, "u long, v long")
 
 
+def text_key() -> Column:
+    """A 64-bit hash of the column text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def first_row() -> Column:
+    """Of some (doc_id, key) the first: least id, null last, then least text hash."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("least")
+
+
+def _placed(distinct: DataFrame, scratch: Scratch, bucket_rows: int) -> DataFrame:
+    """(fp, least, root) of distinct (fp, least): root is the component's least fingerprint."""
+    edges = scratch.save(links(distinct.select("fp"), scratch, bucket_rows), "edges")
+    roots = components(edges, scratch)
+    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return scratch.save(placed, "placed")
+
+
 def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text; more columns are ignored).
 
@@ -218,10 +237,7 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     scratch = Scratch(spark, "simhash")
     prints = scratch.save(fingerprints(docs), "prints")
     distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    edges = scratch.save(links(distinct.select("fp"), scratch, bucket_rows), "edges")
-    roots = components(edges, scratch)
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = scratch.save(placed, "placed")
+    placed = _placed(distinct, scratch, bucket_rows)
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     mapped = placed.join(least, "root").select("fp", "component_id")
     return prints.join(mapped, "fp", "left").select(
@@ -229,21 +245,25 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group of docs, all columns as they were.
+def head_rows(docs: DataFrame, prints: DataFrame, least: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row of docs for each group: of its smallest doc_id, null last, and of that the least text hash; of repeated rows one.
 
-    It is that of the smallest doc_id, null last; among rows alike in doc_id,
-    that of the least text hash, and of fully repeated rows one.
+    prints: (doc_id, key) of each row, key as from ``text_key``; least:
+    ``first_row`` of each group, whichever groups share an id.
     """
+    heads = scratch.save(least.select("least.doc_id", "least.key").distinct(), "heads")
+    # a text lies in one group, so id and text hash name the group; sort-merge at every size, open to the skew split
+    mine = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", text_key()).alias("m")
+    found = mine.join(heads.alias("h").hint("merge"), (F.col("m.__key") == F.col("h.key")) & F.col("m.__id").eqNullSafe(F.col("h.doc_id")), "left_semi")
+    if prints.groupBy("doc_id", "key").count().where("count > 1").head(1):
+        found = found.dropDuplicates(["__id", "__key"])
+    return found.drop("__id", "__key")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each near-duplicate group of docs, all columns as they were; which one, see ``head_rows``."""
     scratch = Scratch(docs.sparkSession, "keep-one")
-    key = F.xxhash64(F.col("text").cast("string"))
-    found = near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    heads = scratch.save(found.select(F.col("component_id").alias("__head")).distinct(), "heads")
-    # a group's head is the row whose id is the group's; sort-merge at every size, open to the skew split
-    mine = docs.withColumn("__key", key).join(heads.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__head")), "left_semi")
-    if not docs.groupBy(F.col("doc_id").cast("long").alias("id")).count().where("count > 1").head(1):
-        return mine.drop("__key")  # ids are unique, so each head is one row
-    mine = scratch.save(mine, "mine")
-    least = mine.groupBy("doc_id").agg(F.min("__key").alias("__least"))
-    same = mine.alias("m").join(least.alias("l"), F.col("m.doc_id").eqNullSafe(F.col("l.doc_id")) & F.col("__key").eqNullSafe(F.col("__least")), "left_semi")
-    return same.drop("__key").dropDuplicates(["doc_id"])
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    prints = scratch.save(keyed.mapInArrow(_fingerprints, "doc_id long, key long, fp long"), "prints")
+    placed = _placed(scratch.save(prints.groupBy("fp").agg(first_row()), "distinct"), scratch, BUCKET_ROWS)
+    return head_rows(docs, prints, placed.groupBy("root").agg(F.min("least").alias("least")), scratch)

@@ -134,6 +134,13 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in unique.collect()) == [1, 7]
 
 
+def test_keep_one_where_groups_share_an_id(spark):
+    other, third = "another text of its own kind", "a third one that is unlike both of them"
+    rows = [(None, PROSE), (None, PROSE), (None, other), (None, third), (7, "two words"), (7, "under one id"), (7, "under one id"), (9, "under one id"), (8, None), (8, "")]
+    kept = simhash_trie.keep_one(table(spark, rows))
+    assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=repr) == sorted([(7, "two words"), (7, "under one id"), (8, ""), (None, PROSE), (None, other), (None, third)], key=repr)
+
+
 # --- repeated passages ------------------------------------------------------
 
 

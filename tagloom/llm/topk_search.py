@@ -55,8 +55,17 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return scores
 
 
+def best_of_each(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One column per id, with the id's best score in each row."""
+    unique, inverse = np.unique(ids, return_inverse=True)
+    if len(unique) == len(ids):
+        return scores, ids
+    order = np.argsort(inverse, kind="stable")
+    return np.maximum.reduceat(scores[:, order], np.flatnonzero(np.diff(inverse[order], prepend=-1)), axis=1), unique
+
+
 def select(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the best k of each row, ties to the smaller id; a row's own id takes no part."""
+    """Rows and columns of the best k of each row, ties to the smaller id; a row's own id takes no part.  Ids are unique."""
     order = np.argsort(ids, kind="stable")
     # columns in id order: then the first k of "greater than the k-th, else equal and early" are exact
     scores, sorted_ids = scores[:, order], ids[order]
@@ -97,9 +106,10 @@ def _score(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                         c_ids = ids[c : c + CANDIDATE_BLOCK]
                         for q in range(0, len(q_ids), QUERY_BLOCK):
                             own = q_ids[q : q + QUERY_BLOCK]
-                            scores = accumulate(q_rows[q : q + QUERY_BLOCK], rows[c : c + CANDIDATE_BLOCK])
-                            r, j = select(scores, c_ids, own, k)
-                            yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(c_ids[j]), pa.array(scores[r, j].astype(np.int64))], ["query_id", "vec_id", "score"])
+                            # copies of one id take one place, else they would fill all k
+                            scores, one_ids = best_of_each(accumulate(q_rows[q : q + QUERY_BLOCK], rows[c : c + CANDIDATE_BLOCK]), c_ids)
+                            r, j = select(scores, one_ids, own, k)
+                            yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(one_ids[j]), pa.array(scores[r, j].astype(np.int64))], ["query_id", "vec_id", "score"])
 
     return run
 

@@ -432,3 +432,11 @@ def test_top_k(spark):
             want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(ranked)]
     assert got == sorted(want)
     assert topk_search.top_k(df.where("false"), df).count() == 0 and topk_search.top_k(df, df.where("false")).count() == 0
+
+
+def test_top_k_where_the_best_id_fills_the_list(spark):
+    """Copies of one id, alike and not, are one candidate."""
+    vectors = [(0, [1.0, 0.0])] + [(7, [9.0 + 0.5 * (k % 4), 0.0]) for k in range(12)] + [(8, [8.0, 0.0])] * 7 + [(20 + k, [float(k), 1.0]) for k in range(6)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = topk_search.top_k(df.where("vec_id = 0"), df).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in got] == [(k + 1, i, int(s * 256 * 256)) for k, (i, s) in enumerate([(7, 10.5), (8, 8.0), (25, 5.0), (24, 4.0), (23, 3.0)])]

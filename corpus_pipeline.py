@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import mixing, packing, pii, quality_rules, simhash_trie
+from tagloom.llm import mixing, near_copies, packing, pii, quality_rules
 from tagloom.llm.scratch import Scratch
 
 #: No SQL form: boosted trees, sketches, a tokenizer and a packing heuristic are not SQL expressions.
@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group, that of the smallest doc_id."""
-    return simhash_trie.keep_one(docs)
+    """Keep one document of each group of near copies (5-word shingles, similarity 0.8 or more), that of the smallest doc_id."""
+    return near_copies.keep_near(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from tagloom.llm import mixing, packing, pii, quality_rules, simhash_trie, substring_dedup, topk_search
+import corpus_pipeline
+from tagloom.llm import mixing, near_copies, packing, pii, quality_rules, simhash_trie, substring_dedup, topk_search
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 PROSE = "the quick brown fox jumps over the lazy dog while seven small birds watch from a tall tree near old water mills"
@@ -440,3 +441,46 @@ def test_top_k_where_the_best_id_fills_the_list(spark):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     got = topk_search.top_k(df.where("vec_id = 0"), df).orderBy("rank").collect()
     assert [(r.rank, r.vec_id, r.score) for r in got] == [(k + 1, i, int(s * 256 * 256)) for k, (i, s) in enumerate([(7, 10.5), (8, 8.0), (25, 5.0), (24, 4.0), (23, 3.0)])]
+
+
+# --- near copies ------------------------------------------------------------
+
+
+def brute_near(rows):
+    """The rows kept: connected by a Jaccard similarity of 0.8 over 5-word shingles, least id first."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    best = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        best[g] = min(best.get(g, (True, 0)), (i is None, i or 0))
+    return sorted((None if n else i for n, i in best.values()), key=repr)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_near_copies(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = list(TEXTS)
+    for base in range(12):
+        words = [f"w{k}" for k in rng.integers(0, 500, 150)]
+        rows.append((1000 + 100 * base, " ".join(words)))
+        for n in range(1, 8):  # a word replaced takes up to five shingles, so about J 0.94 to 0.6; some on the copy before
+            other = list(rows[-1][1].split() if base % 3 == 0 else words)
+            for at in rng.choice(150, n, replace=False):
+                other[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((1000 + 100 * base + n, " ".join(other)))
+    got = near_copies.keep_near(table(spark, rows).repartition(4))
+    assert sorted((r.doc_id for r in got.collect()), key=repr) == brute_near(rows)
+    assert near_copies.keep_near(table(spark, rows).where("false")).count() == 0
+
+
+def test_pipeline_stage_finds_near_copies_over_four_bits(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (596, 917, 0, 7818, 2938, 4024)")
+    got = corpus_pipeline.near_dedup(spark, rows, "").collect()
+    assert sorted(r.doc_id for r in got) == [0, 596, 2938]

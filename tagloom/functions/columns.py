@@ -110,7 +110,7 @@ def nearest_rank(values: Column, q: float) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions of the engine: hamming_hex64, tag_jaccard, natural_sort_key, hash_bucket."""
+    """SQL functions of the engine: hamming_hex64, tag_jaccard, hash_bucket."""
     for statement in (
         "CREATE OR REPLACE TEMPORARY FUNCTION hamming_hex64(a STRING, b STRING) RETURNS INT RETURN CASE WHEN a RLIKE '^[0-9A-Fa-f]{16}$' AND b RLIKE '^[0-9A-Fa-f]{16}$' THEN"
         " bit_count(CAST(conv(substring(a,1,8),16,10) AS BIGINT) ^ CAST(conv(substring(b,1,8),16,10) AS BIGINT)) + bit_count(CAST(conv(substring(a,9,8),16,10) AS BIGINT) ^ CAST(conv(substring(b,9,8),16,10) AS BIGINT)) ELSE 64 END",

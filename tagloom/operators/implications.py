@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.lineage import cut
+from tagloom.operators.graphs import reach, would_close
 
-MAX_DEPTH = 10
+#: Steps that the tree view of a tag shows.
+TREE_DEPTH = 10
 _SUFFIX = r"\(([^)]+)\)$"
 _VARIANT = r"^(.+?)_\([^)]+\)_\((.+?)\)$"
 
@@ -43,23 +44,22 @@ def correlated_rules(tags: DataFrame, item_tags: DataFrame, min_confidence: floa
     return found.select("source_tag", "implied_tag", F.round(confidence, 6).alias("confidence"), "sample", (F.col("n") - F.col("sample")).alias("affected"))
 
 
-def closure(rules: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(source_tag, implied_tag, depth): all that a tag implies through chains, at its least depth (OP-083, OP-206).
+def _as_edges(rules: DataFrame) -> DataFrame:
+    return rules.select(F.col("source_tag").alias("a"), F.col("implied_tag").alias("b"))
+
+
+def closure(rules: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(source_tag, implied_tag, depth): all that a tag implies through chains of any length, at its least depth (OP-083, OP-209).
 
     rules: (source_tag, implied_tag); cycles end, since a pair enters once.
     """
-    step = cut(rules.where("source_tag <> implied_tag").select("source_tag", "implied_tag").distinct())
-    reached = step.withColumn("depth", F.lit(1))
-    frontier = reached
-    for depth in range(2, max_depth + 1):
-        onward = step.select(F.col("source_tag").alias("implied_tag"), F.col("implied_tag").alias("next"))
-        fresh = frontier.join(onward, "implied_tag").select("source_tag", F.col("next").alias("implied_tag")).where("source_tag <> implied_tag").distinct()
-        fresh = fresh.join(reached, ["source_tag", "implied_tag"], "left_anti").withColumn("depth", F.lit(depth))
-        fresh = cut(fresh)
-        if not fresh.head(1):
-            break
-        reached, frontier = reached.unionByName(fresh), fresh
-    return reached
+    return reach(_as_edges(rules), max_depth).select(F.col("a").alias("source_tag"), F.col("b").alias("implied_tag"), "depth")
+
+
+def chain(rules: DataFrame, tags: DataFrame, max_depth: int = TREE_DEPTH) -> DataFrame:
+    """(source_tag, implied_tag, depth, category): the tree view, cut at a depth; an unknown tag is general (OP-206)."""
+    known = tags.groupBy(F.col("tag").alias("implied_tag")).agg(F.min("category").alias("category"))
+    return closure(rules, max_depth).join(known, "implied_tag", "left").select("source_tag", "implied_tag", "depth", F.coalesce("category", F.lit("general")).alias("category"))
 
 
 def missing_tags(item_tags: DataFrame, closed: DataFrame) -> DataFrame:
@@ -80,9 +80,14 @@ def preview(item_tags: DataFrame, source: str, implied: str) -> DataFrame:
     return flags.agg(F.count_if(F.expr("s = 1")).alias("total"), F.count_if(F.expr("s = 1 and t = 1")).alias("already"), F.count_if(F.expr("s = 1 and t = 0")).alias("will_gain"))
 
 
+def cycle_checks(rules: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(source_tag, implied_tag, cycle): whether the implied tag already leads to the source, over any chain (OP-208)."""
+    return would_close(_as_edges(rules), _as_edges(proposals)).select(F.col("a").alias("source_tag"), F.col("b").alias("implied_tag"), "cycle")
+
+
 def makes_cycle(rules: DataFrame, source: str, implied: str) -> bool:
     """Whether the implied tag already leads to the source (OP-208)."""
-    return source == implied or bool(closure(rules).where((F.col("source_tag") == implied) & (F.col("implied_tag") == source)).head(1))
+    return cycle_checks(rules, rules.sparkSession.createDataFrame([(source, implied)], "source_tag string, implied_tag string")).first()["cycle"]
 
 
 def implying(rules: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.lineage import cut
+from tagloom.operators.graphs import reach, would_close
 
 
 def normalised(edges: DataFrame) -> DataFrame:
@@ -41,25 +41,20 @@ def family(items: DataFrame, edges: DataFrame, item_id: int) -> DataFrame:
     return linked.union(by_post).where(F.col("item_id") != item_id).distinct()
 
 
-def descendants(edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(ancestor, descendant, depth) over parent_child edges, least depth (OP-083, OP-218)."""
-    step = cut(edges.where("kind = 'parent_child'").select(F.col("a").alias("ancestor"), F.col("b").alias("descendant")).distinct())
-    reached = step.withColumn("depth", F.lit(1))
-    frontier = reached
-    for depth in range(2, max_depth + 1):
-        onward = step.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("next"))
-        fresh = frontier.join(onward, "descendant").select("ancestor", F.col("next").alias("descendant")).distinct()
-        fresh = fresh.join(reached, ["ancestor", "descendant"], "left_anti").withColumn("depth", F.lit(depth))
-        fresh = cut(fresh)
-        if not fresh.head(1):
-            break
-        reached, frontier = reached.unionByName(fresh), fresh
-    return reached
+def descendants(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(ancestor, descendant, depth) over parent_child edges, least depth, over chains of any length (OP-083, OP-218)."""
+    return reach(edges.where("kind = 'parent_child'"), max_depth).select(F.col("a").alias("ancestor"), F.col("b").alias("descendant"), "depth")
+
+
+def cycle_checks(edges: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(a, b, cycle): whether making a the parent of b closes a cycle, however long (OP-218)."""
+    return would_close(edges.where("kind = 'parent_child'"), proposals)
 
 
 def would_cycle(edges: DataFrame, parent: int, child: int) -> bool:
     """Whether making one item the parent of another closes a cycle (OP-218)."""
-    return parent == child or bool(descendants(edges).where((F.col("ancestor") == child) & (F.col("descendant") == parent)).head(1))
+    asked = edges.sparkSession.createDataFrame([(parent, child)], "a long, b long")
+    return cycle_checks(edges, asked).first()["cycle"]
 
 
 def perspective(edges: DataFrame, item_id: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.columns import category_weight, cosine, hamming, hash_score
-from tagloom.functions.lineage import cut
+from tagloom.operators.graphs import connected
 from tagloom.sources.proxies import Catalog
 
 ALPHA = 0.6
@@ -114,51 +114,11 @@ def visual_range(signatures: DataFrame, item_id: int, threshold: float, k: int,
     return best.withColumn("rank", F.row_number().over(Window.orderBy("distance", "item_id")).cast("int"))
 
 
-def connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(item_id, group_id) of linked items; group_id is the least id reachable (OP-166).
-
-    Least labels spread along edges and then jump to their label's label, so the
-    number of rounds grows with the logarithm of a chain's length.
-    """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
-    labels = both.groupBy(F.col("a").alias("item_id")).agg(F.least(F.min("b"), F.min("a")).alias("g"))
-    for _ in range(max_rounds):
-        near = both.join(labels, F.col("b") == F.col("item_id")).groupBy("a").agg(F.min("g").alias("m"))
-        spread = labels.join(near, F.col("item_id") == F.col("a")).select("item_id", F.least("g", "m").alias("g2"), "g")
-        up = spread.select(F.col("item_id").alias("k"), F.col("g2").alias("up"))
-        after = cut(spread.join(up, F.col("g2") == F.col("k")).select("item_id", F.least("g2", "up").alias("g"), F.col("g").alias("was")))
-        labels = after.select("item_id", "g")
-        if not after.where("g <> was").head(1):
-            return labels.select("item_id", F.col("g").alias("group_id"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
 def duplicate_groups(pairs: DataFrame) -> DataFrame:
     """(group_id, item_id) of items linked by pairs, over all chains of pairs (OP-166)."""
     return connected(pairs).select("group_id", "item_id")
 
 
-def star_groups(pairs: DataFrame) -> DataFrame:
-    """Greedy groups in id order: each free item takes its free partners (OP-166, other form).
-
-    An item joins the least partner that is itself a head; heads are items that
-    no smaller head took.  Settled by rounds: an item is a head once all its
-    smaller partners are known not to be.
-    """
-    links = cut(pairs.select(F.col("a").alias("small"), F.col("b").alias("large")).distinct())
-    nodes = links.select(F.col("small").alias("item_id")).union(links.select("large")).distinct()
-    state = cut(nodes.withColumn("head", F.lit(None).cast("long")))
-    while state.where("head is null").head(1):
-        smaller = links.join(state, F.col("small") == F.col("item_id")).groupBy("large").agg(
-            F.min(F.when(F.col("head") == F.col("small"), F.col("small"))).alias("taker"), F.min(F.when(F.col("head").isNull(), F.col("small"))).alias("unknown")
-        )
-        # taken by the least head among smaller partners, if no smaller unknown one may still become a head
-        decided = F.when(F.col("taker").isNotNull() & (F.col("unknown").isNull() | (F.col("taker") < F.col("unknown"))), F.col("taker")).when(F.col("taker").isNull() & F.col("unknown").isNull(), F.col("item_id"))
-        state = cut(state.join(smaller, F.col("item_id") == F.col("large"), "left").select("item_id", F.coalesce("head", decided).alias("head")))
-    return state.select(F.col("head").alias("group_id"), "item_id")
-
-
 def nearest(vectors: DataFrame, item_id: int, k: int, id_column: str = "vec_id", exclude: DataFrame | None = None) -> DataFrame:
     """The k vectors of greatest cosine to one item's (OP-079, OP-169, OP-170)."""
     one = vectors.where(F.col(id_column) == item_id).select(F.col("embedding").alias("q"))  # one row

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.operators import ingest as arrivals
-from tagloom.operators import deltas, dml, health, implications, merge, rating, relations, review, search, similarity, stats
+from tagloom.operators import deltas, dml, graphs, health, implications, merge, rating, relations, review, search, similarity, stats
 from tagloom.plans.oracle import sql
 from tagloom.sources.proxies import SOURCE_PRIORITY, Catalog
 from tagloom.streaming import ingest
@@ -174,7 +174,7 @@ add(
     """WITH lk AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS item_id, a AS r FROM lk UNION SELECT reach.item_id, lk.b FROM reach JOIN lk ON lk.a = reach.r)
     SELECT min(r) AS group_id, item_id FROM reach GROUP BY item_id""", recursive=True,
 )
-add("star_groups", lambda c: similarity.star_groups(similarity.hamming_pairs(c.signatures, 20)), None)
+add("star_groups", lambda c: graphs.star_groups(similarity.hamming_pairs(c.signatures, 20)), None)
 
 
 def _blended(c: Catalog) -> DataFrame:
@@ -251,9 +251,9 @@ _CORR = "o AS (SELECT DISTINCT item_id, tag FROM item_tags WHERE category = 'cha
 _naming = lambda c: implications.naming_rules(c.tags, c.item_tags)
 add("impl_naming", _naming, "SELECT r.source_tag, r.implied_tag, CAST(CASE WHEN r.implied_tag IN (SELECT tag FROM tags WHERE category = 'copyright') THEN 0.92 ELSE 0.95 END AS DOUBLE) AS confidence, n AS affected FROM rules r JOIN (SELECT tag, count(DISTINCT item_id) AS n FROM item_tags GROUP BY 1) t ON t.tag = r.source_tag")
 add("impl_correlation", lambda c: implications.correlated_rules(c.tags, c.item_tags), f"WITH {_CORR} SELECT * FROM cr")
-_CLOSED = "cl AS (SELECT source_tag, implied_tag, 1 AS depth FROM rules UNION SELECT cl.source_tag, rules.implied_tag, cl.depth + 1 FROM cl JOIN rules ON rules.source_tag = cl.implied_tag WHERE cl.depth < 10)"
+_CLOSED = "cl AS (SELECT source_tag, implied_tag, 1 AS depth FROM rules UNION SELECT cl.source_tag, rules.implied_tag, cl.depth + 1 FROM cl JOIN rules ON rules.source_tag = cl.implied_tag WHERE cl.depth < 1000)"
 add("impl_closure", lambda c: implications.closure(_naming(c)), f"WITH {_CLOSED} SELECT source_tag, implied_tag, CAST(min(depth) AS INTEGER) AS depth FROM cl GROUP BY 1, 2", recursive=True)
-add("impl_apply", lambda c: implications.missing_tags(c.item_tags.where("category <> 'copyright'"), implications.closure(_naming(c))), f"WITH {_CLOSED}, h AS (SELECT item_id, tag FROM item_tags WHERE category <> 'copyright') SELECT DISTINCT h.item_id, cl.implied_tag AS tag FROM h JOIN cl ON cl.source_tag = h.tag WHERE (h.item_id, cl.implied_tag) NOT IN (SELECT item_id, tag FROM h)", recursive=True)
+add("impl_apply", lambda c: implications.missing_tags(c.item_tags.where("category <> 'copyright'"), implications.closure(_naming(c))), f"WITH {_CLOSED}, h AS (SELECT item_id, tag FROM item_tags WHERE category <> 'copyright') SELECT DISTINCT h.item_id, cl.implied_tag AS tag FROM h JOIN cl ON cl.source_tag = h.tag WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.item_id = h.item_id AND x.tag = cl.implied_tag)", recursive=True)
 add("impl_preview", lambda c: implications.preview(c.item_tags, "bolt", "red"), "WITH s AS (SELECT DISTINCT item_id FROM item_tags WHERE tag = 'bolt'), t AS (SELECT DISTINCT item_id FROM item_tags WHERE tag = 'red') SELECT count(*) AS total, count(t.item_id) AS already, count(*) - count(t.item_id) AS will_gain FROM s LEFT JOIN t ON t.item_id = s.item_id")
 add("impl_reverse", lambda c: implications.implying(_naming(c)), "SELECT implied_tag, count(DISTINCT source_tag) AS n, string_agg(DISTINCT source_tag, ',' ORDER BY source_tag) AS sources FROM rules GROUP BY 1")
 add("impl_auto_approve", lambda c: implications.auto_approved(_naming(c), implications.correlated_rules(c.tags, c.item_tags)), f"WITH {_CORR} SELECT source_tag, implied_tag, 'naming_pattern' AS kind FROM rules UNION ALL SELECT source_tag, implied_tag, 'correlation' FROM cr WHERE confidence >= 0.95 AND sample >= 10")
@@ -272,7 +272,7 @@ def _pool_edges(c: Catalog) -> DataFrame:
 
 add("rel_siblings", lambda c: relations.siblings(_pool_edges(c)), "WITH e AS (SELECT f.item_id AS a, p.item_id AS b FROM pool_items p JOIN pool_items f ON f.pool_id = p.pool_id AND f.sort_order = 1 WHERE p.sort_order > 1) SELECT DISTINCT x.b AS a, y.b AS b FROM e x JOIN e y ON x.a = y.a AND x.b < y.b")
 add("rel_family", lambda c: relations.family(c.items, _edges(c), 30), "WITH m AS (SELECT post_id, parent_id FROM items WHERE item_id = 30) SELECT DISTINCT item_id FROM (SELECT b AS item_id FROM relations WHERE a = 30 UNION SELECT a FROM relations WHERE b = 30 UNION SELECT i.item_id FROM items i JOIN m ON i.parent_id = m.post_id OR i.post_id = m.parent_id OR i.parent_id = m.parent_id) WHERE item_id <> 30")
-add("rel_descendants", lambda c: relations.descendants(_edges(c)), "WITH d AS (SELECT a AS ancestor, b AS descendant, 1 AS depth FROM relations UNION SELECT d.ancestor, relations.b, d.depth + 1 FROM d JOIN relations ON relations.a = d.descendant WHERE d.depth < 20) SELECT ancestor, descendant, CAST(min(depth) AS INTEGER) AS depth FROM d GROUP BY 1, 2", recursive=True)
+add("rel_descendants", lambda c: relations.descendants(_edges(c)), "WITH d AS (SELECT a AS ancestor, b AS descendant, 1 AS depth FROM relations UNION SELECT d.ancestor, relations.b, d.depth + 1 FROM d JOIN relations ON relations.a = d.descendant WHERE d.depth < 1000) SELECT ancestor, descendant, CAST(min(depth) AS INTEGER) AS depth FROM d GROUP BY 1, 2", recursive=True)
 add("rel_perspective", lambda c: relations.perspective(_edges(c), 30), "SELECT CASE WHEN a = 30 THEN b ELSE a END AS other, CASE WHEN a = 30 THEN 'child' ELSE 'parent' END AS role FROM relations WHERE a = 30 OR b = 30")
 add("rel_reviewed", lambda c: relations.reviewed(_edges(c)), "SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM relations")
 add("rel_summary", lambda c: relations.summary(_edges(c)), "SELECT kind, source, count(*) AS n FROM relations GROUP BY 1, 2")
@@ -295,7 +295,7 @@ def _raw_metadata(c: Catalog) -> DataFrame:
 add("primary_source", lambda c: merge.primary_source(c.item_sources, SOURCE_PRIORITY), "SELECT item_id, min(source) AS source FROM item_sources GROUP BY 1")
 add("merge_sources", lambda c: merge.merge_categories(_two_sources(c)), "WITH p AS (SELECT item_id, tag, max(CASE category WHEN 'character' THEN 6 WHEN 'species' THEN 5 WHEN 'copyright' THEN 4 WHEN 'artist' THEN 3 WHEN 'meta' THEN 2 ELSE 1 END) AS p FROM item_tags GROUP BY 1, 2) SELECT item_id, tag, CASE p WHEN 6 THEN 'character' WHEN 5 THEN 'species' WHEN 4 THEN 'copyright' WHEN 3 THEN 'artist' WHEN 2 THEN 'meta' ELSE 'general' END AS category FROM p")
 add("merge_two", lambda c: merge.merge_two(c.item_tags.where("category <> 'artist'"), c.item_tags), "SELECT item_id, category, string_agg(DISTINCT tag, ' ' ORDER BY tag) AS tags FROM item_tags WHERE category <> 'artist' GROUP BY 1, 2")
-add("dedupe_categories", lambda c: merge.dedupe_general(_two_sources(c)), "WITH t AS (SELECT item_id, tag, category FROM item_tags UNION ALL SELECT item_id, tag, 'general' FROM item_tags WHERE category = 'copyright') SELECT item_id, tag, category FROM t WHERE category <> 'general' OR (item_id, tag) NOT IN (SELECT item_id, tag FROM t WHERE category <> 'general')")
+add("dedupe_categories", lambda c: merge.dedupe_general(_two_sources(c)), "WITH t AS (SELECT item_id, tag, category FROM item_tags UNION ALL SELECT item_id, tag, 'general' FROM item_tags WHERE category = 'copyright') SELECT item_id, tag, category FROM t WHERE category <> 'general' OR NOT EXISTS (SELECT 1 FROM t x WHERE x.item_id = t.item_id AND x.tag = t.tag AND x.category <> 'general')")
 add("category_pivot", lambda c: merge.category_columns(c.item_tags), "SELECT item_id, " + ", ".join(f"coalesce(string_agg(DISTINCT CASE WHEN category = '{x}' THEN tag END, ' ' ORDER BY CASE WHEN category = '{x}' THEN tag END), '') AS tags_{x}" for x in ("character", "copyright", "artist", "species", "meta", "general")) + " FROM item_tags GROUP BY 1")
 add("orphan_repair", lambda c: merge.repair_missing(merge.category_columns(c.item_tags), c.item_tags.where("category <> 'meta'")), "SELECT item_id, tag, category FROM item_tags WHERE category = 'meta'")
 add("rename_ratings", lambda c: merge.rename_ratings(c.item_tags.withColumn("tag", F.regexp_replace("tag", "^rating:", "rating_"))), "SELECT DISTINCT item_id, tag, category FROM item_tags")
@@ -380,7 +380,7 @@ for _mode, _keys, _where in (
 ):
     add(
         f"queue_{_mode}", lambda c, m=_mode: review.queue(_scored_pairs(c), relations.reviewed(_edges(c)), m, 20, 20, 50),
-        f"WITH {_REVIEW}, rv AS (SELECT least(a, b) AS a, greatest(a, b) AS b FROM relations), op AS (SELECT * FROM sp WHERE distance <= 20 AND (a, b) NOT IN (SELECT a, b FROM rv) AND {_where} ORDER BY {_keys}, a, b LIMIT 50)"
+        f"WITH {_REVIEW}, rv AS (SELECT least(a, b) AS a, greatest(a, b) AS b FROM relations), op AS (SELECT * FROM sp WHERE distance <= 20 AND NOT EXISTS (SELECT 1 FROM rv WHERE rv.a = sp.a AND rv.b = sp.b) AND {_where} ORDER BY {_keys}, a, b LIMIT 50)"
         f" SELECT a, b, CAST(distance AS INTEGER) AS distance, CAST(round(signal, 6) AS DOUBLE) AS signal, CAST(greatest(0.0, round((1 - distance / 20.0) * 100, 1)) AS DOUBLE) AS confidence, CAST(row_number() OVER (ORDER BY {_keys}, a, b) AS INTEGER) AS place FROM op",
     )
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tagloom.functions import columns as C
-from tagloom.operators import deltas, dml, implications, merge, rating, relations, review, similarity
+from tagloom.operators import graphs, deltas, dml, implications, merge, rating, relations, review, similarity
 
 
 def one(spark, column, **values):
@@ -120,7 +120,7 @@ def test_graph(spark):
 def test_components_follow_chains_and_stars_do_not(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (8, 9)], "a long, b long")
     assert rows(similarity.duplicate_groups(pairs)) == [(1, 1), (1, 2), (1, 3), (1, 4), (8, 8), (8, 9)]
-    assert rows(similarity.star_groups(pairs)) == [(1, 1), (1, 2), (3, 3), (3, 4), (8, 8), (8, 9)]
+    assert rows(graphs.star_groups(pairs)) == [(1, 1), (1, 2), (3, 3), (3, 4), (8, 8), (8, 9)]
 
 
 def test_banded_pairs_equal_grid(spark):

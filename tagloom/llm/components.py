@@ -8,10 +8,15 @@ edges are written to the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.scratch import Scratch
+from tagloom.functions.lineage import Scratch
+
+
+def checksum() -> dict[str, Column]:
+    """With the number of rows, what tells two edge lists apart; exclusive or cannot overflow, however many edges there are."""
+    return {"x": F.bit_xor(F.xxhash64("u", "v")), "y": F.bit_xor(F.xxhash64("v", F.lit(1), "u"))}
 
 
 def _to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -35,10 +40,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         large = _to_least(both, True).where("u <> v").distinct()
         small = _to_least(large, False).where("u <> v").distinct()
         k += 1
-        after = scratch.save(small, f"{name}-{k}")
+        now, seen = scratch.save_counted(small, f"{name}-{k}", **checksum())  # taken while the table is written
         scratch.drop(f"{name}-{k - 1}")
-        seen = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(2**40 - 1))).first())
-        now = after
         if seen == state:
             break
         state = seen

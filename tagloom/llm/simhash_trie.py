@@ -17,7 +17,7 @@ pair of blocks is a task of its own, so no task holds more than two blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.components import components
-from tagloom.llm.scratch import Scratch
+from tagloom.functions.lineage import Scratch
 from tagloom.llm.words import slices
 
 SHINGLE_WORDS = 4
@@ -38,22 +38,31 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 BUCKET_ROWS = 500_000
 #: Node pairs walked at a time.
 FRONTIER = 1 << 18
+#: Node pairs of at most so many row pairs are compared row by row.
+LEAF_PAIRS = 16
+#: Which of the pairs (x[i], y[i]) of rows link.
+Check = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def fingerprint(text: bytes) -> int:
-    """The SimHash of one text: bit set where over half the shingle hashes have it."""
+def shingle_digests(text: bytes, shingle_words: int = SHINGLE_WORDS) -> bytes:
+    """The XXH64 digests, eight bytes each, of a text's shingles in order; a shorter text is one shingle, a wordless one none."""
     words = text.lower().split()
     if not words:
-        return 0
-    if len(words) <= SHINGLE_WORDS:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return b""
+    digest = xxhash.xxh64_digest
     joined = b" ".join(words)
+    if len(words) <= shingle_words:
+        return digest(joined, 42)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate((np.zeros(1, np.int64), ends[:-1] + 1))
-    digest = xxhash.xxh64_digest
-    k = SHINGLE_WORDS - 1
-    raw = b"".join([digest(joined[a:b], 42) for a, b in zip(starts[:-k].tolist(), ends[k:].tolist(), strict=True)])
-    return _majority(np.frombuffer(raw, np.uint8), len(words) - k)
+    k = shingle_words - 1
+    return b"".join([digest(joined[a:b], 42) for a, b in zip(starts[: len(starts) - k].tolist(), ends[k:].tolist(), strict=True)])
+
+
+def fingerprint(text: bytes) -> int:
+    """The SimHash of one text: bit set where over half the shingle hashes have it."""
+    raw = shingle_digests(text)
+    return _majority(np.frombuffer(raw, np.uint8), len(raw) // 8)
 
 
 def _majority(digests: np.ndarray, n: int) -> int:
@@ -103,20 +112,23 @@ def join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def trie_forest(fp: np.ndarray, starts: np.ndarray, budget: int = MAX_BITS) -> np.ndarray:
+def trie_forest(fp: np.ndarray, starts: np.ndarray, budget: int = MAX_BITS, check: Check | None = None, parent: np.ndarray | None = None, frontier: int = FRONTIER) -> np.ndarray:
     """For each row of sorted groups, the least row of its group linked to it by steps within the budget.
 
     fp: unsigned, ascending within each group; groups begin at ``starts``.  The
     groups' tries are walked at once, level by level, depth first over chunks of
-    the frontier, so memory stays at a few chunks.
+    the frontier, so memory stays at a few chunks.  Nodes of few rows are not
+    walked further: their rows are compared pair by pair.  check: says which
+    pairs within the budget do link; pairs known to be linked are not asked
+    for.  parent: what is linked already, flat, changed in place.
     """
     n = len(fp)
-    parent = np.arange(n)
+    parent = np.arange(n) if parent is None else parent
     ends = np.concatenate((starts[1:], [n]))
     many = ends - starts > 1
     s, e = starts[many], ends[many]
     zero = np.zeros(len(s), np.int8)
-    stack = [(0, c, c_e, c, c_e, z) for c, c_e, z in _pieces(s, e, zero)]
+    stack = [(0, c, c_e, c, c_e, z) for c, c_e, z in _pieces(s, e, zero, frontier)]
     ones: dict[int, np.ndarray] = {}
     while stack:
         level, a0, a1, b0, b1, err = stack.pop()
@@ -124,13 +136,17 @@ def trie_forest(fp: np.ndarray, starts: np.ndarray, budget: int = MAX_BITS) -> n
             change = np.concatenate(([0], np.cumsum(parent[1:] != parent[:-1])))
             known = (change[a1 - 1] == change[a0]) & (change[b1 - 1] == change[b0]) & (parent[a0] == parent[b0])
             a0, a1, b0, b1, err = (x[~known] for x in (a0, a1, b0, b1, err))
-        leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
+        leaf = (a1 - a0) * (b1 - b0) <= LEAF_PAIRS
         if level == 64:
             leaf[:] = True
         if leaf.any():
-            x, y = a0[leaf], b0[leaf]
-            close = np.bitwise_count(fp[x] ^ fp[y]) <= budget
-            join(parent, x[close], y[close])
+            for x, y in _row_pairs(a0[leaf], a1[leaf], b0[leaf], b1[leaf], frontier):
+                close = (np.bitwise_count(fp[x] ^ fp[y]) <= budget) & (parent[x] != parent[y])
+                x, y = x[close], y[close]
+                if check is not None and len(x):
+                    good = check(x, y)
+                    x, y = x[good], y[good]
+                join(parent, x, y)
             a0, a1, b0, b1, err = (v[~leaf] for v in (a0, a1, b0, b1, err))
         if not len(a0):
             continue
@@ -146,14 +162,31 @@ def trie_forest(fp: np.ndarray, starts: np.ndarray, budget: int = MAX_BITS) -> n
             (am[cross], a1[cross], b0[cross], bm[cross], step[cross]), strict=True)]
         keep = (out[1] > out[0]) & (out[3] > out[2]) & (out[4] <= budget) & ~((out[0] == out[2]) & (out[1] - out[0] == 1))
         out = [x[keep] for x in out]
-        for at in range(0, len(out[0]), FRONTIER):
-            stack.append((level + 1, *(x[at : at + FRONTIER] for x in out)))
+        for at in range(0, len(out[0]), frontier):
+            stack.append((level + 1, *(x[at : at + frontier] for x in out)))
     return parent
 
 
-def _pieces(s: np.ndarray, e: np.ndarray, z: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    for at in range(0, len(s), FRONTIER):
-        yield s[at : at + FRONTIER], e[at : at + FRONTIER], z[at : at + FRONTIER]
+def _pieces(s: np.ndarray, e: np.ndarray, z: np.ndarray, frontier: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for at in range(0, len(s), frontier):
+        yield s[at : at + frontier], e[at : at + frontier], z[at : at + frontier]
+
+
+def _row_pairs(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of a, row of b) of node pairs, about ``most`` at a time; within one node each pair once."""
+    wide = b1 - b0
+    ends = np.cumsum((a1 - a0) * wide)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(int(np.searchsorted(ends, before + most, "right")), at + 1)
+        many = np.diff(ends[at:to], prepend=before)
+        node = np.repeat(np.arange(at, to), many)
+        place = np.arange(len(node)) - np.repeat(np.cumsum(many) - many, many)
+        x, y = a0[node] + place // wide[node], b0[node] + place % wide[node]
+        once = (a0[node] != b0[node]) | (x < y)
+        yield x[once], y[once]
+        at = to
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

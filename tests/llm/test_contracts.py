@@ -109,7 +109,7 @@ def test_large_bucket_in_blocks(spark):
     fps = sorted({int(b) ^ (1 << int(k)) for b in base for k in rng.integers(0, 62, 4)} | {int(b) for b in base})
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
     from tagloom.llm.components import components
-    from tagloom.llm.scratch import Scratch
+    from tagloom.functions.lineage import Scratch
 
     for rows in (3, 500_000):
         roots = dict(tuple(r) for r in components(simhash_trie.links(df, Scratch(spark, f"t{rows}"), rows), Scratch(spark, f"c{rows}")).collect())
@@ -119,7 +119,7 @@ def test_large_bucket_in_blocks(spark):
 
 def test_components_of_a_chain_and_a_star(spark):
     from tagloom.llm.components import components
-    from tagloom.llm.scratch import Scratch
+    from tagloom.functions.lineage import Scratch
 
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect())
@@ -463,8 +463,8 @@ def brute_near(rows):
     return sorted((None if n else i for n, i in best.values()), key=repr)
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_near_copies(spark, seed):
+@pytest.mark.parametrize(("seed", "block_rows"), [(0, 1024), (1, 1024), (2, 2), (3, 3)])
+def test_near_copies(spark, seed, block_rows):
     rng = np.random.default_rng(seed)
     rows = list(TEXTS)
     for base in range(12):
@@ -475,7 +475,7 @@ def test_near_copies(spark, seed):
             for at in rng.choice(150, n, replace=False):
                 other[at] = f"x{rng.integers(0, 10**6)}"
             rows.append((1000 + 100 * base + n, " ".join(other)))
-    got = near_copies.keep_near(table(spark, rows).repartition(4))
+    got = near_copies.keep_near(table(spark, rows).repartition(4), block_rows)
     assert sorted((r.doc_id for r in got.collect()), key=repr) == brute_near(rows)
     assert near_copies.keep_near(table(spark, rows).where("false")).count() == 0
 

@@ -4,8 +4,9 @@ That tokenizer composes (NFC), folds white space, lower-cases, splits into
 runs of letters, single digits and runs of other signs, and encodes each piece
 by itself.  So ids of a text are the ids of its pieces in order, and a piece
 needs encoding once.  For texts of code points below U+0300, where composing
-is the identity and lower-casing is a table, pieces are found on arrays;
-other texts go through the library whole.
+is the identity and lower-casing is a table, pieces are found on arrays; other
+texts, and those that hold an added token such as an end-of-text mark, go
+through the library whole.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ class _Store:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that may hold one of these, in any case, go through the library.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, k in vocabulary.items():
@@ -99,10 +101,17 @@ class _Store:
         quote = np.flatnonzero(points[:-1] == 0x27)
         return not len(quote) or not (kind[quote + 1] == _LETTER).any()
 
+    def holds_added(self, text: str) -> bool:
+        """Whether the library might take part of the text for an added token of the vocabulary."""
+        if "<|" not in text and all("<|" in t for t in self.added):
+            return False
+        low = text.lower()
+        return any(t in low for t in self.added)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         points = [np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32) for t in texts]
-        fast = [k for k, p in enumerate(points) if self.plain(p)]
+        fast = [k for k, p in enumerate(points) if self.plain(p) and not self.holds_added(texts[k])]
         if slow := sorted(set(range(len(texts))) - set(fast)):
             for k, e in zip(slow, self.tokenizer.encode_batch([texts[k] for k in slow], add_special_tokens=False), strict=True):
                 out[k] = np.asarray(e.ids, np.uint32)

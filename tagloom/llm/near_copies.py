@@ -88,6 +88,16 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["doc_id", "key", "bands"])
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each key of a partition; eight bytes are held for each."""
+    seen = np.zeros(0, np.int64)
+    for b in batches:
+        key, first = np.unique(b.column(0).to_numpy(), return_index=True)
+        fresh = ~np.isin(key, seen)
+        seen = np.concatenate((seen, key[fresh]))
+        yield b.take(pa.array(np.sort(first[fresh])))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text) to (key, fp, units, shingles); fp is turned so that it sorts as an unsigned number."""
     for b in batches:
@@ -190,8 +200,8 @@ def groups(docs: DataFrame, prints: DataFrame, scratch: Scratch, block_rows: int
     shared = dealt.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("bucket")
     live = scratch.save(dealt.join(shared, "bucket", "left_semi").distinct(), "live")
     wanted = live.select(F.col("key").alias("__key")).distinct()
-    # a text for each hash; its copies fall before the shuffle
-    texts = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    # a text for each hash; of its copies one leaves each partition, so a text that fills a third of the rows is no hot key
+    texts = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(_once, "key long, text string")
     texts = texts.join(wanted, F.col("key") == F.col("__key"), "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     sets = scratch.save(texts.mapInArrow(_sets, "key long, fp long, units long, shingles binary"), "sets")
     weighed = live.join(sets.select("key", "units"), "key")

@@ -95,7 +95,7 @@ def _score(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
             for at, to in zip(heads, [*heads[1:], len(keys)], strict=True):
                 dim, here = int(keys[at, 0]), tuple(keys[at, :3])
                 part = b.slice(at, to - at)
-                ids, rows = part.column(4).to_numpy(), part.column(5).flatten().to_numpy().reshape(-1, dim)
+                ids, rows = part.column(4).to_numpy(), part.column(5).flatten().to_numpy().reshape(len(part), dim)
                 if keys[at, 3] == 0:
                     if here == cell:
                         q_ids, q_rows = np.concatenate((q_ids, ids)), np.concatenate((q_rows, rows))
@@ -119,7 +119,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, id_column: str
 
     A candidate with the query's own id takes no part.  Unusable vectors (null,
     or with null or non-finite components) and rows with a null id go.  Vectors
-    are compared with those of their own length.  Rows of one id with different
+    are compared with those of their own length; those of length zero score 0
+    with each other.  An empty table gives an empty result.  Rows of one id with different
     vectors each count, a pair by its best score; more columns are ignored.
     """
     scratch = Scratch(queries.sparkSession, "topk")
@@ -134,7 +135,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, id_column: str
             F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.lit(kind).alias("kind"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
         ).select("dim", "qb", "cb", "kind", "id", "v")
 
-    cells = dealt(q, 0).unionByName(dealt(c, 1)).where("dim > 0").repartition("dim", "qb", "cb").sortWithinPartitions("dim", "qb", "cb", "kind")
+    cells = dealt(q, 0).unionByName(dealt(c, 1)).repartition("dim", "qb", "cb").sortWithinPartitions("dim", "qb", "cb", "kind")
     found = cells.mapInArrow(_score(k), "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

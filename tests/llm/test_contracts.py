@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tagloom.llm import mixing, near_copies, packing, pii, quality_rules, simhash_trie, substring_dedup, topk_search
@@ -21,6 +22,7 @@ TEXTS = [
     (10, "Ünïcode « été » straße İstanbul Σίσυφος ΟΔΟΣ ﬁne 東京 🙂 é"), (11, "it's they're I'M we'll 'sup don't ''s !'s 12 3.4"), (12, "word " * 60), (13, "line\nline\nother\n\nline"),
     (14, "mail a.b+c@x-y.example.org, a@b@c.de a@b..c 1.2.3.4.5 256.1.1.1 10.0.0.255 4111 1111 1111 1111 +1 (017) 555-7713 +12 token = 'abcdefghijkl' account no. 12345678"),
     (15, " ".join(f"w{i % 977}v{i}" for i in range(9000))), (16, PROSE.upper()), (None, PROSE + " null id"), (18, "###$$$ %%% &&& ***"), (19, PROSE), (20, "trailing passage " + PROSE[20:] + " more words here"),
+    (21, "one <|endoftext|> two<|startoftext|><|ENDOFTEXT|> <| endoftext |>"),
 ]
 SCHEMA = "doc_id long, text string, source string, key string, fp int, part string, rank string, h int, n int, m int, bucket int, component_id int, size int, u int, v int"
 
@@ -304,7 +306,6 @@ def test_pack(docs, empty, tokenizer):
         by_doc[r.doc_id].append(r)
         by_sequence[r.sequence_id].append((r.offset, r.length))
     total = 0
-    tokenizer.encode_special_tokens = True
     for i, t in TEXTS:
         ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
         total += len(ids)
@@ -325,9 +326,8 @@ def test_tokens_equal_the_library(seed, tokenizer):
     from tagloom.llm.fast_tokens import store
 
     rng = np.random.default_rng(seed)
-    signs = list("abcXYZé¼ßÀİ'sdtm0123 \n\t.,!#ªʰ") + ["'ll", "'re", "the ", "́", "\xa0", "\x85", "\x00", "ﬁ", "中", "<|endoftext|>"]
+    signs = list("abcXYZé¼ßÀİ'sdtm0123 \n\t.,!#ªʰ") + ["'ll", "'re", "the ", "́", "\xa0", "\x85", "\x00", "ﬁ", "中", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|"]
     texts = ["".join(rng.choice(signs, rng.integers(0, 80))) for _ in range(300)]
-    tokenizer.encode_special_tokens = True
     want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in store(packing.default_tokenizer()).encode(texts)] == want
 
@@ -416,15 +416,49 @@ def test_heavier_documents_go_first(spark):
     assert taken[taken.doc_id % 2 == 1].taken.gt(0).mean() > 0.4
 
 
+def mixed_words(rows):
+    return sum(len(WORD.findall(r.text or "")) for r in rows)
+
+
+def test_applied_mix_takes_what_the_mix_takes(spark):
+    """Repeated rows, different texts under one id, null ids and sources, wordless texts, clashing names."""
+    long = " ".join(f"w{k}" for k in range(10))
+    rows = [(1, long, "a")] * 3 + [(2, long + " x y", "a")]
+    rows += [(3, long, None)] * 7 + [(None, f"{long} {k}", None) for k in range(40)] + [(4, None, "b"), (4, " ", "b"), (4, "one", "b"), (4, "one two", "b"), (4, "one two", "b"), (9, "", "c")]
+    df = spark.createDataFrame([(*r, len(r[1] or ""), "k", 1, 2, 3, "s") for r in rows], "doc_id long, text string, source string, n_chars int, key string, size int, words int, room int, row string").repartition(5)
+    for share in (0.3, 0.55, 1.0, 1.5, 1.9):
+        taken = mixing.mix(df, share=share, bin_documents=4)
+        want = {r.source: r.words for r in taken.groupBy("source").agg(F.sum("taken").alias("words")).collect()}
+        goal = {r.source: round(r.target) for r in taken.select("source", "target").distinct().collect()}
+        out = mixing.apply_mix(df, share=share, bin_documents=4)
+        assert out.columns == df.columns and out.schema == df.schema
+        got = defaultdict(list)
+        for r in out.collect():
+            got[r.source].append(r)
+            assert r.n_chars == len(r.text) and r.key == "k" and r.row == "s"
+        assert {s: mixed_words(got[s]) for s in want} == want
+        assert all(abs(want[s] - goal[s]) <= 1 for s in want), (want, goal)
+        assert sorted(map(str, out.collect())) == sorted(map(str, mixing.apply_mix(df.repartition(2), share=share, bin_documents=4).collect()))
+    assert mixing.apply_mix(df.where("false")).count() == 0
+
+
+def test_mix_of_a_hot_document_stays_spread(spark):
+    """A third of all rows are one row, another third have no id."""
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a b c' ELSE concat('x y ', id) END AS text", "'s' AS source")
+    for share in (0.37, 0.9):
+        rows = mixing.mix(df, share=share, bin_documents=64).collect()
+        assert sum(r.taken for r in rows) == round(9000 * share) and len(rows) == 3000 and all(0 <= r.taken <= 6 for r in rows)
+
+
 # --- search -----------------------------------------------------------------
 
 
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     vectors = [(int(i), [float(x) for x in np.round(rng.standard_normal(6), 1)]) for i in range(120)]
-    vectors += [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (204, []), (205, [1.0, 2.0]), (None, [1.0] * 6), (5, vectors[5][1]), (250, [2.0, 1.0])]
+    vectors += [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (204, []), (300, []), (350, []), (205, [1.0, 2.0]), (None, [1.0] * 6), (5, vectors[5][1]), (250, [2.0, 1.0])]
     df = spark.createDataFrame([(*v, 1, "x") for v in vectors], "vec_id long, embedding array<float>, label int, id string")
-    usable = {(i, tuple(np.floor(256 * np.array(v, np.float32).astype(float)).astype(int))) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    usable = {(i, tuple(np.floor(256 * np.array(v, np.float32).astype(float)).astype(int))) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     got = sorted(tuple(r) for r in topk_search.top_k(df.where("vec_id % 50 = 0"), df, query_block=2, candidate_block=7).collect())
     want = []
     for i, v in usable:

@@ -11,7 +11,7 @@ import xxhash
 
 import corpus_pipeline
 from tagloom.llm import mixing, packing, pii, quality_rules
-from tests.llm.test_contracts import WORD, brute_components, brute_print, brute_targets
+from tests.llm.test_contracts import WORD, brute_targets
 
 
 def plain_quality(docs, trees):
@@ -30,10 +30,28 @@ def plain_quality(docs, trees):
 
 
 def plain_dedup(docs):
-    group = brute_components(np.array([brute_print(d["text"]) for d in docs], np.uint64))
+    """Groups over 5-word shingle sets with a Jaccard similarity of 0.8 or more; sets that share no shingle are never compared."""
+    sets, holders = [], defaultdict(list)
+    for k, d in enumerate(docs):
+        w = (d["text"] or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+        for s in sets[-1]:
+            holders[s].append(k)
+    group = list(range(len(docs)))
+
+    def top(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for k, own in enumerate(sets):
+        shared = Counter(j for s in own for j in holders[s] if j < k)
+        for j, both in shared.items():
+            if 5 * both >= 4 * (len(own) + len(sets[j]) - both) and top(j) != top(k):
+                group[max(top(j), top(k))] = min(top(j), top(k))
     least = {}
-    for d, g in zip(docs, group, strict=True):
-        least[g] = min(least.get(g, d["doc_id"]), d["doc_id"])
+    for k, d in enumerate(docs):
+        least[top(k)] = min(least.get(top(k), d["doc_id"]), d["doc_id"])
     return [d for d in docs if d["doc_id"] in set(least.values())]
 
 
@@ -51,7 +69,8 @@ def plain_mix(docs):
     for d in docs:
         d["size"] = len(WORD.findall(d["text"]))
         sizes[d["source"]] += d["size"]
-        h = xxhash.xxh64_intdigest(struct.pack("<i", 20240601), xxhash.xxh64_intdigest(struct.pack("<q", d["doc_id"]), 42))
+        own = xxhash.xxh64(d["text"].encode(), 42).digest()[::-1]
+        h = xxhash.xxh64_intdigest(struct.pack("<i", 20240601), xxhash.xxh64_intdigest(own, xxhash.xxh64_intdigest(struct.pack("<q", d["doc_id"]), 42)))
         weight = 1 / (1 + abs(len(d["text"]) / max(d["size"], 1) - 6) / 6)
         d["key"] = -math.log(((h >> 12) + 0.5) / 2**52) / weight
     goal = brute_targets(sizes)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.llm.samples import labelled
 from tagloom.llm.words import Words, grams, mix, slices
 
 MIN_WORDS = 10
@@ -165,26 +166,27 @@ def fit(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 80, depth:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    schema = "doc_id long, " + ", ".join(f"{k} double" for k in FEATURES)
+    """(doc_id, th, quality, statistics) of (doc_id, th, quality, text)."""
+    schema = "doc_id long, th long, quality int, " + ", ".join(f"{k} double" for k in FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, to, texts in slices(b.column(1)):
+            for at, to, texts in slices(b.column(3)):
                 s = statistics(texts)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *(pa.array(s[k].astype(np.float64)) for k in FEATURES)], ["doc_id", *FEATURES])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in b.columns[:3]), *(pa.array(s[k].astype(np.float64)) for k in FEATURES)], ["doc_id", "th", "quality", *FEATURES])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", "th", "quality", "text").mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Trees | None:
     """Trees for the probability that labels.quality is 0; None without labelled documents of both kinds.
 
-    At most ``max_labelled`` labelled documents are used, those of least hash.
+    At most ``max_labelled`` labelled documents are used, those of least hash of
+    id and text.  Null ids, texts and labels teach nothing; an id labelled twice
+    has its least label; repeated rows count once; empty tables give None.
     """
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id", "left_semi")
-    rows = _measured(chosen).join(some, "doc_id").limit(2 * max_labelled).toPandas().sort_values(["doc_id", *FEATURES])
+    # at most max_labelled rows of numbers
+    rows = _measured(labelled(docs, labels, "quality", max_labelled)).toPandas().sort_values(["doc_id", "th"])
     y = (rows["quality"].to_numpy() == 0).astype(np.float64)
     if not len(y) or y.min() == y.max():
         return None
@@ -215,14 +217,15 @@ def judge(docs: DataFrame, trees: Trees | None, reject_above: float = REJECT_ABO
     for each row of docs (doc_id, text; more columns are ignored).
 
     A null text has no words and fails the base.  Without trees the base alone
-    decides.  Null and repeated doc_ids are judged like any other.
+    decides.  Null and repeated doc_ids are judged like any other, texts whole
+    however long.  An empty table gives an empty result.
     """
     out = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, low_quality double"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_judge(trees, reject_above), out)
 
 
 def keep_good(docs: DataFrame, trees: Trees | None, reject_above: float = REJECT_ABOVE) -> DataFrame:
-    """The rows of docs that are kept, all columns as they were."""
+    """The rows of docs that are kept, all columns as they were; each row is judged for itself, as by ``judge``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner = _judge(trees, reject_above)

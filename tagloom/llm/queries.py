@@ -29,7 +29,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_weak_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weak_labels.classify(_table(spark, sf_dir, "documents"))
+    return weak_labels.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +44,17 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """A replica with known damage: of each 50 pages one has another first character, one is cut to half, one is lost, and one stands there twice, once under a new id."""
+    which, html = F.pmod("page_id", F.lit(50)), F.coalesce("html", F.lit(""))
+    changed = F.when(which == 7, F.concat(F.lit("?"), F.substring(html, 2, 2**31 - 1))).when(which == 17, F.substring(html, F.lit(1), F.floor(F.length(html) / 2).cast("int"))).otherwise(F.col("html"))
+    there = pages.where((which != 27) | F.col("page_id").isNull()).withColumn("html", changed)
+    return there.unionByName(pages.where(which == 37).withColumn("page_id", F.col("page_id") + 10**12))
+
+
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of a replica in which every 50th page has another first character."""
     pages = _table(spark, sf_dir, "pages")
-    html = F.when(F.col("page_id") % 50 == 7, F.concat(F.lit("?"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
-    return warc_fixity.check_replica(pages, pages.withColumn("html", html))
+    return warc_fixity.check_replica(pages, damaged(pages))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +78,8 @@ WITH usable AS (
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+         CAST(coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 ), ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
@@ -81,23 +87,34 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 OP8_SQL = """
-WITH p AS (
-  SELECT page_id, CAST(floor(page_id / 2048.0) AS BIGINT) AS archive, coalesce(url, '') AS url, coalesce(html, '') AS html,
-         md5(CAST(page_id AS VARCHAR) || '|' || coalesce(url, '')) AS h
-  FROM pages
-), r AS (
-  SELECT page_id, archive, page_id % 50 <> 7 AS intact,
+WITH primary_pages AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+), replica_pages AS (
+  SELECT page_id, url, CASE page_id % 50 WHEN 7 THEN '?' || substr(html, 2) WHEN 17 THEN substr(html, 1, CAST(floor(length(html) / 2) AS BIGINT)) ELSE html END AS html
+  FROM primary_pages WHERE page_id % 50 <> 27
+  UNION ALL SELECT page_id + 1000000000000, url, html FROM primary_pages WHERE page_id % 50 = 37
+), both_sides AS (
+  SELECT 'p' AS side, * FROM primary_pages UNION ALL SELECT 'r', * FROM replica_pages
+), named AS (
+  SELECT *, md5(CAST(page_id AS VARCHAR) || '|' || url) AS h FROM both_sides
+), recorded AS (
+  SELECT side, page_id,
          'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
          || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:'
          || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) || '>' || chr(13) || chr(10)
          || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
          || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
-  FROM p
-), s AS (
-  SELECT page_id, archive, intact, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256 FROM r
+  FROM named
+), hashed AS (
+  SELECT side, page_id, CAST(floor(page_id / 2048.0) AS BIGINT) AS archive, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256 FROM recorded
+), placed AS (
+  SELECT *, CAST(sum(length) OVER (PARTITION BY side, archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length AS BIGINT) AS start FROM hashed
+), judged AS (
+  SELECT coalesce(p.page_id, r.page_id) AS page_id, coalesce(p.archive, r.archive) AS archive, coalesce(p.start, r.start) AS start, coalesce(p.length, r.length) AS length, coalesce(p.sha256, r.sha256) AS sha256,
+         CASE WHEN r.page_id IS NULL THEN 'missing' WHEN p.page_id IS NULL THEN 'added' WHEN p.sha256 <> r.sha256 THEN 'corrupt' WHEN p.start <> r.start THEN 'moved' ELSE 'intact' END AS status
+  FROM (SELECT * FROM placed WHERE side = 'p') p FULL JOIN (SELECT * FROM placed WHERE side = 'r') r ON p.page_id = r.page_id
 )
-SELECT page_id, archive, CAST(row_number() OVER w - 1 AS BIGINT) AS leaf, CAST(sum(length) OVER w - length AS BIGINT) AS "offset", length, sha256, intact
-FROM s WINDOW w AS (PARTITION BY archive ORDER BY page_id, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+SELECT page_id, archive, page_id - 2048 * archive AS leaf, start AS "offset", length, sha256, CAST(1 AS BIGINT) AS copies, status, status IN ('intact', 'moved') AS intact FROM judged
 """
 
 _NEXT = " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER d" for k in range(1, 13))])

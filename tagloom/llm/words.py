@@ -98,16 +98,29 @@ class Words:
         self.first = np.concatenate((np.zeros(1, np.int64), np.searchsorted(self.start, ends)))
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(ends)), self.count)
+        self._total: np.ndarray | None = None
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word: its bytes' numbers weighed by powers of an odd base."""
-        n = len(self.data)
-        power = np.full(n, _BASE, U)
-        power[0] = 1
+        return self.range_hashes(self.start, self.end)
+
+    def range_hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The same of any ranges of bytes; equal bytes have equal hashes wherever they stand."""
+        if self._total is None:
+            power = np.full(len(self.data), _BASE, U)
+            power[0] = 1
+            with np.errstate(over="ignore"):
+                power = np.multiply.accumulate(power)
+                self._total = np.concatenate((np.zeros(1, U), np.cumsum(_BYTE[self.data] * power)))
         with np.errstate(over="ignore"):
-            power = np.multiply.accumulate(power)
-            total = np.concatenate((np.zeros(1, U), np.cumsum(_BYTE[self.data] * power)))
-            return mix((total[self.end] - total[self.start]) * _inverse_powers(self.start))
+            return mix((self._total[end] - self._total[start]) * _inverse_powers(start))
+
+    def beginnings(self, points: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of the first so many code points of each longer word."""
+        heads = np.flatnonzero((self.data & 0xC0) != 0x80)
+        to = heads[np.minimum(np.searchsorted(heads, self.start) + points, len(heads) - 1)]
+        longer = to < self.end
+        return self.doc[longer], self.range_hashes(self.start[longer], to[longer])
 
 
 def _inverse_powers(at: np.ndarray) -> np.ndarray:

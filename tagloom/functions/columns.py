@@ -104,17 +104,40 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "^/+", ""), "(?i)^images/", "")
 
 
+def preview_path(path: Column, folder: str = "thumbnails", extension: str = ".webp") -> Column:
+    """Where a picture's preview lies: the folder, the bucket of its name, the name with another extension (OP-124)."""
+    name = F.element_at(F.split(plain_path(path), "/"), -1)
+    return F.concat(F.lit(folder + "/"), hash_bucket(name), F.lit("/"), F.regexp_replace(name, r"\.[^.]+$", ""), F.lit(extension))
+
+
+def short_name(name: Column, most: int = 200) -> Column:
+    """A file name of at most so many bytes: a longer one is cut and gets eight digits of its hash before its extension (OP-124)."""
+    extension = F.regexp_extract(name, r"(\.[^.]{1,10})$", 1)
+    stem = F.substring(name, F.lit(1), F.lit((most - 20) // 4))  # a character has at most four bytes
+    return F.when(F.octet_length(name) <= most, name).otherwise(F.concat(stem, F.lit("_"), F.substring(F.md5(name), 1, 8), extension))
+
+
+#: How a file name may hold a post's number: before a page mark, after a site's name, or as the whole name.
+NAME_IDS = (r"([0-9]{6,})_p[0-9]+\.", r"(?i)[a-z]+[_-]([0-9]{6,})\.", r"^([0-9]{6,9})(?:\.[^.]*)?$")
+
+
+def id_in_name(name: Column) -> Column:
+    """A post's number in a file name; null without one (OP-122)."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(name, p, 1), F.lit("")) for p in NAME_IDS)).try_cast("long")
+
+
 def nearest_rank(values: Column, q: float) -> Column:
     """The value at the rounded index (n - 1) q of a sorted array (OP-132)."""
     return F.element_at(F.sort_array(values), (F.rint((F.size(values) - 1) * F.lit(q)) + 1).cast("int"))
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions of the engine: hamming_hex64, tag_jaccard, hash_bucket."""
+    """SQL functions of the engine: hamming_hex64, tag_jaccard, natural_sort_key, hash_bucket."""
     for statement in (
         "CREATE OR REPLACE TEMPORARY FUNCTION hamming_hex64(a STRING, b STRING) RETURNS INT RETURN CASE WHEN a RLIKE '^[0-9A-Fa-f]{16}$' AND b RLIKE '^[0-9A-Fa-f]{16}$' THEN"
         " bit_count(CAST(conv(substring(a,1,8),16,10) AS BIGINT) ^ CAST(conv(substring(b,1,8),16,10) AS BIGINT)) + bit_count(CAST(conv(substring(a,9,8),16,10) AS BIGINT) ^ CAST(conv(substring(b,9,8),16,10) AS BIGINT)) ELSE 64 END",
         "CREATE OR REPLACE TEMPORARY FUNCTION tag_jaccard(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS DOUBLE RETURN CASE WHEN size(a) > 0 AND size(b) > 0 THEN size(array_intersect(a, b)) / size(array_union(a, b)) ELSE 0.0 END",
+        "CREATE OR REPLACE TEMPORARY FUNCTION natural_sort_key(name STRING) RETURNS STRING RETURN array_join(transform(regexp_extract_all(lower(name), '([0-9]+|[^0-9]+)', 1), p -> CASE WHEN p RLIKE '^[0-9]' THEN lpad(p, 12, '0') ELSE p END), '')",
         "CREATE OR REPLACE TEMPORARY FUNCTION hash_bucket(name STRING) RETURNS STRING RETURN substring(md5(name), 1, 3)",
     ):
         spark.sql(statement)

@@ -11,9 +11,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Least difference of a changed pixel, its least changed neighbours with itself, and the shares of the signal.
 CHANGED = 24 / 255.0
 LEAST_NEIGHBOURS = 4
-METRICS = "mean_abs_diff double, changed_ratio double, largest_blob_ratio double, blob_count long, peak_blob_contrast double, visual_signal double"
+SIGNAL = {"largest_blob_ratio": 0.55, "peak_blob_contrast": 0.25, "changed_ratio": 0.15, "mask_mismatch": 0.05}
+METRICS = "mean_abs_diff double, changed_ratio double, largest_blob_ratio double, blob_count long, peak_blob_contrast double, mask_mismatch double, visual_signal double"
 
 
 def _cosines(n: int) -> np.ndarray:
@@ -42,29 +44,45 @@ def regions(mask: np.ndarray) -> np.ndarray:
         labels = spread
 
 
-def differences(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float, int, float, float]:
-    """Mean difference, changed share, largest region's share, regions, their greatest mean contrast, and the signal of these (OP-179)."""
+def differences(a: np.ndarray, b: np.ndarray, mask_a: np.ndarray | None = None, mask_b: np.ndarray | None = None) -> tuple[float, float, float, int, float, float, float] | None:
+    """Mean difference, changed share, largest region's share, regions, their greatest mean contrast, mask mismatch, and the signal of these (OP-179).
+
+    Masks say how far each pixel belongs to the picture (0 to 1, all of it
+    without one); shares are of the pixels that belong to either.  None where
+    no pixel does.
+    """
     n = int(round(len(a) ** 0.5))
+    one = np.ones(len(a))
+    mask_a, mask_b = one if mask_a is None else mask_a, one if mask_b is None else mask_b
+    either = (np.maximum(mask_a, mask_b) > 0).reshape(n, n)
+    if not either.any():
+        return None
     diff = np.abs(a - b).reshape(n, n)
-    raw = diff >= CHANGED
+    raw = (diff >= CHANGED) & either
     p = np.pad(raw.astype(np.int64), 1)
     around = sum(p[1 + dy : 1 + dy + n, 1 + dx : 1 + dx + n] for dy in (-1, 0, 1) for dx in (-1, 0, 1))
     mask = raw & (around >= LEAST_NEIGHBOURS)
     labels = regions(mask)
     found, place, sizes = np.unique(labels[mask], return_inverse=True, return_counts=True)
-    contrast = float((np.bincount(place, weights=diff[mask]) / sizes).max()) if len(found) else 0.0
-    largest = float(sizes.max() / diff.size) if len(found) else 0.0
-    changed = float(mask.mean())
-    return float(diff.mean()), changed, largest, len(found), contrast, 0.55 * largest + 0.25 * contrast + 0.15 * changed
+    of = {
+        "changed_ratio": float(mask[either].mean()), "largest_blob_ratio": float(sizes.max() / either.sum()) if len(found) else 0.0,
+        "peak_blob_contrast": float((np.bincount(place, weights=diff[mask]) / sizes).max()) if len(found) else 0.0, "mask_mismatch": float(np.abs(mask_a - mask_b).mean()),
+    }
+    signal = sum(share * of[k] for k, share in SIGNAL.items())
+    return float(diff[either].mean()), of["changed_ratio"], of["largest_blob_ratio"], len(found), of["peak_blob_contrast"], of["mask_mismatch"], signal
 
 
 def _phashes(grey: pd.Series) -> pd.Series:
     return grey.map(lambda g: None if g is None else phash(np.asarray(g, np.float64)))
 
 
-def _differences(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    rows = [differences(np.asarray(x, np.float64), np.asarray(y, np.float64)) for x, y in zip(a, b, strict=True)]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in METRICS.split(", ")])
+def _differences(a: pd.Series, b: pd.Series, *masks: pd.Series) -> pd.DataFrame:
+    columns = [c.split()[0] for c in METRICS.split(", ")]
+    array = lambda x: None if x is None else np.asarray(x, np.float64)
+    rows = [(differences(*map(array, each)) if each[0] is not None and each[1] is not None else None) or (None,) * len(columns) for each in zip(a, b, *masks, strict=True)]
+    out = pd.DataFrame(rows, columns=columns)
+    out["blob_count"] = out["blob_count"].astype("Int64")
+    return out
 
 
 def phash_of(grey: str | Column) -> Column:
@@ -72,6 +90,22 @@ def phash_of(grey: str | Column) -> Column:
     return F.pandas_udf(_phashes, "string")(grey)
 
 
-def differences_of(a: str | Column, b: str | Column) -> Column:
-    """Visual metrics of each pair of pictures."""
-    return F.pandas_udf(_differences, METRICS)(a, b)
+def differences_of(a: str | Column, b: str | Column, *masks: str | Column) -> Column:
+    """Visual metrics of each pair of pictures, of which masks may be given, both or none; nulls where there is nothing to compare."""
+    return F.pandas_udf(_differences, METRICS)(a, b, *masks)
+
+
+def color_hash(rgb: np.ndarray, bins: int = 4) -> str:
+    """Hex of which cells of a coarse colour histogram of a picture, values (pixels, 3) in 0 to 1, hold more than an even share (OP-161)."""
+    cell = np.minimum((rgb.reshape(-1, 3) * bins).astype(np.int64), bins - 1) @ np.array([bins * bins, bins, 1])
+    share = np.bincount(cell, minlength=bins**3) / max(len(cell), 1)
+    return np.packbits(share > 1 / bins**3).tobytes().hex()
+
+
+def _color_hashes(rgb: pd.Series) -> pd.Series:
+    return rgb.map(lambda v: None if v is None else color_hash(np.asarray(v, np.float64)))
+
+
+def color_hash_of(rgb: str | Column) -> Column:
+    """Colour hash of each picture given as a flat array of red, green and blue; null for a null one."""
+    return F.pandas_udf(_color_hashes, "string")(rgb)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.functions.lineage import Scratch
+
 
 def upsert(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``new`` replace those of equal key; others are added (OP-133, OP-135, OP-172, OP-278)."""
@@ -48,7 +50,7 @@ def reorder(pool_items: DataFrame, pool_id: int, item_id: int, to: int) -> DataF
     start = pool_items.where((F.col("pool_id") == pool_id) & (F.col("item_id") == item_id)).select(F.col("sort_order").alias("s"))
     at, s = F.col("sort_order"), F.col("s")
     moved = F.when(F.col("item_id") == item_id, F.lit(to)).when((at > s) & (at <= to), at - 1).when((at < s) & (at >= to), at + 1).otherwise(at)
-    mine = pool_items.where(F.col("pool_id") == pool_id).join(start, F.lit(True)).select("pool_id", "item_id", moved.cast("long").alias("sort_order"))  # one row in start
+    mine = pool_items.where(F.col("pool_id") == pool_id).join(F.broadcast(start), F.lit(True)).select("pool_id", "item_id", moved.cast("long").alias("sort_order"))  # one row in start
     return pool_items.where(F.col("pool_id") != pool_id).select("pool_id", "item_id", F.col("sort_order").cast("long").alias("sort_order")).unionByName(mine)
 
 
@@ -57,15 +59,60 @@ def trusted_predictions(predictions: DataFrame, least: float) -> DataFrame:
     return predictions.where(F.col("confidence") >= least)
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows with ``key``, 1 for the least of a column and so on, over any number of machines.
+
+    Ranges of the column are dealt to partitions in order; a row's number is its
+    place in its partition and the rows of the partitions before it.
+    """
+    scratch = Scratch(rows.sparkSession, "numbered")
+    dealt = scratch.save(rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # a row per partition
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(order))
+    return dealt.withColumn("__place", place).join(before, "__part").withColumn("key", (F.col("__before") + F.col("__place")).cast("long")).drop("__part", "__place", "__before")
+
+
 def surrogate_keys(names: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """(name, key): new names get keys after the greatest one, in order of name (OP-019, OP-271)."""
-    from pyspark.sql import Window
-
-    base = F.lit(0)
-    fresh = names.select("name").distinct()
-    if existing is not None:
-        top = existing.agg(F.coalesce(F.max("key"), F.lit(0)).alias("top"))  # one row
-        fresh = fresh.join(existing, "name", "left_anti").join(top, F.lit(True))
-        base = F.col("top")
-    keyed = fresh.select("name", (F.row_number().over(Window.orderBy("name")) + base).cast("long").alias("key"))  # a dimension
-    return keyed if existing is None else existing.select("name", "key").unionByName(keyed)
+    fresh = names.select("name").where("name is not null").distinct()
+    if existing is None:
+        return numbered(fresh, "name").select("name", "key")
+    top = existing.agg(F.coalesce(F.max("key"), F.lit(0)).alias("top"))  # one row
+    keyed = numbered(fresh.join(existing, "name", "left_anti"), "name").join(F.broadcast(top), F.lit(True))
+    return existing.select("name", F.col("key").cast("long").alias("key")).unionByName(keyed.select("name", (F.col("key") + F.col("top")).alias("key")))
+
+
+def insert_items(tables: dict[str, DataFrame], new: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, outcome) of inserting items with their child rows at once (OP-136).
+
+    tables, new: ``items`` (item_id, md5, filepath, ..), and children keyed by
+    item_id.  An item whose md5, path or id is there already, or that comes
+    twice, is refused with all its children; so is one whose only sources are
+    complementary (``stands_alone`` true).  outcome: (item_id, inserted).
+    """
+    own, asked = tables["items"], new["items"]
+    fresh = asked.dropDuplicates(["item_id"]).dropDuplicates(["md5"]).dropDuplicates(["filepath"])
+    for key in ("item_id", "md5", "filepath"):
+        fresh = fresh.join(own, key, "left_anti")
+    if "stands_alone" in asked.columns:
+        fresh = fresh.where("not stands_alone").drop("stands_alone")
+    ids = fresh.select("item_id")
+    out = {"items": own.unionByName(fresh.select(*own.columns))}
+    out |= {k: v.unionByName(new[k].join(ids, "item_id", "left_semi").select(*v.columns)) if k in new else v for k, v in tables.items() if k != "items"}
+    done = ids.withColumn("inserted", F.lit(True))
+    return out, asked.select("item_id").distinct().join(done, "item_id", "left").select("item_id", F.coalesce("inserted", F.lit(False)).alias("inserted"))
+
+
+def add_to_pool(pool_items: DataFrame, new: DataFrame) -> DataFrame:
+    """The pools with items (pool_id, item_id) put at their ends, in order of id; members stay where they are (OP-107, OP-141)."""
+    fresh = new.select("pool_id", "item_id").distinct().join(pool_items, ["pool_id", "item_id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("pool_id").orderBy("item_id"))
+    ends = pool_items.groupBy("pool_id").agg(F.max("sort_order").alias("top"))
+    added = fresh.withColumn("p", place).join(ends, "pool_id", "left").select("pool_id", "item_id", (F.coalesce("top", F.lit(0)) + F.col("p")).cast("long").alias("sort_order"))
+    return pool_items.select("pool_id", "item_id", F.col("sort_order").cast("long").alias("sort_order")).unionByName(added)
+
+
+def remove_pools(pools: DataFrame, pool_items: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pools and memberships without some pools (pool_id) (OP-141)."""
+    return pools.join(gone, "pool_id", "left_anti"), pool_items.join(gone, "pool_id", "left_anti")

@@ -43,6 +43,29 @@ def broken_items(c: Catalog, embeddings: DataFrame, dim: int) -> DataFrame:
     return found.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("issue")), ",").alias("issues"), F.countDistinct("issue").alias("n"))
 
 
+def without_artefact(items: DataFrame, files: DataFrame, prefix: str, extension: str) -> DataFrame:
+    """(item_id, expected) of items whose derived file, such as a preview, is not among the files (path) (OP-247)."""
+    stem = F.regexp_replace(F.col("filepath"), r"\.[^./]+$", "")
+    wanted = items.select("item_id", F.concat(F.lit(prefix.rstrip("/") + "/"), stem, F.lit(extension)).alias("expected"))
+    return wanted.join(files.select(F.col("path").alias("expected")), "expected", "left_anti").select("item_id", "expected")
+
+
+def cleanup(tables: dict[str, DataFrame], broken: DataFrame, action: str, embeddings: str = "embeddings") -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, work) after an action on broken items (item_id), which must be named (OP-148).
+
+    delete: their rows leave every table, and work names their files to take in
+    again; retry: only their vectors leave, and work names the items to process
+    anew; scan: nothing changes.  ``tables`` holds ``items`` and any child tables.
+    """
+    paths = tables["items"].join(broken, "item_id", "left_semi").select("item_id", "filepath")
+    if action == "scan":
+        return tables, paths
+    if action not in ("delete", "retry"):
+        raise ValueError(action)
+    gone = tables if action == "delete" else {k: v for k, v in tables.items() if k == embeddings}
+    return tables | {k: v.join(broken, "item_id", "left_anti") for k, v in gone.items()}, paths
+
+
 def run_checks(checks: dict[str, DataFrame]) -> DataFrame:
     """(check, found, passed) of named frames of faults (OP-149)."""
     out: DataFrame | None = None

@@ -1,14 +1,56 @@
-"""Classifier over tags and tag pairs by log-likelihood ratios (OP-187 to OP-201)."""
+"""Classifier over tags and tag pairs by log-likelihood ratios (OP-187 to OP-201, OP-277)."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields, replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.constants import MIN_CONFIDENCE, PAIR_MULTIPLIER, RATING_THRESHOLDS, RATINGS
 
 EPSILON = 1e-10
+#: Tags of an item whose pairs are scored, by name; None for all.
 MAX_PAIR_TAGS = 100
+PROVENANCE = "rating-source:"
+
+
+@dataclass(frozen=True)
+class Config:
+    """Settings of training and inference, numbers all (OP-201)."""
+
+    threshold_general: float = RATING_THRESHOLDS[0]
+    threshold_sensitive: float = RATING_THRESHOLDS[1]
+    threshold_questionable: float = RATING_THRESHOLDS[2]
+    threshold_explicit: float = RATING_THRESHOLDS[3]
+    min_confidence: float = MIN_CONFIDENCE
+    pair_multiplier: float = PAIR_MULTIPLIER
+    min_training_samples: float = 50
+    min_tag_frequency: float = 10
+    min_pair_cooccurrence: float = 10
+    max_pair_count: float | None = 25_000
+    pruning_threshold: float = 0.01
+    stale_after: float = 50
+
+    @property
+    def thresholds(self) -> tuple[float, ...]:
+        return self.threshold_general, self.threshold_sensitive, self.threshold_questionable, self.threshold_explicit
+
+    def updated(self, key: str, value: float) -> Config:
+        """With one setting changed; an unknown name is an error."""
+        if key not in {f.name for f in fields(self)}:
+            raise KeyError(key)
+        return replace(self, **{key: value})
+
+    def table(self, like: DataFrame) -> DataFrame:
+        """(key, value) of all settings."""
+        return like.sparkSession.createDataFrame([(f.name, None if (v := getattr(self, f.name)) is None else float(v)) for f in fields(self)], "key string, value double")
+
+
+def config_from(table: DataFrame) -> Config:
+    """Settings from (key, value); what is missing has its default, and unknown keys are left out (OP-201)."""
+    known = {f.name for f in fields(Config)}
+    return replace(Config(), **{r.key: r.value for r in table.where(F.col("key").isin(*sorted(known))).collect()})  # a row per setting
 
 
 def rated_items(item_tags: DataFrame) -> DataFrame:
@@ -32,7 +74,7 @@ def weigh(found: DataFrame, rated: DataFrame, key: list[str]) -> DataFrame:
     """(key, rating, weight, n) of every feature and rating, zero counts included; tiny weights go (OP-189, OP-191)."""
     per_rating = rated.groupBy("rating").agg(F.count("*").alias("n_rating"))  # four rows at most
     every = rated.agg(F.count("*").alias("n_all"))
-    usable = per_rating.join(every, F.lit(True)).where("n_rating < n_all")
+    usable = per_rating.join(F.broadcast(every), F.lit(True)).where("n_rating < n_all")
     hits = found.groupBy(*key).pivot("rating", list(range(len(RATINGS)))).count().na.fill(0)
     long = hits.select(*key, sum(F.col(str(k)) for k in range(len(RATINGS))).alias("n_total"), F.posexplode(F.array(*(F.col(str(k)) for k in range(len(RATINGS))))).alias("rating", "n"))
     w = llr(F.col("n"), F.col("n_rating"), F.col("n_total"), F.col("n_all"))
@@ -60,14 +102,17 @@ def pair_weights(found: DataFrame, rated: DataFrame, pairs: DataFrame) -> DataFr
     return weigh(pair_rows(found, pairs), rated, ["tag1", "tag2"])
 
 
-def scores(tags: DataFrame, weights: DataFrame, pair_w: DataFrame | None = None) -> DataFrame:
-    """(item_id, rating, score) of items (item_id, tag): tag weights, and 1.5 times pair weights over the first 100 tags (OP-194)."""
+def scores(tags: DataFrame, weights: DataFrame, pair_w: DataFrame | None = None, multiplier: float = PAIR_MULTIPLIER, max_pair_tags: int | None = MAX_PAIR_TAGS) -> DataFrame:
+    """(item_id, rating, score) of items (item_id, tag): tag weights, and 1.5 times pair weights over the first 100 tags by name, or over all (OP-194)."""
+    tags = tags.select("item_id", "tag").distinct()  # a name may stand in two categories
     part = tags.join(weights, "tag").select("item_id", "rating", "weight")
     if pair_w is not None:
-        place = F.row_number().over(Window.partitionBy("item_id").orderBy("tag"))
-        first = tags.withColumn("p", place).where(F.col("p") <= MAX_PAIR_TAGS).select("item_id", "tag")
+        first = tags
+        if max_pair_tags is not None:
+            place = F.row_number().over(Window.partitionBy("item_id").orderBy("tag"))
+            first = first.withColumn("p", place).where(F.col("p") <= max_pair_tags).select("item_id", "tag")
         with_first = first.join(pair_w, first.tag == F.col("tag1")).select("item_id", "tag2", "rating", "weight")
-        part = part.unionByName(with_first.join(first.select("item_id", F.col("tag").alias("tag2")), ["item_id", "tag2"]).select("item_id", "rating", (F.col("weight") * PAIR_MULTIPLIER).alias("weight")))
+        part = part.unionByName(with_first.join(first.select("item_id", F.col("tag").alias("tag2")), ["item_id", "tag2"]).select("item_id", "rating", (F.col("weight") * multiplier).alias("weight")))
     sums = part.groupBy("item_id").pivot("rating", list(range(len(RATINGS)))).agg(F.sum("weight")).na.fill(0.0)
     return sums.select("item_id", F.posexplode(F.array(*(F.col(str(k)) for k in range(len(RATINGS))))).alias("rating", "score"))
 
@@ -79,11 +124,11 @@ def softmax(scored: DataFrame) -> DataFrame:
     return e.select("item_id", "rating", (F.col("e") / F.sum("e").over(w)).alias("p"))
 
 
-def decide(p: DataFrame) -> DataFrame:
+def decide(p: DataFrame, config: Config = Config()) -> DataFrame:
     """(item_id, rating, confidence): the likeliest rating, ties to the first, null below its threshold (OP-196)."""
     best = p.groupBy("item_id").agg(F.max(F.struct(F.round("p", 9).alias("p"), (-F.col("rating")).alias("r"))).alias("m"))
     place = (-F.col("m.r")).cast("int")
-    needed = F.greatest(F.element_at(F.array(*map(F.lit, RATING_THRESHOLDS)), place + 1), F.lit(MIN_CONFIDENCE))
+    needed = F.greatest(F.element_at(F.array(*map(F.lit, config.thresholds)), place + 1), F.lit(config.min_confidence))
     name = F.element_at(F.array(*map(F.lit, RATINGS)), place + 1)
     return best.select("item_id", F.when(F.col("m.p") >= needed, name).alias("rating"), F.round("m.p", 5).alias("confidence"))
 
@@ -93,17 +138,90 @@ def top_weighted(weights: DataFrame, rating: int, k: int) -> DataFrame:
     return weights.where(F.col("rating") == rating).select("tag", F.round("weight", 3).alias("weight"), "n").orderBy(F.desc("weight"), F.desc("n"), "tag").limit(k)
 
 
-def train(item_tags: DataFrame, min_samples: int = 50) -> tuple[DataFrame, DataFrame] | None:
+def top_weighted_pairs(pair_w: DataFrame, rating: int, k: int) -> DataFrame:
+    """The strongest tag pairs of a rating (OP-200)."""
+    return pair_w.where(F.col("rating") == rating).select("tag1", "tag2", F.round("weight", 3).alias("weight"), "n").orderBy(F.desc("weight"), F.desc("n"), "tag1", "tag2").limit(k)
+
+
+def pruned(weights: DataFrame, least: float) -> DataFrame:
+    """Weights of at least so much either way (OP-192)."""
+    return weights.where(F.abs("weight") >= least)
+
+
+def train(item_tags: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame] | None:
     """Tag and pair weights; None with fewer rated items than needed (OP-192)."""
     rated = rated_items(item_tags)
-    if rated.count() < min_samples:
+    if rated.count() < config.min_training_samples:
         return None
     found = features(item_tags, rated)
-    return weigh(found, rated, ["tag"]), pair_weights(found, rated, frequent_pairs(found))
+    limit = None if config.max_pair_count is None else int(config.max_pair_count)
+    pairs = frequent_pairs(found, int(config.min_tag_frequency), int(config.min_pair_cooccurrence), limit)
+    return pruned(weigh(found, rated, ["tag"]), config.pruning_threshold), pruned(pair_weights(found, rated, pairs), config.pruning_threshold)
+
+
+def unrated(items: DataFrame, item_tags: DataFrame) -> DataFrame:
+    """(item_id) of items without a rating (OP-188)."""
+    return items.join(item_tags.where(F.col("tag").isin(*RATINGS)), "item_id", "left_anti").select("item_id")
 
 
-def set_rating(item_tags: DataFrame, item_id: int, rating: str) -> DataFrame:
-    """The tag table with one item's rating replaced (OP-198)."""
-    spark = item_tags.sparkSession
-    rest = item_tags.where(~((F.col("item_id") == item_id) & F.startswith("tag", F.lit("rating"))))
-    return rest.unionByName(spark.createDataFrame([(item_id, rating, "meta")], "item_id long, tag string, category string"))
+def infer(items: DataFrame, item_tags: DataFrame, weights: DataFrame, pair_w: DataFrame | None = None, config: Config = Config()) -> DataFrame:
+    """(item_id, rating, confidence) of given items; without a tag that the model knows, null and 0 (OP-197, OP-277)."""
+    own = item_tags.where(~F.startswith("tag", F.lit("rating"))).join(items.select("item_id"), "item_id", "left_semi")
+    made = decide(softmax(scores(own, weights, pair_w, config.pair_multiplier)), config)
+    return items.select("item_id").join(made, "item_id", "left").select("item_id", "rating", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+def inference_stats(inferred: DataFrame) -> DataFrame:
+    """(processed, rated, skipped_low, skipped_unknown, and one count per rating) of a run (OP-197, OP-277)."""
+    r = F.col("rating")
+    return inferred.agg(
+        F.count("*").alias("processed"), F.count("rating").alias("rated"), F.count_if(r.isNull() & (F.col("confidence") > 0)).alias("skipped_low"), F.count_if(r.isNull() & (F.col("confidence") == 0)).alias("skipped_unknown"),
+        *(F.count_if(r == name).alias(name.removeprefix("rating:")) for name in RATINGS),
+    )
+
+
+def set_ratings(facts: DataFrame, chosen: DataFrame, given_by: str = "user") -> DataFrame:
+    """The facts with the ratings of chosen (item_id, rating) replaced, and a tag that tells who gave them; a null rating takes it away (OP-198)."""
+    old = F.col("tag").isin(*RATINGS) | F.startswith("tag", F.lit(PROVENANCE))
+    rest = facts.where(~old).unionByName(facts.where(old).join(chosen, "item_id", "left_anti"))
+    meta = [F.lit("meta").alias("category"), F.lit(given_by).alias("source")]
+    new = chosen.where("rating is not null").select("item_id", F.explode(F.array("rating", F.lit(PROVENANCE + given_by.replace("_", "-")))).alias("tag"), *meta)
+    return rest.select("item_id", "tag", "category", "source").unionByName(new)
+
+
+def rating_changes(facts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(item_id, tag, op) that ratings given by hand write into the change log (OP-198)."""
+    old = facts.where(F.col("tag").isin(*RATINGS)).join(chosen, "item_id").where("rating is not null and tag <> rating").select("item_id", "tag", F.lit("remove").alias("op"))
+    return chosen.where("rating is not null").select("item_id", F.col("rating").alias("tag"), F.lit("add").alias("op")).unionByName(old)
+
+
+def pending_corrections(log: DataFrame, last_trained: str | None) -> DataFrame:
+    """(pending): changes of ratings since the last training; none before the first one (OP-128, OP-199)."""
+    since = F.lit(False) if last_trained is None else F.col("ts") > F.lit(last_trained).cast("timestamp_ntz")
+    return log.where(since & F.startswith("tag", F.lit("rating:"))).agg(F.count("*").alias("pending"))
+
+
+def model_stats(items: DataFrame, facts: DataFrame, log: DataFrame, last_trained: str | None, config: Config = Config()) -> DataFrame:
+    """One row: trained, pending, stale, unrated, and ratings in total and by who gave them (OP-199)."""
+    given = facts.where(F.col("tag").isin(*RATINGS))
+    by = given.agg(F.count("*").alias("ratings"), *(F.count_if(F.col("source") == k).alias(name) for k, name in (("user", "by_user"), ("original", "by_source"), ("ai_inference", "by_model"))))
+    pending = pending_corrections(log, last_trained)
+    free = unrated(items, facts).agg(F.count("*").alias("unrated"))
+    rows = pending.join(F.broadcast(free), F.lit(True)).join(F.broadcast(by), F.lit(True))  # one row each
+    return rows.select(F.lit(last_trained is not None).alias("trained"), "pending", (F.col("pending") >= config.stale_after).alias("stale"), "unrated", "ratings", "by_user", "by_source", "by_model")
+
+
+def without_inferred(facts: DataFrame) -> DataFrame:
+    """The facts without ratings that the model gave (OP-199)."""
+    return facts.where("source <> 'ai_inference'")
+
+
+def retrain_and_reapply(items: DataFrame, facts: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame] | None:
+    """(facts, inferred): the model's ratings cleared, the model trained anew, every unrated item rated again; None with too few rated items (OP-199)."""
+    clean = without_inferred(facts)
+    trusted = clean.where(F.col("source").isin("user", "original"))
+    model = train(trusted, config)
+    if model is None:
+        return None
+    inferred = infer(unrated(items, clean), clean, *model, config)
+    return set_ratings(clean, inferred.where("rating is not null").select("item_id", "rating"), "ai_inference"), inferred

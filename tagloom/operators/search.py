@@ -7,16 +7,18 @@ are pushed into the scan, so no tag list is built for items that do not match.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.constants import AUTOCOMPLETE_ORDER
-from tagloom.operators.dsl import SearchSpec, parse
+from tagloom.functions.constants import AUTOCOMPLETE_ORDER, BASE_CATEGORIES, RATINGS, VIDEO_EXTENSIONS
+from tagloom.operators.dsl import FLAGS, SearchSpec, parse
 from tagloom.sources.proxies import Catalog
 
 MISSING = -999_999
+ORDER_KEYS = ("score", "score_desc", "score_asc", "fav", "fav_desc", "fav_asc", "new", "ingested", "newest", "recent", "old", "oldest")
 
 
 def with_all(items: DataFrame, bridge: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
@@ -114,6 +116,12 @@ def items_with_tags(c: Catalog) -> DataFrame:
     return c.items.join(tags, "item_id", "left").select("item_id", "filepath", F.coalesce("tags", F.lit("")).alias("tags"))
 
 
+def category_texts(c: Catalog) -> DataFrame:
+    """(item_id, tags_all): the six categories' texts, each possibly empty, joined by a space in their fixed order (OP-052)."""
+    cell = lambda k: F.coalesce(F.array_join(F.array_sort(F.collect_set(F.when(F.col("category") == k, F.col("tag")))), " "), F.lit(""))
+    return c.item_tags.groupBy("item_id").agg(F.concat_ws(" ", *(cell(k) for k in BASE_CATEGORIES)).alias("tags_all"))
+
+
 def pool_contents(c: Catalog, name: str) -> DataFrame:
     """Items of pools whose name contains the text, with their place (OP-056)."""
     named = c.pools.where(F.contains(F.lower("name"), F.lit(name.lower())))
@@ -128,6 +136,12 @@ def tag_browse(c: Catalog, text: str = "", category: str | None = None, limit: i
     return kept.groupBy("tag", "category").agg(F.countDistinct("item_id").alias("n")).where("n > 0").orderBy("tag", "category").offset(offset).limit(limit)
 
 
+def tag_browse_total(c: Catalog, text: str = "", category: str | None = None) -> DataFrame:
+    """(total) of tags that ``tag_browse`` pages through (OP-057)."""
+    kept = c.item_tags.where(F.contains(F.lower("tag"), F.lit(text.lower())))
+    return (kept.where(F.col("category") == category) if category else kept).select("tag", "category").distinct().agg(F.count("*").alias("total"))
+
+
 def autocomplete(c: Catalog, query: str, top: int = 20, per_category: int = 5) -> DataFrame:
     """(tag, category, n, is_prefix, place): the most used tags that hold the last word, by category (OP-058)."""
     token = (query.strip().lower().split() or [""])[-1]
@@ -141,17 +155,18 @@ def autocomplete(c: Catalog, query: str, top: int = 20, per_category: int = 5) -
     return rows.withColumn("tag", F.concat(F.lit("-" if negative else ""), "tag"))
 
 
-#: What the search box offers for the beginning of a keyword.
-FILTER_KEYWORDS = {
-    "rating:general": ("rating", "general", "safe"), "rating:sensitive": ("rating", "sensitive"), "rating:questionable": ("rating", "questionable"), "rating:explicit": ("rating", "explicit"),
-    "has:parent": ("parent",), "has:child": ("child",), "has:upscaled": ("upscale", "upscaled", "4x"), "has:video": ("video", "mp4", "webm"), "is:favourite": ("favourite", "fav"), "pool:": ("pool",),
-    "order:new": ("order",), "order:newest": ("newest",), "order:old": ("old",), "order:oldest": ("oldest",), "order:score": ("score",), "order:score_asc": ("score",), "order:fav": ("fav",), "order:fav_asc": ("fav",),
-}
+def filter_keywords(sources: Sequence[str] = ()) -> dict[str, tuple[str, ...]]:
+    """Filters that the search box offers, each with words that lead to it, from the language's own tables (OP-058)."""
+    found = {r: ("rating", r.partition(":")[2], *(("safe",) if r == RATINGS[0] else ())) for r in RATINGS}
+    found |= {f"source:{s.lower()}": (s.lower(),) for s in sources}
+    found |= {f: (f.partition(":")[2],) for f in FLAGS if not f.startswith("-")}
+    found |= {f".{e}": (e,) for e in (*VIDEO_EXTENSIONS, "gif")} | {"has:video": ("video", *VIDEO_EXTENSIONS), "pool:": ("pool",), "filename:": ("filename",)}
+    return found | {f"order:{k}": ("order", k) for k in ORDER_KEYS}
 
 
-def filter_suggestions(token: str) -> list[str]:
+def filter_suggestions(token: str, sources: Sequence[str] = ()) -> list[str]:
     """Search filters that a word may begin (OP-058)."""
-    return [f for f, words in FILTER_KEYWORDS.items() if len(token) >= 2 and (f.startswith(token) or any(w.startswith(token) for w in words))]
+    return [f for f, words in filter_keywords(sources).items() if len(token) >= 2 and (f.startswith(token) or any(w.startswith(token) for w in words))]
 
 
 def pool_search(c: Catalog, text: str) -> DataFrame:
@@ -160,20 +175,71 @@ def pool_search(c: Catalog, text: str) -> DataFrame:
     return hit.join(c.pool_items, "pool_id", "left").groupBy("pool_id", "name").agg(F.count("item_id").alias("n"))
 
 
-def small_items(items: DataFrame, width: int, height: int, megapixels: float, exclude_upscaled: bool = True) -> DataFrame:
-    """Items narrow or low enough and not over the pixel count (OP-062)."""
-    small = ((F.col("image_width") <= width) | (F.col("image_height") <= height)) & (F.col("image_width") * F.col("image_height") / 1_000_000.0 <= megapixels)
+def small_items(items: DataFrame, width: int | None = None, height: int | None = None, megapixels: float | None = None, kilobytes: float | None = None, exclude_upscaled: bool = True) -> DataFrame:
+    """Items that any of the given limits calls small: narrow or low, of few pixels, of a small file (``filesize``) (OP-062)."""
+    w, h = F.col("image_width"), F.col("image_height")
+    checks = [(w <= width) | (h <= height)] if width is not None and height is not None else []
+    checks += [w * h / 1_000_000.0 <= megapixels] if megapixels is not None else []
+    checks += [F.col("filesize") / 1024.0 <= kilobytes] if kilobytes is not None else []
+    small = reduce(lambda a, b: a | b, checks, F.lit(False))
     return items.where(small & (F.col("upscaled_width").isNull() if exclude_upscaled else F.lit(True))).select("item_id", "image_width", "image_height")
 
 
-def review_feed(c: Catalog, after_id: int, limit: int) -> DataFrame:
-    """The next items without a rating, by id, with their tags (OP-061, OP-188)."""
+def review_feed(c: Catalog, after_id: int, limit: int, mode: str = "unrated", facts: DataFrame | None = None, skip: Sequence[int] = ()) -> DataFrame:
+    """The next items by id with their tags: without a rating, with one that the model gave, or any (OP-061, OP-188).
+
+    facts: the tag table with the source of each tag, for mode "ai_predicted".
+    """
     rated = c.item_tags.where(F.startswith("tag", F.lit("rating:")))
-    page = c.items.where(F.col("item_id") > after_id).join(rated, "item_id", "left_anti").orderBy("item_id").limit(limit).select("item_id", "filepath")
+    page = c.items.where(F.col("item_id") > after_id)
+    page = page.where(~F.col("item_id").isin(*skip)) if skip else page
+    if mode == "unrated":
+        page = page.join(rated, "item_id", "left_anti")
+    elif mode == "ai_predicted":
+        page = page.join((facts if facts is not None else c.facts).where(F.startswith("tag", F.lit("rating:")) & (F.col("source") == "ai_inference")), "item_id", "left_semi")
+    page = page.orderBy("item_id").limit(limit).select("item_id", "filepath")
     tags = c.item_tags.join(page, "item_id", "left_semi").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), " ").alias("tags"))
     return page.join(tags, "item_id", "left").select("item_id", "filepath", F.coalesce("tags", F.lit("")).alias("tags"))
 
 
+def text_index(items: DataFrame, item_tags: DataFrame) -> DataFrame:
+    """(word, item_id, field): the inverted index of paths and tags; write it partitioned or sorted by word (OP-008).
+
+    A path's words are its runs of letters and digits; a tag is a word itself,
+    and so are the runs within it.
+    """
+    runs = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"))
+    paths = items.select(F.explode(F.array_distinct(runs(F.col("filepath")))).alias("word"), "item_id", F.lit("path").alias("field"))
+    tags = item_tags.select(F.explode(F.array_distinct(F.concat(F.array(F.lower("tag")), runs(F.col("tag"))))).alias("word"), "item_id", F.lit("tag").alias("field"))
+    return paths.unionByName(tags).distinct()
+
+
+def index_updated(index: DataFrame, items: DataFrame, item_tags: DataFrame, changed: DataFrame) -> DataFrame:
+    """The index after items (item_id) were added, changed or removed: their old rows go, rows of those that still exist come (OP-009)."""
+    fresh = text_index(items.join(changed, "item_id", "left_semi"), item_tags.join(changed, "item_id", "left_semi"))
+    return index.join(changed, "item_id", "left_anti").unionByName(fresh)
+
+
+def index_search(index: DataFrame, words: Sequence[str], prefixes: Sequence[str] = ()) -> DataFrame:
+    """(item_id, score): items that hold every word and a word of each prefix, the best first (OP-048).
+
+    A whole word scores its rarity, ln(1 + N / n); a prefix half the rarest of
+    the words that it matches.  Conditions on words reach the index's scan.
+    """
+    wanted = [(w.lower(), False) for w in dict.fromkeys(words)] + [(p.lower(), True) for p in dict.fromkeys(prefixes)]
+    if not wanted:
+        return index.select("item_id", F.lit(0.0).alias("score")).where(F.lit(False))
+    hit = reduce(lambda a, b: a | b, (F.startswith("word", F.lit(w)) if p else F.col("word") == w for w, p in wanted))
+    rows = index.where(hit).select("word", "item_id").distinct()
+    df = rows.groupBy("word").agg(F.count("*").alias("n"))
+    total = index.agg(F.countDistinct("item_id").alias("total"))  # one row
+    rare = df.join(F.broadcast(total), F.lit(True)).select("word", F.log(1 + F.col("total") / F.col("n")).alias("rarity"))
+    terms = F.array_compact(F.array(*(F.when(F.startswith("word", F.lit(w)) if p else F.col("word") == w, F.struct(F.lit(k).alias("term"), F.lit(0.5 if p else 1.0).alias("part"))) for k, (w, p) in enumerate(wanted))))
+    per = rows.join(rare, "word").select("item_id", F.explode(terms).alias("t"), "rarity").groupBy("item_id", "t.term").agg(F.max(F.col("rarity") * F.col("t.part")).alias("s"))
+    found = per.groupBy("item_id").agg(F.count("*").alias("n"), F.sum("s").alias("score")).where(F.col("n") == len(wanted))
+    return found.select("item_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "item_id")
+
+
 def free_text(docs: DataFrame, terms: list[str]) -> DataFrame:
     """Documents that hold every term as a word or part of one, and how many are whole words (OP-048)."""
     low = F.lower("text")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ ALPHA = 0.6
 METHODS = ("jaccard", "weighted", "weighted_tfidf", "asymmetric", "asymmetric_tfidf")
 #: Rows of a block when every pair has to be compared.
 BLOCK = 2048
+#: Rows of a block whose products are held at a time.
+PRODUCT_ROWS = 256
 
 
 def tag_weights(item_tags: DataFrame, n_items: DataFrame) -> DataFrame:
@@ -24,7 +30,7 @@ def tag_weights(item_tags: DataFrame, n_items: DataFrame) -> DataFrame:
     """
     counts = item_tags.groupBy("tag", "category").agg(F.count("*").cast("double").alias("n"))
     w = category_weight(F.col("category"))
-    return counts.join(n_items, F.lit(True)).select("tag", "category", "n", (w / F.log(F.col("n") + 1)).alias("weight"), (w * (F.log(F.col("total") / (F.col("n") + 1)) + 1)).alias("weight2"))
+    return counts.join(F.broadcast(n_items), F.lit(True)).select("tag", "category", "n", (w / F.log(F.col("n") + 1)).alias("weight"), (w * (F.log(F.col("total") / (F.col("n") + 1)) + 1)).alias("weight2"))
 
 
 def catalog_weights(c: Catalog) -> DataFrame:
@@ -33,6 +39,8 @@ def catalog_weights(c: Catalog) -> DataFrame:
 
 def score(method: str, inter: Column, own: Column, other: Column, alpha: float = ALPHA) -> Column:
     """Similarity from weight sums of the intersection, the query and the other side (OP-154 to OP-158)."""
+    if method not in METHODS:
+        raise ValueError(method)
     union = own + other - inter
     share = F.coalesce(F.try_divide(inter, union), F.lit(0.0))
     if method.startswith("asymmetric"):
@@ -40,12 +48,18 @@ def score(method: str, inter: Column, own: Column, other: Column, alpha: float =
     return share
 
 
+def method_of(name: str | None) -> str:
+    """A configured method; weighted where none is named, jaccard where the name is unknown (OP-158)."""
+    return "weighted" if not name else name if name in METHODS else "jaccard"
+
+
 def similar_by_tags(c: Catalog, item_id: int, method: str = "weighted", general_only: bool = False) -> DataFrame:
     """(item_id, score) of all items that share a tag with the query item (OP-080, OP-150 to OP-157).
 
     One pass over the tag table: each item's weight and the part of it that the
     query shares; the query's own tags are a few rows.
     """
+    method = method_of(method)
     weight = {"jaccard": F.lit(1.0)}.get(method, F.col("weight2") if method.endswith("tfidf") else F.col("weight"))
     weighed = c.item_tags.join(catalog_weights(c), ["tag", "category"]).select("item_id", "tag", "category", weight.alias("w"))
     query = c.item_tags.where(F.col("item_id") == item_id)
@@ -55,7 +69,7 @@ def similar_by_tags(c: Catalog, item_id: int, method: str = "weighted", general_
     query = query.select("tag", "category", F.lit(1).alias("hit"))
     own = weighed.join(query, ["tag", "category"]).where(F.col("item_id") == item_id).agg(F.sum("w").alias("own"))
     sums = weighed.where(F.col("item_id") != item_id).join(query, ["tag", "category"], "left").groupBy("item_id").agg(F.sum("w").alias("other"), F.sum(F.when(F.col("hit") == 1, F.col("w"))).alias("inter"))
-    return sums.where("inter is not null").join(own, F.lit(True)).select("item_id", score(method, F.col("inter"), F.col("own"), F.col("other")).alias("score"))
+    return sums.where("inter is not null").join(F.broadcast(own), F.lit(True)).select("item_id", score(method, F.col("inter"), F.col("own"), F.col("other")).alias("score"))
 
 
 def top(scored: DataFrame, k: int, least: float | None = None, digits: int = 6) -> DataFrame:
@@ -70,37 +84,116 @@ def related_by_tags(c: Catalog, item_id: int, k: int = 20) -> DataFrame:
     return top(similar_by_tags(c, item_id, "weighted", general_only=True), k, 0.1)
 
 
-def blocked_pairs(rows: DataFrame, id_column: str, keep: Column, blocks: int) -> DataFrame:
-    """Pairs a < b of rows that satisfy ``keep``, on an even grid of block pairs.
+def in_cells(rows: DataFrame, group: Column, blocks: int, both_ways: bool, solve: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Rows (id, v) dealt to cells of a grid of block pairs, so that each pair of rows of a group meets in one cell.
 
-    Where no key narrows the candidates, each pair of rows meets in one cell of
-    a grid by an equi-join on the cell; a row goes to 2 x blocks cells.
+    solve reads rows (g, i, j, side, id, v) sorted by cell: block i's rows have
+    side 0 and come first, block j's side 1; in a cell (i, i) there is one side.
+    A row goes to ``blocks`` cells, or twice that if pairs are wanted both ways.
     """
-    block = F.pmod(F.xxhash64(id_column), F.lit(blocks)).cast("int")
-    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = rows.select("*", block.alias("i"), spread.alias("j")).alias("a")
-    b = rows.select("*", spread.alias("i"), block.alias("j")).alias("b")
-    return a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col(f"a.{id_column}") < F.col(f"b.{id_column}")) & keep)
-
-
-def hamming_pairs(signatures: DataFrame, threshold: int, rows: int | None = None) -> DataFrame:
-    """(a, b, distance), a < b, of 64-bit signatures (item_id, w0, w1) at most so far apart (OP-078, OP-176).
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    if both_ways:
+        cells = F.concat(F.transform(every, lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(0).alias("side"))), F.transform(F.filter(every, lambda i: i != own), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(1).alias("side"))))
+    else:
+        cells = F.transform(every, lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), F.when(k < own, 1).otherwise(0).alias("side")))
+    dealt = rows.select(group.alias("g"), F.explode(cells).alias("c"), "id", "v").select("g", "c.i", "c.j", "c.side", "id", "v")
+    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side", "id").mapInArrow(solve, schema)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], bool]]:
+    """Each cell's (ids, vectors) of both sides, and whether they are one block; a cell may span batches."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(part: pa.RecordBatch) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], bool]:
+        side, ids = part.column(3).to_numpy(), part.column(4).to_numpy()
+        v = part.column(5).flatten().to_numpy().reshape(len(part), -1)
+        x = ids[side == 0], v[side == 0]
+        same = part.column(1)[0] == part.column(2)[0]
+        return x, (x if same else (ids[side == 1], v[side == 1])), same
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(c).to_numpy() for c in range(3)], 1)
+        edges = np.flatnonzero(np.concatenate(([False], (keys[1:] != keys[:-1]).any(1))))
+        if held and tuple(keys[0]) != tuple(held[-1].column(c)[-1].as_py() for c in range(3)):
+            yield cut(pa.concat_batches(held))
+            held = []
+        at = 0
+        for to in edges.tolist():
+            yield cut(pa.concat_batches([*held, b.slice(at, to - at)]))
+            held, at = [], to
+        held.append(b.slice(at))
+    if held:
+        yield cut(pa.concat_batches(held))
+
+
+def _near_signatures(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (x_ids, x), (y_ids, y), same in _cells(batches):
+            for k in range(len(x_ids)):  # a row against a block at a time, on arrays
+                first = k + 1 if same else 0
+                d = np.bitwise_count(x[k, 0] ^ y[first:, 0]).astype(np.int32) + np.bitwise_count(x[k, 1] ^ y[first:, 1])
+                near = np.flatnonzero(d <= threshold)
+                if len(near):
+                    other, own = y_ids[first + near], np.full(len(near), x_ids[k])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)), pa.array(d[near])], ["a", "b", "distance"])
+
+    return run
+
+
+def _members(signatures: DataFrame) -> DataFrame:
+    """(item_id, w0, w1, head): head is the least id with the same signature."""
+    heads = signatures.groupBy("w0", "w1").agg(F.min("item_id").alias("head"))
+    return signatures.select("item_id", "w0", "w1").join(heads, ["w0", "w1"])
+
+
+def signature_links(signatures: DataFrame, threshold: int, rows: int | None = None) -> DataFrame:
+    """(a, b, distance), a < b, between different signatures at most so far apart, each under its least id (OP-078).
 
     Signatures within t bits agree on one of t + 1 bands; with few bands that is
     an equi-join.  With many, bands are too narrow to narrow anything, and pairs
-    meet on a grid instead.
+    meet on a grid of blocks, compared on arrays.
     """
-    d = hamming([F.col("a.w0"), F.col("a.w1")], [F.col("b.w0"), F.col("b.w1")])
+    distinct = signatures.groupBy("w0", "w1").agg(F.min("item_id").alias("item_id"))
     if threshold < 8:
+        d = hamming([F.col("a.w0"), F.col("a.w1")], [F.col("b.w0"), F.col("b.w1")])
         n = threshold + 1
         edge = [round(k * 64 / n) for k in range(n + 1)]
         bits = F.lpad(F.bin("w0"), 32, "0"), F.lpad(F.bin("w1"), 32, "0")
-        banded = signatures.select("*", F.concat(*bits).alias("s")).select("item_id", "w0", "w1", F.posexplode(F.array(*(F.substring("s", edge[k] + 1, edge[k + 1] - edge[k]) for k in range(n)))).alias("k", "band"))
+        banded = distinct.select("*", F.concat(*bits).alias("s")).select("item_id", "w0", "w1", F.posexplode(F.array(*(F.substring("s", edge[k] + 1, edge[k + 1] - edge[k]) for k in range(n)))).alias("k", "band"))
         a, b = banded.alias("a"), banded.alias("b")
         met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.item_id") < F.col("b.item_id")) & (d <= threshold))
         return met.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), d.cast("int").alias("distance")).distinct()
-    blocks = max(1, -(-(rows if rows is not None else signatures.count()) // BLOCK))
-    return blocked_pairs(signatures, "item_id", d <= threshold, blocks).select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), d.cast("int").alias("distance"))
+    blocks = max(1, -(-(rows if rows is not None else distinct.count()) // BLOCK))
+    own = distinct.select(F.col("item_id").cast("long").alias("id"), F.array("w0", "w1").alias("v"))
+    return in_cells(own, F.lit(0), blocks, False, _near_signatures(threshold), "a long, b long, distance int")
+
+
+def hamming_pairs(signatures: DataFrame, threshold: int, rows: int | None = None) -> DataFrame:
+    """(a, b, distance), a < b, of all 64-bit signatures (item_id, w0, w1) at most so far apart (OP-078, OP-176).
+
+    Different signatures are compared once; what has equal ones is laid out
+    after that, so only the result grows with the square of a group of copies.
+    """
+    members = _members(signatures)
+    own = members.select("head", "item_id")
+    links = signature_links(signatures, threshold, rows)
+    x, y = own.select(F.col("head").alias("a"), F.col("item_id").alias("x")), own.select(F.col("head").alias("b"), F.col("item_id").alias("y"))
+    apart = links.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    left, right = own.alias("l"), own.alias("r")
+    equal = left.join(right, (F.col("l.head") == F.col("r.head")) & (F.col("l.item_id") < F.col("r.item_id"))).select(F.col("l.item_id").alias("a"), F.col("r.item_id").alias("b"), F.lit(0).alias("distance"))
+    return apart.unionByName(equal)
+
+
+def signature_groups(signatures: DataFrame, threshold: int) -> DataFrame:
+    """(group_id, item_id) of items in groups of near signatures, over all chains; equal ones are never paired (OP-166)."""
+    members = _members(signatures)
+    linked = connected(signature_links(signatures, threshold)).select(F.col("item_id").alias("head"), "group_id")
+    sizes = members.groupBy("head").agg(F.count("*").alias("n"))
+    rows = members.join(sizes, "head").join(linked, "head", "left").where("n > 1 or group_id is not null")
+    return rows.select(F.coalesce("group_id", "head").alias("group_id"), "item_id")
 
 
 def visual_range(signatures: DataFrame, item_id: int, threshold: float, k: int, exclude: DataFrame | None = None) -> DataFrame:
@@ -128,16 +221,122 @@ def nearest(vectors: DataFrame, item_id: int, k: int, id_column: str = "vec_id",
     return top(scored, k, digits=5)
 
 
-def neighbour_cache(vectors: DataFrame, k: int = 50, rows: int | None = None) -> DataFrame:
-    """(source_id, similar_id, score, rank) of each vector's k nearest by cosine (OP-022, OP-106, OP-175)."""
+def _best_products(k: int, digits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    scale = 10.0**digits
+
+    def best(ids: np.ndarray, v: np.ndarray, other: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(other, kind="stable")
+        other, w = other[order], w[order]
+        rows, columns, scores = [], [], []
+        for at in range(0, len(ids), PRODUCT_ROWS):
+            raw = v[at : at + PRODUCT_ROWS] @ w.T
+            s = np.sign(raw) * np.floor(np.abs(raw) * scale + 0.5) / scale
+            s[ids[at : at + PRODUCT_ROWS, None] == other[None, :]] = -np.inf
+            if len(other) > k:  # of equal scores at the k-th place the smaller ids, which come first
+                kth = np.partition(s, len(other) - k, axis=1)[:, len(other) - k, None]
+                equal = s == kth
+                chosen = (s > kth) | equal & (np.cumsum(equal, axis=1) <= k - (s > kth).sum(1, keepdims=True))
+            else:
+                chosen = np.ones(s.shape, bool)
+            r, c = np.nonzero(chosen & np.isfinite(s))
+            rows.append(ids[at + r])
+            columns.append(other[c])
+            scores.append(s[r, c])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, columns, scores)], ["source_id", "similar_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (x_ids, x), (y_ids, y), _ in _cells(batches):
+            if len(x_ids) and len(y_ids):
+                yield best(x_ids, x, y_ids, y)
+
+    return run
+
+
+def neighbour_cache(vectors: DataFrame, k: int = 50, rows: int | None = None, sources: DataFrame | None = None, digits: int = 5) -> DataFrame:
+    """(source_id, similar_id, score, rank) of each vector's k nearest by cosine, ties to the smaller id (OP-022, OP-106, OP-175).
+
+    A cell of two blocks is one matrix product, of which each row gives its k
+    best; what moves on is k rows per vector and block.  Vectors that are null
+    or of length zero have no neighbours; different dimensions do not meet.
+    sources: (item_id) whose neighbours alone are wanted.
+    """
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = vectors.where("embedding is not null").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), length.alias("len")).select("id", F.transform("v", lambda x: x / F.col("len")).alias("v"))
+    unit = vectors.where("embedding is not null").select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), length.alias("len")).where("len > 0").select("id", F.transform("v", lambda x: x / F.col("len")).alias("v"))
     blocks = max(1, -(-(rows if rows is not None else vectors.count()) // BLOCK))
-    s = F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    pairs = blocked_pairs(unit, "id", F.lit(True), blocks).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), F.round(s, 5).alias("score"))
-    both = pairs.select(F.col("x").alias("source_id"), F.col("y").alias("similar_id"), "score").unionByName(pairs.select(F.col("y").alias("source_id"), F.col("x").alias("similar_id"), "score"))
+    found = in_cells(unit, F.size("v"), blocks, True, _best_products(k, digits), "source_id long, similar_id long, score double")
+    if sources is not None:
+        found = found.join(sources.select(F.col("item_id").alias("source_id")), "source_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "similar_id"))
+    return found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
+
+
+def cached_neighbours(cache: DataFrame, items: DataFrame, item_id: int, k: int, kind: str | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """(similar_id, filepath, score, rank) of one item from a written cache; what is excluded goes before the cut (OP-021)."""
+    rows = cache.where(F.col("source_id") == item_id)
+    rows = rows if kind is None else rows.where(F.col("kind") == kind)
+    if exclude is not None:
+        rows = rows.join(exclude.select(F.col("item_id").alias("similar_id")), "similar_id", "left_anti")
+    shown = rows.join(items.select(F.col("item_id").alias("similar_id"), "filepath"), "similar_id").orderBy("rank").limit(k)
+    return shown.select("similar_id", "filepath", "score", F.row_number().over(Window.orderBy("rank")).cast("int").alias("rank"))  # over k rows
+
+
+def cache_replaced(cache: DataFrame, fresh: DataFrame, sources: DataFrame, k: int = 50) -> DataFrame:
+    """The cache in which the rows of some sources (item_id) are those of fresh (source_id, similar_id, score), ranked and cut (OP-022, OP-175)."""
     place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "similar_id"))
-    return both.withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
+    ranked = fresh.withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
+    return cache.join(sources.select(F.col("item_id").alias("source_id")), "source_id", "left_anti").unionByName(ranked.select(*cache.columns))
+
+
+def cache_without(cache: DataFrame, gone: DataFrame) -> DataFrame:
+    """The cache without some items on either side (OP-175)."""
+    return cache.join(gone.select(F.col("item_id").alias("source_id")), "source_id", "left_anti").join(gone.select(F.col("item_id").alias("similar_id")), "similar_id", "left_anti")
+
+
+def cache_stats(cache: DataFrame, items: DataFrame) -> DataFrame:
+    """(rows, sources, items, coverage, best, worst) of a neighbour cache (OP-098, OP-175)."""
+    own = cache.agg(F.count("*").alias("rows"), F.countDistinct("source_id").alias("sources"), F.max("score").alias("best"), F.min("score").alias("worst"))
+    return own.join(F.broadcast(items.agg(F.count("*").alias("items"))), F.lit(True)).select("rows", "sources", "items", F.round(F.try_divide(100.0 * F.col("sources"), F.col("items")), 1).alias("coverage"), "best", "worst")  # one row each
+
+
+def sound_vectors(vectors: DataFrame, dim: int) -> DataFrame:
+    """Vectors of the right dimension and without null or infinite parts (OP-010)."""
+    return vectors.where((F.size("embedding") == dim) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+
+def vector_coverage(items: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(items, embedded, missing) (OP-011)."""
+    held = items.join(vectors.select(F.col("vec_id").alias("item_id")), "item_id", "left_semi").agg(F.count("*").alias("embedded"))
+    return items.agg(F.count("*").alias("items")).join(F.broadcast(held), F.lit(True)).select("items", "embedded", F.greatest(F.lit(0).cast("long"), F.col("items") - F.col("embedded")).alias("missing"))  # one row each
+
+
+def embedded(files: DataFrame, backend: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """(item_id, embedding) of files (item_id, content) by any function from contents to rows of a matrix; rows come out with length one (OP-171).
+
+    The function is sent to the workers and called once per Arrow batch.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            v = np.asarray(backend([bytes(c) for c in b["content"]]), np.float64)
+            size = np.linalg.norm(v, axis=1, keepdims=True)
+            yield pd.DataFrame({"item_id": b["item_id"], "embedding": list((v / np.where(size == 0, 1, size)).astype(np.float32))})
+
+    return files.select("item_id", "content").where("content is not null").mapInPandas(run, "item_id long, embedding array<float>")
+
+
+def hash_queue(items: DataFrame, hashes: DataFrame, failed: DataFrame, unhashable: Sequence[str] = ()) -> DataFrame:
+    """(item_id, filepath) of items still to be hashed: without a hash, not failed before, of a kind that can be (OP-167)."""
+    todo = items.join(hashes.where("phash is not null and phash <> ''"), "item_id", "left_anti").join(failed, "item_id", "left_anti")
+    for extension in unhashable:
+        todo = todo.where(~F.endswith(F.lower("filepath"), F.lit("." + extension)))
+    return todo.select("item_id", "filepath")
+
+
+def hashed_again(hashes: DataFrame, fresh: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hashes, pairs) after some items (item_id, phash) were hashed anew: their pairs are no longer known and go (OP-167, OP-168)."""
+    kept = hashes.join(fresh, "item_id", "left_anti").unionByName(fresh.select(*hashes.columns))
+    ids = fresh.select("item_id")
+    return kept, pairs.join(ids.withColumnRenamed("item_id", "a"), "a", "left_anti").join(ids.withColumnRenamed("item_id", "b"), "b", "left_anti").select(*pairs.columns)
 
 
 def blend(parts: dict[str, DataFrame], weights: dict[str, float], k: int, exclude: DataFrame | None = None) -> DataFrame:
@@ -172,6 +371,70 @@ def sparse_and_dense(item_tags: DataFrame, k: int = 10) -> DataFrame:
     return n.orderBy("n", "item_id").limit(k).withColumn("end", F.lit("sparse")).unionByName(n.orderBy(F.desc("n"), "item_id").limit(k).withColumn("end", F.lit("dense")))
 
 
+def pair_sums(c: Catalog, pairs: DataFrame, by_category: bool = False) -> DataFrame:
+    """Sums of what the tags of pairs (a, b) share, and of each side, per weight: (a, b, kind, inter, own, other).
+
+    kind names the weight: one, weight, weight2; or, by category, that category
+    under the plain weight, so that category weights can be varied afterwards.
+    Each side's sums are taken once per item; only shared tags are joined.
+    """
+    w = catalog_weights(c).select("tag", "category", F.lit(1.0).alias("one"), "weight", "weight2")
+    ids = pairs.select(F.col("a").alias("item_id")).unionByName(pairs.select(F.col("b").alias("item_id"))).distinct()
+    rows = c.item_tags.join(ids, "item_id", "left_semi").join(w, ["tag", "category"])
+    if by_category:
+        long = rows.select("item_id", "tag", "category", F.col("category").alias("kind"), F.col("weight").alias("w"))
+    else:
+        long = rows.select("item_id", "tag", "category", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("w")) for k in ("one", "weight", "weight2")))).alias("x")).select("item_id", "tag", "category", "x.kind", "x.w")
+    side = long.groupBy("item_id", "kind").agg(F.sum("w").alias("w"))
+    left = pairs.select("a", "b").join(long.withColumnRenamed("item_id", "a"), "a")
+    both = left.join(long.select(F.col("item_id").alias("b"), "tag", "category", "kind"), ["b", "tag", "category", "kind"]).groupBy("a", "b", "kind").agg(F.sum("w").alias("inter"))
+    kinds = side.select("kind").distinct()
+    grid = pairs.select("a", "b").join(F.broadcast(kinds), F.lit(True))  # a kind is one of a few names
+    out = grid.join(side.select(F.col("item_id").alias("a"), "kind", F.col("w").alias("own")), ["a", "kind"], "left").join(side.select(F.col("item_id").alias("b"), "kind", F.col("w").alias("other")), ["b", "kind"], "left").join(both, ["a", "b", "kind"], "left")
+    return out.select("a", "b", "kind", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in ("inter", "own", "other")))
+
+
+def method_scores(c: Catalog, pairs: DataFrame) -> DataFrame:
+    """(a, b, method, score) of pairs by each of the five methods (OP-150 to OP-158, OP-259)."""
+    sums = pair_sums(c, pairs)
+    kind = {"jaccard": "one", "weighted": "weight", "weighted_tfidf": "weight2", "asymmetric": "weight", "asymmetric_tfidf": "weight2"}
+    each = F.array(*(F.struct(F.lit(m).alias("method"), score(m, F.col("inter"), F.col("own"), F.col("other")).alias("score"), F.lit(kind[m]).alias("needs")) for m in METHODS))
+    return sums.select("a", "b", "kind", F.explode(each).alias("m")).where("kind = m.needs").select("a", "b", "m.method", "m.score")
+
+
+def method_distribution(scored: DataFrame, n: int = 10) -> DataFrame:
+    """(method, bucket, n, percent): scores per bucket of equal width for each method (OP-259)."""
+    bucket = F.least(F.floor(F.round("score", 6) * n), F.lit(n - 1)).cast("int")
+    counts = scored.groupBy("method", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return counts.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("method")), 2))
+
+
+def method_spread(scored: DataFrame) -> DataFrame:
+    """(method, least, most, mean, sd) of scores (OP-259)."""
+    r = lambda c: F.round(c, 5)
+    return scored.groupBy("method").agg(r(F.min("score")).alias("least"), r(F.max("score")).alias("most"), r(F.avg("score")).alias("mean"), r(F.stddev_samp("score")).alias("sd"))
+
+
+def tuning_pairs(vectors: DataFrame, k: int = 10) -> DataFrame:
+    """(a, b, cosine): each vector's k nearest of positive cosine, what tag weights are tuned to (OP-261, OP-286)."""
+    return neighbour_cache(vectors, k).where("score > 0").select(F.col("source_id").alias("a"), F.col("similar_id").alias("b"), F.col("score").alias("cosine"))
+
+
+def tuning_grid(c: Catalog, pairs: DataFrame, alphas: Sequence[float], multipliers: dict[str, Sequence[float]]) -> DataFrame:
+    """(category, multiplier, alpha, r, n): correlation of the asymmetric tag score with the cosine of pairs, for each alpha and each category's weight times each multiplier (OP-261).
+
+    A pair's sums per category are taken once; all settings are sums of those.
+    """
+    sums = pair_sums(c, pairs, by_category=True).join(pairs, ["a", "b"])
+    settings = [(k, float(m), float(a)) for k, ms in multipliers.items() for m in ms for a in alphas]
+    grid = F.explode(F.array(*(F.struct(F.lit(k).alias("category"), F.lit(m).alias("multiplier"), F.lit(a).alias("alpha")) for k, m, a in settings)))
+    times = F.when(F.col("kind") == F.col("g.category"), F.col("g.multiplier")).otherwise(F.lit(1.0))
+    per = sums.withColumn("g", grid).groupBy("a", "b", "cosine", "g").agg(*(F.sum(F.col(x) * times).alias(x) for x in ("inter", "own", "other"))).where("own > 0 and other > 0")
+    cover, plain = F.col("inter") / F.col("own"), F.col("inter") / (F.col("own") + F.col("other") - F.col("inter"))
+    scored = per.select("g", "cosine", (F.col("g.alpha") * cover + (1 - F.col("g.alpha")) * plain).alias("s"))
+    return scored.groupBy("g").agg(F.round(F.corr("cosine", "s"), 5).alias("r"), F.count("*").alias("n")).select("g.category", "g.multiplier", "g.alpha", "r", "n")
+
+
 def weight_tuning(c: Catalog, item_id: int, alphas: list[float]) -> DataFrame:
     """Correlation of the asymmetric score with the plain weighted one, for each alpha (OP-261)."""
     base = similar_by_tags(c, item_id, "weighted").withColumnRenamed("score", "plain")

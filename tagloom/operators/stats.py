@@ -85,4 +85,4 @@ def coverage(c: Catalog) -> DataFrame:
 def collection_status(c: Catalog) -> DataFrame:
     """Tagged, rated and all items (OP-100, OP-086)."""
     tagged = c.item_tags.agg(F.countDistinct("item_id").alias("tagged"), F.countDistinct(F.when(F.startswith("tag", F.lit("rating:")), F.col("item_id"))).alias("rated"))
-    return c.items.agg(F.count("*").alias("items")).join(tagged, F.lit(True))  # one row each
+    return c.items.agg(F.count("*").alias("items")).join(F.broadcast(tagged), F.lit(True))  # one row each

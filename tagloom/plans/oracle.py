@@ -31,6 +31,15 @@ TABLES = {
     "pool_items": "SELECT o_custkey AS pool_id, o_orderkey AS item_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS sort_order FROM orders",
     "favourites": "SELECT o_orderkey AS item_id, o_orderdate AS created_at FROM orders WHERE o_orderkey % 7 = 0",
     "predictions": "SELECT l_orderkey AS item_id, split_part(p_name, ' ', 2) AS tag, 'general' AS category, max(l_discount * 10) AS confidence FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
+    "facts": """SELECT *, CASE (item_id + length(tag)) % 10 WHEN 0 THEN 'implication' WHEN 1 THEN 'ai_inference' WHEN 2 THEN 'user' ELSE 'original' END AS source FROM item_tags""",
+    "meta_rows": """SELECT event_id AS item_id, user_id, event_type, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k, event_id % 3 > 0 AS has_alpha, event_id % 2 = 0 AS has_beta, event_id % 5 = 0 AS has_gamma FROM events""",
+    "source_tags": """SELECT item_id, 'alpha' AS source, 'character' AS category, 'hero' || CAST(k % 7 AS VARCHAR) AS tag FROM meta_rows WHERE has_alpha
+        UNION SELECT item_id, 'alpha', 'general', event_type FROM meta_rows WHERE has_alpha UNION SELECT item_id, 'alpha', 'general', 'shared' || CAST(k % 5 AS VARCHAR) FROM meta_rows WHERE has_alpha
+        UNION SELECT item_id, 'beta', 'general', event_type FROM meta_rows WHERE has_beta UNION SELECT item_id, 'beta', 'general', 'extra' FROM meta_rows WHERE has_beta
+        UNION SELECT item_id, 'beta', 'species', 'shared' || CAST(k % 5 AS VARCHAR) FROM meta_rows WHERE has_beta UNION SELECT item_id, 'beta', 'artist', 'u' || CAST(user_id AS VARCHAR) FROM meta_rows WHERE has_beta
+        UNION SELECT item_id, 'gamma', 'general', 'plain' FROM meta_rows WHERE has_gamma UNION SELECT item_id, 'gamma', 'general', 'shared' || CAST(k % 5 AS VARCHAR) FROM meta_rows WHERE has_gamma""",
+    "source_ratings": """SELECT item_id, 'alpha' AS source, CASE k % 4 WHEN 0 THEN 'rating:general' WHEN 1 THEN 'rating:sensitive' WHEN 2 THEN 'rating:questionable' ELSE 'rating:explicit' END AS rating FROM meta_rows WHERE has_alpha
+        UNION ALL SELECT item_id, 'beta', 'rating:sensitive' FROM meta_rows WHERE has_beta""",
     "deltas": "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS md5, event_type AS tag, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'add' ELSE 'remove' END AS op, ts FROM events",
     "signatures": f"SELECT vec_id AS item_id, CAST({_W0} AS BIGINT) AS w0, CAST({_W1} AS BIGINT) AS w1 FROM embeddings",
     "relations": "SELECT parent_id AS a, item_id AS b, 'parent_child' AS kind, 'backfill' AS source FROM items WHERE parent_id IS NOT NULL AND parent_id <> item_id",

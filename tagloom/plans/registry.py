@@ -6,11 +6,13 @@ page or a top-k is the operator.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.functions.lineage import Scratch
 from tagloom.operators import ingest as arrivals
 from tagloom.operators import deltas, dml, graphs, health, implications, merge, rating, relations, review, search, similarity, stats
 from tagloom.plans.oracle import sql
@@ -89,7 +91,7 @@ add(
     SELECT tag, category, n, is_prefix, place, CAST(group_order AS INTEGER) AS group_order FROM placed WHERE place <= 5""",
 )
 add("pool_search", lambda c: search.pool_search(c, "build"), "SELECT p.pool_id, p.name, count(i.item_id) AS n FROM pools p LEFT JOIN pool_items i ON i.pool_id = p.pool_id WHERE contains(lower(p.name), 'build') OR contains(lower(p.description), 'build') GROUP BY 1, 2")
-add("small_items", lambda c: search.small_items(c.items, 800, 600, 1.5), "SELECT item_id, image_width, image_height FROM items WHERE (image_width <= 800 OR image_height <= 600) AND image_width * image_height / 1000000.0 <= 1.5 AND upscaled_width IS NULL")
+add("small_items", lambda c: search.small_items(c.items.withColumn("filesize", F.coalesce("score", F.lit(0))), 300, 300, 0.5, 100), "SELECT item_id, image_width, image_height FROM items WHERE (image_width <= 300 OR image_height <= 300 OR image_width * image_height / 1000000.0 <= 0.5 OR coalesce(score, 0) / 1024.0 <= 100) AND upscaled_width IS NULL")
 add(
     "review_feed_unrated", lambda c: search.review_feed(c, 100, 40),
     """WITH page AS (SELECT item_id, filepath FROM items WHERE item_id > 100 AND item_id NOT IN (SELECT item_id FROM item_tags WHERE tag LIKE 'rating:%') ORDER BY item_id LIMIT 40)
@@ -170,11 +172,16 @@ add(
     t AS (SELECT * FROM d WHERE distance <= 28 ORDER BY distance, item_id LIMIT 50) SELECT item_id, distance, CAST(row_number() OVER (ORDER BY distance, item_id) AS INTEGER) AS rank FROM t""",
 )
 add(
-    "dup_groups", lambda c: similarity.duplicate_groups(similarity.hamming_pairs(c.signatures, 20)),
+    "dup_groups", lambda c: similarity.signature_groups(c.signatures, 20),
     """WITH lk AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS item_id, a AS r FROM lk UNION SELECT reach.item_id, lk.b FROM reach JOIN lk ON lk.a = reach.r)
     SELECT min(r) AS group_id, item_id FROM reach GROUP BY item_id""", recursive=True,
 )
-add("star_groups", lambda c: graphs.star_groups(similarity.hamming_pairs(c.signatures, 20)), None)
+add(
+    "star_groups", lambda c: graphs.star_groups(similarity.hamming_pairs(c.signatures, 20)),
+    """WITH ends AS (SELECT a AS id FROM pairs UNION SELECT b FROM pairs), n AS (SELECT id, row_number() OVER (ORDER BY id) AS k, (SELECT list(a) FROM pairs WHERE b = id) AS smaller FROM ends),
+    h AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS heads UNION ALL SELECT n.k, CASE WHEN len(list_intersect(h.heads, coalesce(n.smaller, []))) > 0 THEN h.heads ELSE list_append(h.heads, n.id) END FROM h JOIN n ON n.k = h.k + 1),
+    f AS (SELECT heads FROM h ORDER BY k DESC LIMIT 1) SELECT coalesce(list_min(list_intersect(f.heads, coalesce(n.smaller, []))), n.id) AS group_id, n.id AS item_id FROM n CROSS JOIN f""", recursive=True,
+)
 
 
 def _blended(c: Catalog) -> DataFrame:
@@ -219,21 +226,41 @@ def _weights(keys: str, rows: str) -> str:
 
 
 _TAG_W = _weights("tag", "features")
-_SCORES = f"WITH {_TAG_W}, u AS (SELECT item_id, tag FROM item_tags WHERE tag NOT LIKE 'rating%'), x AS (SELECT u.item_id, q.rating, coalesce(sum(CASE WHEN w.rating = q.rating THEN w.weight END), 0) AS score FROM u JOIN w ON w.tag = u.tag AND abs(w.weight) > 0.01 CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS rating) q GROUP BY 1, 2)"
+_PAIRS = "f AS (SELECT tag FROM features GROUP BY 1 HAVING count(*) >= 10), c AS (SELECT item_id, rating, tag FROM features WHERE tag IN (SELECT tag FROM f)), p AS (SELECT a.tag AS tag1, b.tag AS tag2, count(*) AS n FROM c a JOIN c b ON a.item_id = b.item_id AND a.tag < b.tag GROUP BY 1, 2 HAVING count(*) >= 10 ORDER BY n DESC, tag1, tag2 LIMIT 25000)"
+_PAIR_ROWS = "pr AS (SELECT a.item_id, a.rating, p.tag1, p.tag2 FROM p JOIN features a ON a.tag = p.tag1 JOIN features b ON b.item_id = a.item_id AND b.tag = p.tag2)"
 
 
-def _scored(c: Catalog) -> DataFrame:
+def _renamed(text: str, **names: str) -> str:
+    for old, new in names.items():
+        text = re.sub(rf"\b{old}\b", new, text)
+    return text
+
+
+_PAIR_W = _renamed(_weights("tag1, tag2", "pr"), k="pk", t="pt", r="rr", w="pw")
+_SCORES = f"""WITH {_TAG_W}, {_PAIRS}, {_PAIR_ROWS}, {_PAIR_W}, u AS (SELECT DISTINCT item_id, tag FROM item_tags WHERE tag NOT LIKE 'rating%'),
+    first AS (SELECT item_id, tag FROM (SELECT item_id, tag, row_number() OVER (PARTITION BY item_id ORDER BY tag) AS place FROM u) WHERE place <= 100),
+    parts AS (SELECT u.item_id, w.rating, w.weight FROM u JOIN w ON w.tag = u.tag AND abs(w.weight) > 0.01
+      UNION ALL SELECT a.item_id, pw.rating, 1.5 * pw.weight FROM first a JOIN pw ON pw.tag1 = a.tag AND abs(pw.weight) > 0.01 JOIN first b ON b.item_id = a.item_id AND b.tag = pw.tag2),
+    x AS (SELECT parts.item_id, q.rating, coalesce(sum(CASE WHEN parts.rating = q.rating THEN parts.weight END), 0) AS score FROM parts CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS rating) q GROUP BY 1, 2)"""
+
+
+def _model(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    """Tag and pair weights, written once, since scores read them more than once."""
     rated, found = _rated(c)
-    return rating.scores(c.item_tags.where(~F.startswith("tag", F.lit("rating"))).select("item_id", "tag"), rating.weigh(found, rated, ["tag"]))
+    scratch = Scratch(c.spark, "model")
+    return scratch.save(rating.weigh(found, rated, ["tag"]), "tags"), scratch.save(rating.pair_weights(found, rated, rating.frequent_pairs(found)), "pairs")
+
+
+def _scored(c: Catalog) -> DataFrame:
+    return rating.scores(c.item_tags.where(~F.startswith("tag", F.lit("rating"))).select("item_id", "tag"), *_model(c))
 
 
 add("rated_items", lambda c: rating.rated_items(c.item_tags), "SELECT item_id, CAST(rating AS BIGINT) AS rating FROM rated")
 add("llr_tag_weights", lambda c: rating.weigh(_rated(c)[1], _rated(c)[0], ["tag"]).withColumn("weight", F.round("weight", 6)), f"WITH {_TAG_W} SELECT tag, CAST(rating AS BIGINT) AS rating, round(weight, 6) AS weight, n FROM w WHERE abs(weight) > 0.01")
-_PAIRS = "f AS (SELECT tag FROM features GROUP BY 1 HAVING count(*) >= 10), c AS (SELECT item_id, rating, tag FROM features WHERE tag IN (SELECT tag FROM f)), p AS (SELECT a.tag AS tag1, b.tag AS tag2, count(*) AS n FROM c a JOIN c b ON a.item_id = b.item_id AND a.tag < b.tag GROUP BY 1, 2 HAVING count(*) >= 10 ORDER BY n DESC, tag1, tag2 LIMIT 25000)"
 add("frequent_pairs", lambda c: rating.frequent_pairs(_rated(c)[1]), f"WITH {_PAIRS} SELECT tag1, tag2, n FROM p")
 add(
     "llr_pair_weights", lambda c: rating.pair_weights(_rated(c)[1], _rated(c)[0], rating.frequent_pairs(_rated(c)[1])).withColumn("weight", F.round("weight", 6)),
-    f"WITH {_PAIRS}, pr AS (SELECT a.item_id, a.rating, p.tag1, p.tag2 FROM p JOIN features a ON a.tag = p.tag1 JOIN features b ON b.item_id = a.item_id AND b.tag = p.tag2), {_weights('tag1, tag2', 'pr')} SELECT tag1, tag2, CAST(rating AS BIGINT) AS rating, round(weight, 6) AS weight, n FROM w WHERE abs(weight) > 0.01",
+    f"WITH {_PAIRS}, {_PAIR_ROWS}, {_weights('tag1, tag2', 'pr')} SELECT tag1, tag2, CAST(rating AS BIGINT) AS rating, round(weight, 6) AS weight, n FROM w WHERE abs(weight) > 0.01",
 )
 add("rating_scores", lambda c: _scored(c).select("item_id", F.col("rating").cast("int").alias("rating"), F.round("score", 5).alias("score")), f"{_SCORES} SELECT item_id, CAST(rating AS INTEGER) AS rating, round(score, 5) AS score FROM x")
 _SOFT = f"{_SCORES}, y AS (SELECT item_id, rating, exp(score - max(score) OVER (PARTITION BY item_id)) AS e FROM x), z AS (SELECT item_id, rating, e / sum(e) OVER (PARTITION BY item_id) AS p FROM y)"
@@ -450,4 +477,16 @@ add("stream_counters", lambda c: ingest.drain(ingest.counters(_events(c), "event
 add("stream_tumbling", lambda c: ingest.drain(ingest.windowed_counts(_timed(_events(c)), "ts", "1 day", late="30 days", key="event_type"), "complete").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n"), "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 add("stream_rate_30s", lambda c: ingest.sliding_rate(c.raw("events").select("event_id", "user_id", "ts"), "user_id", "ts", 30).select("event_id", "rate"), "SELECT a.event_id, count(*) AS rate FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 30 SECOND GROUP BY 1")
 add("stream_latest", lambda c: ingest.latest(c.raw("events"), "ts").select("event_id", "user_id"), "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
-add("stream_state", lambda c: ingest.drain(ingest.adaptive_limiter(_events(c)), "update"), None)
+_LIMIT_STEP = """CASE WHEN len(w) < lim THEN CASE WHEN (len(w) + 1) * 2 < lim THEN least(lim + 1, 20) ELSE lim END ELSE greatest(2, lim // 2) END"""
+add(
+    "stream_state", lambda c: ingest.drain(ingest.adaptive_limiter(_events(c)), "update", ["user_id"]),
+    f"""WITH e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS seen, CAST(0 AS BIGINT) AS allowed, 20 AS lim, CAST(NULL AS BIGINT) AS last, CAST([] AS BIGINT[]) AS stamps FROM e
+      UNION ALL SELECT user_id, k, seen + 1, allowed + CASE WHEN len(w) < lim THEN 1 ELSE 0 END, {_LIMIT_STEP}, t, CASE WHEN len(w) < lim THEN list_append(w, t) ELSE w END FROM (
+        SELECT e.user_id, e.k, e.t, CASE WHEN fresh THEN 0 ELSE seen END AS seen, CASE WHEN fresh THEN 0 ELSE allowed END AS allowed, CASE WHEN fresh THEN 20 ELSE lim END AS lim,
+          CASE WHEN fresh THEN [] ELSE list_filter(stamps, lambda x: x > e.t - 30000000) END AS w
+        FROM (SELECT s.*, e.t AS t, e.k AS ek, e.t - s.last > 604800000000 AS fresh FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1) j JOIN e ON e.user_id = j.user_id AND e.k = j.ek))
+    SELECT s.user_id, seen, allowed, CAST(lim AS INTEGER) AS "limit" FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k AND e.k = e.n""", recursive=True,
+)
+
+from tagloom.plans import lifecycles  # noqa: E402, F401  registers its queries too

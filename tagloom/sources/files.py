@@ -27,6 +27,22 @@ def unprocessed(files: DataFrame, items: DataFrame, name: Column | None = None)
     return fresh.groupBy("md5").agg(F.min("filepath").alias("filepath"))
 
 
+def missing_files(items: DataFrame, files: DataFrame) -> DataFrame:
+    """(item_id, filepath) of items whose file is not on disk: catalog minus disk (OP-117)."""
+    return items.join(files.select(plain_path(F.col("path")).alias("filepath")), "filepath", "left_anti").select("item_id", "filepath")
+
+
+def oversized(files: DataFrame, most_bytes: int) -> DataFrame:
+    """Derived files over a size, to be made anew (OP-266)."""
+    return files.where(F.col("length") > most_bytes).select("path", "length")
+
+
+def compact(df: DataFrame, path: str, files: int, by: str | None = None) -> None:
+    """A table rewritten as so many files, rows of near values of a column together: what reindexing and vacuuming are to Parquet (OP-246)."""
+    dealt = df.repartition(files) if by is None else df.repartitionByRange(files, by).sortWithinPartitions(by)
+    dealt.write.mode("overwrite").parquet(path)
+
+
 def metadata_index(spark: SparkSession, path: str) -> DataFrame:
     """(md5, path) of JSON files, the last path by name for each hash (OP-014)."""
     raw = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.md5").alias("md5"), F.input_file_name().alias("path"))
@@ -73,7 +89,7 @@ def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def model_info(tag_weights: DataFrame, pair_weights: DataFrame) -> DataFrame:
     """(tags, pairs) in a model (OP-018)."""
-    return tag_weights.agg(F.count("*").alias("tags")).join(pair_weights.agg(F.count("*").alias("pairs")), F.lit(True))  # one row each
+    return tag_weights.agg(F.count("*").alias("tags")).join(F.broadcast(pair_weights.agg(F.count("*").alias("pairs"))), F.lit(True))  # one row each
 
 
 def random_page(items: DataFrame, n: int, seed: int) -> DataFrame:

@@ -12,14 +12,25 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagloom.functions.lineage import Scratch
+
 RATINGS = ("rating:general", "rating:sensitive", "rating:questionable", "rating:explicit")
 SOURCE_PRIORITY = ("A", "N", "R")
 EXTENDED_PROXY = ("00_Subject_Count", "01_Body_Physique", "02_Body_Hair", "03_Body_Face")
 
 
+#: Tag tables that this process has written, by session and directory.
+_bridges: dict[tuple[str, str], DataFrame] = {}
+
+
 @dataclass(frozen=True)
 class Catalog:
-    """The domain tables of one data directory, each built when first asked for."""
+    """The domain tables of one data directory, each built when first asked for (OP-005, OP-159, OP-268).
+
+    The tag table, which nearly every query joins, is written once per session
+    as Parquet in the shared folder, sorted by tag within files so that a tag's
+    rows are found by row-group statistics; ``refresh`` drops it (OP-006).
+    """
 
     spark: SparkSession
     sf_dir: str
@@ -40,8 +51,19 @@ class Catalog:
             F.when(key % 11 != 0, F.element_at(F.array(*map(F.lit, SOURCE_PRIORITY)), (key % 3 + 1).cast("int"))).alias("active_source"),
         )
 
-    @cached_property
+    @property
     def item_tags(self) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _bridges:
+            _bridges[key] = Scratch(self.spark, "item-tags").save(self.derived_item_tags.sortWithinPartitions("tag", "item_id"), "bridge")
+        return _bridges[key]
+
+    def refresh(self) -> None:
+        """The next query builds the tag table anew."""
+        _bridges.pop((self.spark.sparkContext.applicationId, self.sf_dir), None)
+
+    @cached_property
+    def derived_item_tags(self) -> DataFrame:
         word = F.split("p_name", " ")
         w1, w2, kind, brand = word[0], word[1], F.lower("p_type"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_"))
         tag = lambda name, category: F.struct(name.alias("tag"), F.lit(category).alias("category"))
@@ -85,6 +107,24 @@ class Catalog:
         lines = self.raw("lineitem").select(F.col("l_orderkey").alias("item_id"), "l_partkey", (F.col("l_discount") * 10).alias("c"))
         return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("item_id", "tag").agg(F.max("c").alias("confidence")).withColumn("category", F.lit("general"))
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """The tag table with who gave each tag."""
+        given = F.element_at(F.array(*map(F.lit, ("implication", "ai_inference", "user"))), F.least((F.col("item_id") + F.length("tag")) % 10, F.lit(2)).cast("int") + 1)
+        return self.item_tags.withColumn("source", F.when((F.col("item_id") + F.length("tag")) % 10 < 3, given).otherwise("original"))
+
+    @cached_property
+    def metadata(self) -> DataFrame:
+        """(item_id, data): JSON of up to three sources per item, in their three shapes, from the event table."""
+        k, user = F.get_json_object("props", "$.k").cast("long"), F.col("user_id")
+        code = F.substring(F.lit("gsqe"), (k % 4 + 1).cast("int"), F.lit(1))
+        text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+        first = text('"alpha": {"id": ', F.col("event_id"), ', "parent_id": ', user, ', "has_children": true, "rating": "', code, '", "score": ', k, ', "tag_string_character": "hero', k % 7, '", "tag_string_general": "', F.col("event_type"), " shared", k % 5, '"}')
+        second = text('"beta": {"id": ', F.col("event_id") + 1_000_000, ', "relationships": {"parent_id": ', k, '}, "rating": "s", "score": {"total": ', k, '}, "tags": {"general": ["', F.col("event_type"), '", "extra"], "species": ["shared', k % 5, '"], "artist": ["u', user, '"]}}')
+        third = text('"gamma": {"id": ', F.col("event_id") + 2_000_000, ', "tags": "plain shared', k % 5, '"}')
+        given = F.array_compact(F.array(F.when(F.col("event_id") % 3 > 0, first), F.when(F.col("event_id") % 2 == 0, second), F.when(F.col("event_id") % 5 == 0, third)))
+        return self.raw("events").select(F.col("event_id").alias("item_id"), F.concat(F.lit('{"sources": {'), F.array_join(given, ", "), F.lit("}}")).alias("data"))
+
     @cached_property
     def deltas(self) -> DataFrame:
         op = F.when(F.col("event_type").isin("click", "view", "purchase"), "add").otherwise("remove")

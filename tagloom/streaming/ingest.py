@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
+
+from tagloom.functions.lineage import Scratch
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
@@ -16,11 +19,31 @@ def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that the stream gives on the data at hand, as a table; for tests and bounded runs."""
-    name = f"drain_{uuid.uuid4().hex[:10]}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+    """All that the stream gives on the data at hand, as a table written to the shared folder.
+
+    append: each row as it comes; complete: the last state; update: the last
+    row of each of ``keys``.  Nothing passes through the driver.
+    """
+    scratch = Scratch(stream.sparkSession, "stream")
+    path, schema = f"{scratch.root}/rows", stream.schema
+
+    def keep(batch: DataFrame, number: int) -> None:
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(path)
+        else:  # a batch that is written again replaces itself
+            batch.write.mode("overwrite").parquet(f"{path}/__batch={number}")
+
+    w = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{scratch.root}/checkpoint")
+    w.trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    if mode == "complete":
+        return spark.read.schema(schema).parquet(path)
+    rows = spark.read.schema(StructType([*schema.fields, StructField("__batch", LongType())])).parquet(path)
+    if mode == "append":
+        return rows.drop("__batch")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in schema.names if c not in keys)), "__batch").alias("row"))
+    return last.select(*keys, "row.*").select(*schema.names)
 
 
 def write_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> None:
@@ -35,10 +58,32 @@ def debounced(stream: DataFrame, keys: list[str], time: str = "ts", delay: str =
 
 
 def distinct_by(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """The first row of each key, for all time (OP-250)."""
+    """The first row of each key, for all time (OP-250).
+
+    State holds every key seen; where the catalog itself knows them,
+    ``new_content`` in each batch needs no state.
+    """
     return stream.dropDuplicates(keys)
 
 
+def new_content(batch: DataFrame, known: DataFrame, key: str = "md5") -> DataFrame:
+    """A batch's rows whose content the catalog does not hold yet, one for each content (OP-250)."""
+    return batch.dropDuplicates([key]).join(known.select(key), key, "left_anti")
+
+
+def outcomes(batch: DataFrame, known: DataFrame, key: str = "md5", path: str = "path") -> DataFrame:
+    """(path, key, outcome) of each arrival: error without a hash, duplicate of the catalog, race with another arrival of its content, else success (OP-251, OP-275).
+
+    Of arrivals of one content the least path succeeds.  Arrivals of one path
+    count once.
+    """
+    once = batch.select(path, key).dropDuplicates([path])
+    first = once.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(path).alias("first"))
+    rows = once.join(known.select(key).distinct().withColumn("known", F.lit(True)), key, "left").join(first, key, "left")
+    outcome = F.when(F.col(key).isNull(), "error").when(F.col("known"), "duplicate").when(F.col(path) != F.col("first"), "race_condition").otherwise("success")
+    return rows.select(path, key, outcome.alias("outcome"))
+
+
 def counters(stream: DataFrame, key: str) -> DataFrame:
     """Running counts per outcome; use with complete output (OP-252, OP-275)."""
     return stream.groupBy(key).agg(F.count("*").alias("n"))
@@ -75,32 +120,47 @@ def latest(events: DataFrame, time: str, k: int = 100) -> DataFrame:
 
 
 LIMITER_OUT = "user_id long, seen long, allowed long, limit int"
-LIMITER_STATE = "seen long, allowed long, limit int, stamps array<long>"
+LIMITER_STATE = "seen long, allowed long, limit int, last long, stamps array<long>"
+#: Seconds without an event after which a user's limiter starts anew.
+IDLE_SECONDS = 7 * 86_400
 
 
-def adaptive_limiter(stream: DataFrame, start: int = 20, least: int = 2, seconds: int = 30) -> DataFrame:
+def adaptive_limiter(stream: DataFrame, start: int = 20, least: int = 2, seconds: int = 30, idle: int = IDLE_SECONDS, late: str = "1 minute") -> DataFrame:
     """Per user: events seen, let through, and the limit that adapts: up by one on a quiet window, halved when it is hit (OP-254).
 
-    State per user is bounded by the limit: the stamps of the last window that
-    were let through.
+    Events of a user count in order of time; one that is older than what was
+    counted before counts at that last time, so only arrivals out of order
+    could tell batches apart.  After ``idle`` seconds a user starts anew,
+    whether by a timer or by the next event, so timers change no numbers and
+    state holds active users alone: the stamps let through in the last window.
     """
+    us = 1_000_000
 
     def step(key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, allowed, limit, stamps = state.get if state.exists else (0, 0, start, [])
-        stamps = list(stamps)
-        times = sorted(t for b in batches for t in b["us"].tolist())
-        for t in times:
-            stamps = [s for s in stamps if s > t - seconds * 1_000_000]
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, allowed, limit, last, stamps = state.get if state.exists else (0, 0, start, -(2**62), [])
+        window = deque(stamps)
+        for t in sorted(t for b in batches for t in b["us"].tolist()):
+            if t - last > idle * us:
+                seen, allowed, limit = 0, 0, start
+                window.clear()
+            t = last = max(t, last)
+            while window and window[0] <= t - seconds * us:
+                window.popleft()
             seen += 1
-            if len(stamps) < limit:
-                stamps.append(t)
+            if len(window) < limit:
+                window.append(t)
                 allowed += 1
-                if len(stamps) * 2 < limit:
+                if len(window) * 2 < limit:
                     limit = min(limit + 1, start)
             else:
                 limit = max(least, limit // 2)
-        state.update((seen, allowed, limit, stamps))
+        state.update((seen, allowed, limit, last, list(window)))
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + idle * 1000)
         yield pd.DataFrame({"user_id": [key[0]], "seen": [seen], "allowed": [allowed], "limit": [limit]})
 
-    rows = stream.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, LIMITER_OUT, LIMITER_STATE, "update", GroupStateTimeout.NoTimeout)
+    timed = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    rows = timed.withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("user_id").applyInPandasWithState(step, LIMITER_OUT, LIMITER_STATE, "update", GroupStateTimeout.EventTimeTimeout)

@@ -82,7 +82,7 @@ def test_limiter_matches_a_loop(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     events = [(u, t + dt.timedelta(seconds=s)) for u in (1, 2) for s in range(0, 90, u)]
     s = _stream(spark, tmp_path / "s", events, "user_id long, ts timestamp")
-    got = {r.user_id: (r.seen, r.allowed) for r in ingest.drain(ingest.adaptive_limiter(s, start=10), "update").collect()}
+    got = {r.user_id: (r.seen, r.allowed) for r in ingest.drain(ingest.adaptive_limiter(s, start=10), "update", ["user_id"]).collect()}
     for u in (1, 2):
         limit, stamps, allowed = 10, [], 0
         for x in range(0, 90, u):

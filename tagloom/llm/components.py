@@ -19,9 +19,13 @@ def checksum() -> dict[str, Column]:
     return {"x": F.bit_xor(F.xxhash64("u", "v")), "y": F.bit_xor(F.xxhash64("v", F.lit(1), "u"))}
 
 
-def _to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
-    """Each node's least neighbour (or itself), and each chosen neighbour linked to it."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _to_least(edges: DataFrame, larger_only: bool, scratch: Scratch, name: str) -> DataFrame:
+    """Each node's least neighbour (or itself), and each chosen neighbour linked to it.
+
+    The least ones are a written table: a join with an aggregate beneath it would
+    not be split where one node has very many neighbours.
+    """
+    least = scratch.save(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
     both = edges.join(least, "u")
     if larger_only:
         return both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -37,11 +41,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     state, k = None, 0
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_least(both, True).where("u <> v").distinct()
-        small = _to_least(large, False).where("u <> v").distinct()
+        large = _to_least(both, True, scratch, f"{name}-least").where("u <> v").distinct()
+        large = scratch.save(large, f"{name}-large")
+        small = _to_least(large, False, scratch, f"{name}-least-2").where("u <> v").distinct()
         k += 1
         now, seen = scratch.save_counted(small, f"{name}-{k}", **checksum())  # taken while the table is written
-        scratch.drop(f"{name}-{k - 1}")
+        scratch.drop(f"{name}-{k - 1}", f"{name}-least", f"{name}-large", f"{name}-least-2")
         if seen == state:
             break
         state = seen

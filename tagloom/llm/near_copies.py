@@ -217,7 +217,9 @@ def groups(docs: DataFrame, prints: DataFrame, scratch: Scratch, block_rows: int
         first = scratch.save(_met(own.unionByName(hubs).distinct().withColumn("root", F.col("key")), sets), "edges-1")
         roots = scratch.save(components(first, scratch, "c1"), "roots-1")
         edges = first.unionByName(scratch.save(_met(_outsiders(live.join(large.select("bucket"), "bucket", "left_semi"), roots, block_rows), sets), "edges-2"))
-    return components(edges, scratch)
+    roots = components(edges, scratch)
+    scratch.drop("live", "sets", "large", "edges", "edges-1", "edges-2", "roots-1")
+    return roots
 
 
 def _outsiders(live: DataFrame, roots: DataFrame, block_rows: int) -> DataFrame:

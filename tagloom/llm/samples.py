@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions.lineage import Scratch
+
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, th) of docs (doc_id, text); th is a hash of the text, null as empty."""
@@ -33,8 +35,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     """(doc_id, th, text, label) of at most ``most`` different documents that have a label, an id's least label counting.
 
     Ids are taken in an order by hash, then documents of those ids likewise.
+    Both lists are written tables of at most ``most`` rows, so that a plan sees
+    how small they are and texts are joined to them where they lie.
     """
+    scratch = Scratch(docs.sparkSession, "labelled")
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias(label))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    some = scratch.save(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "ids")
     picks = first_rows(keyed(docs).select("doc_id", "th").join(some.select("doc_id"), "doc_id", "left_semi"), most)
+    picks = scratch.save(picks, "picks")
     return texts_of_rows(docs, picks).join(some, "doc_id")

@@ -256,7 +256,9 @@ def _placed(distinct: DataFrame, scratch: Scratch, bucket_rows: int) -> DataFram
     edges = scratch.save(links(distinct.select("fp"), scratch, bucket_rows), "edges")
     roots = components(edges, scratch)
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return scratch.save(placed, "placed")
+    placed = scratch.save(placed, "placed")
+    scratch.drop("distinct", "edges", "large")
+    return placed
 
 
 def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -269,9 +271,9 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     prints = scratch.save(fingerprints(docs), "prints")
-    distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    placed = _placed(distinct, scratch, bucket_rows)
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = _placed(scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct"), scratch, bucket_rows)
+    # a written table, so that the join has plain shuffles on both sides and a component of very many fingerprints is split
+    least = scratch.save(placed.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     mapped = placed.join(least, "root").select("fp", "component_id")
     return prints.join(mapped, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

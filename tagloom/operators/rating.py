@@ -81,20 +81,33 @@ def weigh(found: DataFrame, rated: DataFrame, key: list[str]) -> DataFrame:
     return long.join(F.broadcast(usable), long.rating == usable.rating).select(*key, long.rating.cast("long").alias("rating"), w.alias("weight"), F.col("n").cast("long").alias("n")).where("abs(weight) > 0.01")
 
 
+def item_pairs(tags: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(item_id, tag1, tag2, extra columns): pairs tag1 < tag2 of each item's tags (item_id, tag).
+
+    Both sides share one shuffle by item; an item of n tags gives its n (n - 1) / 2
+    pairs, so callers leave rare tags out first.
+    """
+    a, b = tags.alias("a"), tags.alias("b")
+    return a.join(b, (F.col("a.item_id") == F.col("b.item_id")) & (F.col("a.tag") < F.col("b.tag"))).select(F.col("a.item_id").alias("item_id"), F.col("a.tag").alias("tag1"), F.col("b.tag").alias("tag2"), *(F.col(f"a.{c}").alias(c) for c in extra))
+
+
 def frequent_pairs(found: DataFrame, min_tag: int = 10, min_pair: int = 10, limit: int | None = 25_000) -> DataFrame:
-    """(tag1, tag2, n): pairs of frequent tags on one item, the commonest (OP-190)."""
+    """(tag1, tag2, n): pairs of frequent tags on one item, the commonest, or all of them (OP-190)."""
     common = found.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= min_tag).select("tag")
     kept = found.join(common, "tag", "left_semi").select("item_id", "tag")
-    a, b = kept.alias("a"), kept.alias("b")
-    pairs = a.join(b, (F.col("a.item_id") == F.col("b.item_id")) & (F.col("a.tag") < F.col("b.tag"))).groupBy(F.col("a.tag").alias("tag1"), F.col("b.tag").alias("tag2")).agg(F.count("*").alias("n")).where(F.col("n") >= min_pair)
+    pairs = item_pairs(kept).groupBy("tag1", "tag2").agg(F.count("*").alias("n")).where(F.col("n") >= min_pair)
     return pairs if limit is None else pairs.orderBy(F.desc("n"), "tag1", "tag2").limit(limit)
 
 
 def pair_rows(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(item_id, rating, tag1, tag2) of items that hold a chosen pair."""
-    with_first = found.join(pairs.select("tag1", "tag2"), found.tag == F.col("tag1")).select("item_id", "rating", "tag1", "tag2")
-    second = found.select("item_id", F.col("tag").alias("tag2"))
-    return with_first.join(second, ["item_id", "tag2"])
+    """(item_id, rating, tag1, tag2) of items that hold a chosen pair.
+
+    Items' pairs are made once and looked up among the chosen ones, rather than
+    each tag being spread over all chosen pairs that begin with it.
+    """
+    wanted = pairs.select(F.col("tag1").alias("tag")).unionByName(pairs.select(F.col("tag2").alias("tag"))).distinct()
+    kept = found.join(wanted, "tag", "left_semi").select("item_id", "tag", "rating")
+    return item_pairs(kept, ("rating",)).join(pairs.select("tag1", "tag2"), ["tag1", "tag2"], "left_semi")
 
 
 def pair_weights(found: DataFrame, rated: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -102,18 +115,23 @@ def pair_weights(found: DataFrame, rated: DataFrame, pairs: DataFrame) -> DataFr
     return weigh(pair_rows(found, pairs), rated, ["tag1", "tag2"])
 
 
+def _per_rating(weights: DataFrame, key: list[str], times: float = 1.0) -> DataFrame:
+    """(key, w): the weights of all ratings in one array, 0 where there is none."""
+    each = [F.coalesce(F.max(F.when(F.col("rating") == k, F.col("weight") * times)), F.lit(0.0)) for k in range(len(RATINGS))]
+    return weights.groupBy(*key).agg(F.array(*each).alias("w"))
+
+
 def scores(tags: DataFrame, weights: DataFrame, pair_w: DataFrame | None = None, multiplier: float = PAIR_MULTIPLIER, max_pair_tags: int | None = MAX_PAIR_TAGS) -> DataFrame:
     """(item_id, rating, score) of items (item_id, tag): tag weights, and 1.5 times pair weights over the first 100 tags by name, or over all (OP-194)."""
     tags = tags.select("item_id", "tag").distinct()  # a name may stand in two categories
-    part = tags.join(weights, "tag").select("item_id", "rating", "weight")
+    part = tags.join(_per_rating(weights, ["tag"]), "tag").select("item_id", "w")
     if pair_w is not None:
         first = tags
         if max_pair_tags is not None:
             place = F.row_number().over(Window.partitionBy("item_id").orderBy("tag"))
             first = first.withColumn("p", place).where(F.col("p") <= max_pair_tags).select("item_id", "tag")
-        with_first = first.join(pair_w, first.tag == F.col("tag1")).select("item_id", "tag2", "rating", "weight")
-        part = part.unionByName(with_first.join(first.select("item_id", F.col("tag").alias("tag2")), ["item_id", "tag2"]).select("item_id", "rating", (F.col("weight") * multiplier).alias("weight")))
-    sums = part.groupBy("item_id").pivot("rating", list(range(len(RATINGS)))).agg(F.sum("weight")).na.fill(0.0)
+        part = part.unionByName(item_pairs(first).join(_per_rating(pair_w, ["tag1", "tag2"], multiplier), ["tag1", "tag2"]).select("item_id", "w"))
+    sums = part.groupBy("item_id").agg(*(F.sum(F.col("w")[k]).alias(str(k)) for k in range(len(RATINGS))))
     return sums.select("item_id", F.posexplode(F.array(*(F.col(str(k)) for k in range(len(RATINGS))))).alias("rating", "score"))
 
 

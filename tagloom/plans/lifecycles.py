@@ -134,7 +134,7 @@ add(
     f"WITH {_INDEX}, kept AS (SELECT * FROM ix WHERE item_id % 10 <> 0) SELECT word, item_id, field FROM kept WHERE item_id % 6 <> 0 OR field = 'path' UNION SELECT unnest(list_append(regexp_extract_all(lower(tag), '[a-z0-9]+'), lower(tag))), item_id, 'tag' FROM item_tags WHERE item_id % 10 <> 0 AND item_id % 6 = 0 AND category = 'meta'",
 )
 add("filter_suggestions", lambda c: c.spark.createDataFrame([(f,) for f in search.filter_suggestions("ra", PRIORITY)], "filter string"), "SELECT unnest(['rating:general', 'rating:sensitive', 'rating:questionable', 'rating:explicit']) AS filter")
-add("random_page", lambda c: files.random_page(c.items, 20, 5).select(F.lit(1).alias("one")).agg(F.count("*").alias("n")), "SELECT CAST(20 AS BIGINT) AS n")
+add("random_page", lambda c: files.random_page(c.items, 20, 5).select("item_id", "filepath"), "SELECT item_id, filepath FROM items ORDER BY md5(CAST(item_id AS VARCHAR) || '|5'), item_id LIMIT 20")
 
 # --- rules ------------------------------------------------------------------
 

@@ -244,11 +244,18 @@ _SCORES = f"""WITH {_TAG_W}, {_PAIRS}, {_PAIR_ROWS}, {_PAIR_W}, u AS (SELECT DIS
     x AS (SELECT parts.item_id, q.rating, coalesce(sum(CASE WHEN parts.rating = q.rating THEN parts.weight END), 0) AS score FROM parts CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS rating) q GROUP BY 1, 2)"""
 
 
+#: Trained models of this process, by session and directory; a model is trained once and read by every inference (OP-193).
+_models: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def _model(c: Catalog) -> tuple[DataFrame, DataFrame]:
-    """Tag and pair weights, written once, since scores read them more than once."""
-    rated, found = _rated(c)
-    scratch = Scratch(c.spark, "model")
-    return scratch.save(rating.weigh(found, rated, ["tag"]), "tags"), scratch.save(rating.pair_weights(found, rated, rating.frequent_pairs(found)), "pairs")
+    """Tag and pair weights as written tables."""
+    key = (c.spark.sparkContext.applicationId, c.sf_dir)
+    if key not in _models:
+        rated, found = _rated(c)
+        scratch = Scratch(c.spark, "model")
+        _models[key] = scratch.save(rating.weigh(found, rated, ["tag"]), "tags"), scratch.save(rating.pair_weights(found, rated, rating.frequent_pairs(found)), "pairs")
+    return _models[key]
 
 
 def _scored(c: Catalog) -> DataFrame:

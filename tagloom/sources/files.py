@@ -94,4 +94,4 @@ def model_info(tag_weights: DataFrame, pair_weights: DataFrame) -> DataFrame:
 
 def random_page(items: DataFrame, n: int, seed: int) -> DataFrame:
     """n items in an order fixed by the seed (OP-023, OP-112)."""
-    return items.orderBy(F.xxhash64("item_id", F.lit(seed)), "item_id").limit(n)
+    return items.orderBy(F.md5(F.concat(F.col("item_id").cast("string"), F.lit(f"|{seed}"))), "item_id").limit(n)

@@ -5,17 +5,24 @@ from __future__ import annotations
 import hashlib
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions import columns
+from tagloom.functions import columns, pixels
 from tagloom.operators import deltas, detail, dml, health, implications, merge, rating, rebuild, relations, review, rules, search, similarity, stats
 from tagloom.operators import ingest as arrivals
+from tagloom.plans import jobs
 from tagloom.plans.registry import _SOFT, _edges, _events, _model, _naming, _rated, _scored_pairs, _tag, _weights, _PAIR_ROWS, _PAIRS, add
 from tagloom.sources import files
 from tagloom.sources.proxies import Catalog
 from tagloom.streaming import ingest
 
+def byte_shares(contents: list[bytes]) -> np.ndarray:
+    """A stand-in for a model: how often each of 16 groups of bytes occurs."""
+    return np.stack([np.bincount(np.frombuffer(b, np.uint8) >> 4, minlength=16) for b in contents]) if contents else np.zeros((0, 16))
+
+
 PRIORITY = ("alpha", "beta", "gamma")
 OTHER_PRIORITY = ("gamma", "beta", "alpha")
 
@@ -398,3 +405,31 @@ add(
 add("arrival_new_content", lambda c: ingest.new_content(_arrived(c).where("md5 is not null"), c.raw("events").where(_KNOWN).select(F.md5(F.col("user_id").cast("string")).alias("md5"))).select("md5"), f"SELECT DISTINCT md5(CAST(user_id AS VARCHAR)) AS md5 FROM events WHERE event_id % 17 <> 0 AND NOT ({_KNOWN})")
 add("stream_debounced", lambda c: ingest.drain(ingest.debounced(_events(c).select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("path"), F.col("ts").cast("timestamp").alias("ts")), ["path"], delay="3650 days")).select("path"), "SELECT DISTINCT CAST(user_id AS VARCHAR) || '/' || event_type AS path FROM events")
 add("search_terms_repeated", lambda c: search.search(c, "red RED red order:none"), f"SELECT item_id, filepath FROM items WHERE {_tag('red')}")
+
+# --- maintenance and pictures -----------------------------------------------
+
+add(
+    "maintenance", jobs.run_maintenance,
+    """SELECT 'recount' AS job, count(DISTINCT tag) AS n FROM item_tags UNION ALL SELECT 'recategorise', CAST(0 AS BIGINT)
+    UNION ALL SELECT 'duplicates', count(*) FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS keeper FROM documents) WHERE doc_id <> keeper
+    UNION ALL SELECT 'orphans', CAST(0 AS BIGINT) UNION ALL SELECT 'without_tags', count(*) FROM items WHERE item_id NOT IN (SELECT item_id FROM item_tags) UNION ALL SELECT 'pivot', count(DISTINCT item_id) FROM item_tags""",
+)
+
+
+def _pictures(c: Catalog) -> DataFrame:
+    """Vectors as grey pictures of 8 x 8, values from 0 to 1."""
+    grey = F.transform("embedding", lambda x: F.least(F.greatest(x.cast("double") + 0.5, F.lit(0.0)), F.lit(1.0)))
+    return c.raw("embeddings").select("vec_id", grey.alias("grey"))
+
+
+def _compared(c: Catalog) -> DataFrame:
+    """Each picture against the next one."""
+    a, b = _pictures(c), _pictures(c).select((F.col("vec_id") - 1).alias("vec_id"), F.col("grey").alias("other"))
+    return a.join(b, "vec_id").select("vec_id", pixels.differences_of("grey", "other").alias("m")).select("vec_id", "m.*")
+
+
+_GREY = "g AS (SELECT vec_id, list_transform(embedding, lambda x: least(greatest(CAST(x AS DOUBLE) + 0.5, 0.0), 1.0)) AS v FROM embeddings)"
+add("pixel_mean_difference", lambda c: _compared(c).select("vec_id", F.round("mean_abs_diff", 6).alias("mean_abs_diff"), F.round("mask_mismatch", 6).alias("mask_mismatch")), f"WITH {_GREY} SELECT a.vec_id, round(list_avg(list_transform(range(1, 65), lambda i: abs(a.v[i] - b.v[i]))), 6) AS mean_abs_diff, CAST(0.0 AS DOUBLE) AS mask_mismatch FROM g a JOIN g b ON b.vec_id = a.vec_id + 1")
+add("pixel_metrics", lambda c: _compared(c).select("vec_id", "changed_ratio", "largest_blob_ratio", "blob_count", "peak_blob_contrast", "visual_signal"), None)
+add("pixel_hashes", lambda c: _pictures(c).select("vec_id", pixels.phash_of("grey").alias("phash")), None)
+add("embeddings_made", lambda c: similarity.embedded(c.raw("pages").select(F.col("page_id").alias("item_id"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content")), byte_shares).select("item_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 4).alias("length")), "SELECT page_id AS item_id, CAST(CASE WHEN length(coalesce(html, '')) = 0 THEN 0 ELSE 1 END AS DOUBLE) AS length FROM pages")

@@ -22,9 +22,15 @@ from tagloom.llm.words import per_process, slices
 KINDS = ("email", "ip", "card", "phone", "account", "secret", "address")
 BASE = KINDS[:4]
 _ORDER = {k: i for i, k in enumerate(KINDS)}
-#: Cue words, fixed values: what an account number or a secret usually follows.
-ACCOUNT_CUES = ("account", "Account", "ACCOUNT", "acct", "IBAN", "iban", "Iban")
-SECRET_CUES = ("token", "Token", "TOKEN", "password", "Password", "PASSWORD", "passwd", "secret", "Secret", "SECRET", "api_key", "API_KEY", "apikey", "api-key")
+#: Cue words, fixed values: what an account number or a secret usually follows, in four languages, lower case.
+ACCOUNT_CUES = ("account", "acct", "compte", "cuenta", "iban", "konto", "kontonummer")
+SECRET_CUES = ("api-key", "api_key", "apikey", "clave", "contraseña", "geheimnis", "jeton", "kennwort", "mot de passe", "passwd", "password", "passwort", "secret", "token")
+
+
+def written(cue: str) -> set[str]:
+    """The ways a cue is written: lower case, capitals, or its first letter large."""
+    return {cue, cue.upper(), cue[0].upper() + cue[1:]}
+
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -58,7 +64,7 @@ def _build():  # noqa: ANN202
 
     a = ahocorasick.Automaton()
     anchors = {c: "digit" for c in "0123456789"} | {"@": "at", "+": "plus", "://": "scheme"}
-    anchors |= dict.fromkeys(ACCOUNT_CUES, "account") | dict.fromkeys(SECRET_CUES, "secret")
+    anchors |= {w: kind for kind, cues in (("account", ACCOUNT_CUES), ("secret", SECRET_CUES)) for c in cues for w in written(c)}
     for text, kind in anchors.items():
         a.add_word(text, kind)
     a.make_automaton()
@@ -154,7 +160,9 @@ def find(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) for each row of docs (doc_id, text; more columns are ignored).
 
     spans: array of (kind, start, end), code points, end exclusive, by start and
-    then kind.  A null or empty text has none; null and repeated doc_ids pass.
+    then kind.  A null or empty text has none; null and repeated doc_ids pass,
+    each row for itself; texts are read whole, however long; an empty table
+    gives an empty result.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _find, "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
@@ -162,7 +170,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts per base kind, the base spans' SHA-256, and all spans as text."""
+    """Counts per base kind, the base spans' SHA-256, and all spans as text, of rows as from ``find``; without spans 0 and the hash of nothing."""
 
     def text(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -178,7 +186,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with personal data replaced in ``text`` (and ``n_chars`` counted anew where it exists); other columns as they were."""
+    """docs with personal data replaced in ``text`` (and ``n_chars`` counted anew where it exists); other columns as they were.
+
+    Each row is changed for itself, so repeated rows stay equal; a null text
+    stays null; an empty table stays empty.
+    """
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,8 @@ K = 5
 QUERY_BLOCK = 1024
 #: Candidates scored at a time; bounds the dense array to QUERY_BLOCK x this many scores.
 CANDIDATE_BLOCK = 2048
+#: Query rows whose scores are accumulated at a time.
+ROWS = 32
 
 
 def quantised(rows: DataFrame, id_column: str, vector: str, scale: int = SCALE) -> DataFrame:
@@ -41,17 +43,22 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Dense scores (query, candidate), term by term over the queries' non-zero components."""
     top = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0)) * max(queries.shape[1], 1)
     kind = np.int32 if top < 2**31 else np.int64
-    queries, candidates = queries.astype(kind), candidates.astype(kind)
+    queries, postings = queries.astype(kind), np.ascontiguousarray(candidates.T.astype(kind))  # a term's postings lie together
     scores = np.zeros((len(queries), len(candidates)), kind)
-    for term in range(queries.shape[1]):
-        postings = candidates[:, term]
-        holders = np.flatnonzero(queries[:, term])
-        docs = np.flatnonzero(postings)
-        if len(holders) and len(docs):
-            if len(docs) == len(postings) and len(holders) == len(scores):
-                scores += queries[:, term, None] * postings
+    dense_terms = 4 * np.count_nonzero(postings, axis=1) > postings.shape[1]
+    for at in range(0, len(queries), ROWS):  # few enough rows that their scores stay in cache over all terms
+        rows, out = queries[at : at + ROWS], scores[at : at + ROWS]
+        weighed = np.empty_like(out)
+        for term in range(queries.shape[1]):
+            holders = np.flatnonzero(rows[:, term])
+            if not len(holders):
+                continue
+            if dense_terms[term] and 4 * len(holders) > len(rows):  # nearly all meet: zeros add nothing
+                np.multiply(rows[:, term, None], postings[term], out=weighed)
+                out += weighed
             else:
-                scores[np.ix_(holders, docs)] += queries[holders, term, None] * postings[docs]
+                docs = np.flatnonzero(postings[term])
+                out[np.ix_(holders, docs)] += rows[holders, term, None] * postings[term, docs]
     return scores
 
 

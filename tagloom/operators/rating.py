@@ -70,12 +70,20 @@ def llr(n_hit: Column, n_rating: Column, n_total: Column, n: Column) -> Column:
     return F.log(F.greatest(inside, F.lit(EPSILON)) / F.greatest(outside, F.lit(EPSILON)))
 
 
+def _per_rating_counts() -> list[Column]:
+    return [F.count_if(F.col("rating") == k).alias(str(k)) for k in range(len(RATINGS))]
+
+
 def weigh(found: DataFrame, rated: DataFrame, key: list[str]) -> DataFrame:
     """(key, rating, weight, n) of every feature and rating, zero counts included; tiny weights go (OP-189, OP-191)."""
+    return weigh_counts(found.groupBy(*key).agg(*_per_rating_counts()), rated, key)
+
+
+def weigh_counts(hits: DataFrame, rated: DataFrame, key: list[str]) -> DataFrame:
+    """The same from (key, "0", "1", ..): a feature's items of each rating."""
     per_rating = rated.groupBy("rating").agg(F.count("*").alias("n_rating"))  # four rows at most
     every = rated.agg(F.count("*").alias("n_all"))
     usable = per_rating.join(F.broadcast(every), F.lit(True)).where("n_rating < n_all")
-    hits = found.groupBy(*key).pivot("rating", list(range(len(RATINGS)))).count().na.fill(0)
     long = hits.select(*key, sum(F.col(str(k)) for k in range(len(RATINGS))).alias("n_total"), F.posexplode(F.array(*(F.col(str(k)) for k in range(len(RATINGS))))).alias("rating", "n"))
     w = llr(F.col("n"), F.col("n_rating"), F.col("n_total"), F.col("n_all"))
     return long.join(F.broadcast(usable), long.rating == usable.rating).select(*key, long.rating.cast("long").alias("rating"), w.alias("weight"), F.col("n").cast("long").alias("n")).where("abs(weight) > 0.01")
@@ -91,28 +99,25 @@ def item_pairs(tags: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return a.join(b, (F.col("a.item_id") == F.col("b.item_id")) & (F.col("a.tag") < F.col("b.tag"))).select(F.col("a.item_id").alias("item_id"), F.col("a.tag").alias("tag1"), F.col("b.tag").alias("tag2"), *(F.col(f"a.{c}").alias(c) for c in extra))
 
 
-def frequent_pairs(found: DataFrame, min_tag: int = 10, min_pair: int = 10, limit: int | None = 25_000) -> DataFrame:
-    """(tag1, tag2, n): pairs of frequent tags on one item, the commonest, or all of them (OP-190)."""
+def pair_counts(found: DataFrame, min_tag: int = 10, min_pair: int = 10, limit: int | None = 25_000) -> DataFrame:
+    """(tag1, tag2, n, "0", "1", ..): pairs of frequent tags on one item, the commonest or all, with their items of each rating (OP-190).
+
+    One pass over the items' pairs gives both what is frequent and what weights need.
+    """
     common = found.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= min_tag).select("tag")
-    kept = found.join(common, "tag", "left_semi").select("item_id", "tag")
-    pairs = item_pairs(kept).groupBy("tag1", "tag2").agg(F.count("*").alias("n")).where(F.col("n") >= min_pair)
+    kept = found.join(common, "tag", "left_semi").select("item_id", "tag", "rating")
+    pairs = item_pairs(kept, ("rating",)).groupBy("tag1", "tag2").agg(F.count("*").alias("n"), *_per_rating_counts()).where(F.col("n") >= min_pair)
     return pairs if limit is None else pairs.orderBy(F.desc("n"), "tag1", "tag2").limit(limit)
 
 
-def pair_rows(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(item_id, rating, tag1, tag2) of items that hold a chosen pair.
-
-    Items' pairs are made once and looked up among the chosen ones, rather than
-    each tag being spread over all chosen pairs that begin with it.
-    """
-    wanted = pairs.select(F.col("tag1").alias("tag")).unionByName(pairs.select(F.col("tag2").alias("tag"))).distinct()
-    kept = found.join(wanted, "tag", "left_semi").select("item_id", "tag", "rating")
-    return item_pairs(kept, ("rating",)).join(pairs.select("tag1", "tag2"), ["tag1", "tag2"], "left_semi")
+def frequent_pairs(found: DataFrame, min_tag: int = 10, min_pair: int = 10, limit: int | None = 25_000) -> DataFrame:
+    """(tag1, tag2, n): pairs of frequent tags on one item, the commonest, or all of them (OP-190)."""
+    return pair_counts(found, min_tag, min_pair, limit).select("tag1", "tag2", "n")
 
 
-def pair_weights(found: DataFrame, rated: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Weights of pairs (OP-191)."""
-    return weigh(pair_rows(found, pairs), rated, ["tag1", "tag2"])
+def pair_weights(counts: DataFrame, rated: DataFrame) -> DataFrame:
+    """(tag1, tag2, rating, weight, n) of pairs as from ``pair_counts`` (OP-191)."""
+    return weigh_counts(counts.drop("n"), rated, ["tag1", "tag2"])
 
 
 def _per_rating(weights: DataFrame, key: list[str], times: float = 1.0) -> DataFrame:
@@ -130,6 +135,9 @@ def scores(tags: DataFrame, weights: DataFrame, pair_w: DataFrame | None = None,
         if max_pair_tags is not None:
             place = F.row_number().over(Window.partitionBy("item_id").orderBy("tag"))
             first = first.withColumn("p", place).where(F.col("p") <= max_pair_tags).select("item_id", "tag")
+        # only tags that stand in some weighed pair are paired at all
+        known = pair_w.select(F.col("tag1").alias("tag")).unionByName(pair_w.select(F.col("tag2").alias("tag"))).distinct()
+        first = first.join(known, "tag", "left_semi")
         part = part.unionByName(item_pairs(first).join(_per_rating(pair_w, ["tag1", "tag2"], multiplier), ["tag1", "tag2"]).select("item_id", "w"))
     sums = part.groupBy("item_id").agg(*(F.sum(F.col("w")[k]).alias(str(k)) for k in range(len(RATINGS))))
     return sums.select("item_id", F.posexplode(F.array(*(F.col(str(k)) for k in range(len(RATINGS))))).alias("rating", "score"))
@@ -173,8 +181,8 @@ def train(item_tags: DataFrame, config: Config = Config()) -> tuple[DataFrame, D
         return None
     found = features(item_tags, rated)
     limit = None if config.max_pair_count is None else int(config.max_pair_count)
-    pairs = frequent_pairs(found, int(config.min_tag_frequency), int(config.min_pair_cooccurrence), limit)
-    return pruned(weigh(found, rated, ["tag"]), config.pruning_threshold), pruned(pair_weights(found, rated, pairs), config.pruning_threshold)
+    pairs = pair_counts(found, int(config.min_tag_frequency), int(config.min_pair_cooccurrence), limit)
+    return pruned(weigh(found, rated, ["tag"]), config.pruning_threshold), pruned(pair_weights(pairs, rated), config.pruning_threshold)
 
 
 def unrated(items: DataFrame, item_tags: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.columns import category_weight, cosine, hamming, hash_score
+from tagloom.functions.lineage import Scratch
 from tagloom.operators.graphs import connected
 from tagloom.sources.proxies import Catalog
 
@@ -144,19 +145,20 @@ def _near_signatures(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 
 def _members(signatures: DataFrame) -> DataFrame:
-    """(item_id, w0, w1, head): head is the least id with the same signature."""
-    heads = signatures.groupBy("w0", "w1").agg(F.min("item_id").alias("head"))
-    return signatures.select("item_id", "w0", "w1").join(heads, ["w0", "w1"])
+    """(item_id, w0, w1, head), written: head is the least id with the same signature."""
+    own = signatures.select(F.col("item_id").cast("long").alias("item_id"), "w0", "w1")
+    heads = own.groupBy("w0", "w1").agg(F.min("item_id").alias("head"))
+    return Scratch(signatures.sparkSession, "signatures").save(own.join(heads, ["w0", "w1"]).select("item_id", "w0", "w1", "head"), "members")
 
 
-def signature_links(signatures: DataFrame, threshold: int, rows: int | None = None) -> DataFrame:
+def _links(members: DataFrame, threshold: int, rows: int | None = None) -> DataFrame:
     """(a, b, distance), a < b, between different signatures at most so far apart, each under its least id (OP-078).
 
     Signatures within t bits agree on one of t + 1 bands; with few bands that is
     an equi-join.  With many, bands are too narrow to narrow anything, and pairs
     meet on a grid of blocks, compared on arrays.
     """
-    distinct = signatures.groupBy("w0", "w1").agg(F.min("item_id").alias("item_id"))
+    distinct = members.where("item_id = head").drop("head")
     if threshold < 8:
         d = hamming([F.col("a.w0"), F.col("a.w1")], [F.col("b.w0"), F.col("b.w1")])
         n = threshold + 1
@@ -167,7 +169,7 @@ def signature_links(signatures: DataFrame, threshold: int, rows: int | None = No
         met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.item_id") < F.col("b.item_id")) & (d <= threshold))
         return met.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), d.cast("int").alias("distance")).distinct()
     blocks = max(1, -(-(rows if rows is not None else distinct.count()) // BLOCK))
-    own = distinct.select(F.col("item_id").cast("long").alias("id"), F.array("w0", "w1").alias("v"))
+    own = distinct.select(F.col("item_id").alias("id"), F.array("w0", "w1").alias("v"))
     return in_cells(own, F.lit(0), blocks, False, _near_signatures(threshold), "a long, b long, distance int")
 
 
@@ -179,7 +181,7 @@ def hamming_pairs(signatures: DataFrame, threshold: int, rows: int | None = None
     """
     members = _members(signatures)
     own = members.select("head", "item_id")
-    links = signature_links(signatures, threshold, rows)
+    links = _links(members, threshold, rows)
     x, y = own.select(F.col("head").alias("a"), F.col("item_id").alias("x")), own.select(F.col("head").alias("b"), F.col("item_id").alias("y"))
     apart = links.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
     left, right = own.alias("l"), own.alias("r")
@@ -190,7 +192,7 @@ def hamming_pairs(signatures: DataFrame, threshold: int, rows: int | None = None
 def signature_groups(signatures: DataFrame, threshold: int) -> DataFrame:
     """(group_id, item_id) of items in groups of near signatures, over all chains; equal ones are never paired (OP-166)."""
     members = _members(signatures)
-    linked = connected(signature_links(signatures, threshold)).select(F.col("item_id").alias("head"), "group_id")
+    linked = connected(_links(members, threshold)).select(F.col("item_id").alias("head"), "group_id")
     sizes = members.groupBy("head").agg(F.count("*").alias("n"))
     rows = members.join(sizes, "head").join(linked, "head", "left").where("n > 1 or group_id is not null")
     return rows.select(F.coalesce("group_id", "head").alias("group_id"), "item_id")

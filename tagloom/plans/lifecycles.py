@@ -222,7 +222,7 @@ _INFERRED = f"""{_SOFT}, b AS (SELECT item_id, rating, round(p, 9) AS p, row_num
 add("rating_infer", _inferred, f"{_INFERRED} SELECT item_id, rating, CAST(confidence AS DOUBLE) AS confidence FROM inf")
 add("rating_infer_stats", lambda c: rating.inference_stats(_inferred(c)), f"{_INFERRED} SELECT count(*) AS processed, count(rating) AS rated, count(*) FILTER (WHERE rating IS NULL AND confidence > 0) AS skipped_low, count(*) FILTER (WHERE rating IS NULL AND confidence = 0) AS skipped_unknown, " + ", ".join(f"count(*) FILTER (WHERE rating = 'rating:{x}') AS {x}" for x in ("general", "sensitive", "questionable", "explicit")) + " FROM inf")
 add("rating_train", lambda c: rating.train(c.item_tags, rating.Config(pruning_threshold=0.5))[0].withColumn("weight", F.round("weight", 6)), f"WITH {_TAG_WEIGHTS} SELECT tag, CAST(rating AS BIGINT) AS rating, round(weight, 6) AS weight, n FROM w WHERE abs(weight) >= 0.5")
-add("top_weighted_pairs", lambda c: rating.top_weighted_pairs(rating.pair_weights(_rated(c)[1], _rated(c)[0], rating.frequent_pairs(_rated(c)[1])), 1, 25), f"WITH {_PAIRS}, {_PAIR_ROWS}, {_weights('tag1, tag2', 'pr')} SELECT tag1, tag2, round(weight, 3) AS weight, n FROM w WHERE abs(weight) > 0.01 AND rating = 1 ORDER BY 3 DESC, n DESC, tag1, tag2 LIMIT 25")
+add("top_weighted_pairs", lambda c: rating.top_weighted_pairs(rating.pair_weights(rating.pair_counts(_rated(c)[1]), _rated(c)[0]), 1, 25), f"WITH {_PAIRS}, {_PAIR_ROWS}, {_weights('tag1, tag2', 'pr')} SELECT tag1, tag2, round(weight, 3) AS weight, n FROM w WHERE abs(weight) > 0.01 AND rating = 1 ORDER BY 3 DESC, n DESC, tag1, tag2 LIMIT 25")
 
 
 def _chosen(c: Catalog) -> DataFrame:

@@ -254,7 +254,7 @@ def _model(c: Catalog) -> tuple[DataFrame, DataFrame]:
     if key not in _models:
         rated, found = _rated(c)
         scratch = Scratch(c.spark, "model")
-        _models[key] = scratch.save(rating.weigh(found, rated, ["tag"]), "tags"), scratch.save(rating.pair_weights(found, rated, rating.frequent_pairs(found)), "pairs")
+        _models[key] = scratch.save(rating.weigh(found, rated, ["tag"]), "tags"), scratch.save(rating.pair_weights(rating.pair_counts(found), rated), "pairs")
     return _models[key]
 
 
@@ -266,7 +266,7 @@ add("rated_items", lambda c: rating.rated_items(c.item_tags), "SELECT item_id, C
 add("llr_tag_weights", lambda c: rating.weigh(_rated(c)[1], _rated(c)[0], ["tag"]).withColumn("weight", F.round("weight", 6)), f"WITH {_TAG_W} SELECT tag, CAST(rating AS BIGINT) AS rating, round(weight, 6) AS weight, n FROM w WHERE abs(weight) > 0.01")
 add("frequent_pairs", lambda c: rating.frequent_pairs(_rated(c)[1]), f"WITH {_PAIRS} SELECT tag1, tag2, n FROM p")
 add(
-    "llr_pair_weights", lambda c: rating.pair_weights(_rated(c)[1], _rated(c)[0], rating.frequent_pairs(_rated(c)[1])).withColumn("weight", F.round("weight", 6)),
+    "llr_pair_weights", lambda c: rating.pair_weights(rating.pair_counts(_rated(c)[1]), _rated(c)[0]).withColumn("weight", F.round("weight", 6)),
     f"WITH {_PAIRS}, {_PAIR_ROWS}, {_weights('tag1, tag2', 'pr')} SELECT tag1, tag2, CAST(rating AS BIGINT) AS rating, round(weight, 6) AS weight, n FROM w WHERE abs(weight) > 0.01",
 )
 add("rating_scores", lambda c: _scored(c).select("item_id", F.col("rating").cast("int").alias("rating"), F.round("score", 5).alias("score")), f"{_SCORES} SELECT item_id, CAST(rating AS INTEGER) AS rating, round(score, 5) AS score FROM x")

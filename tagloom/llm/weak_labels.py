@@ -221,18 +221,22 @@ def fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.ndar
     n, size = len(target), 1 << BITS
     use = (np.bincount(feature, minlength=size) >= MIN_HOLDERS)[feature]
     doc, feature, value = doc[use], feature[use], value[use]
-    columns, feature = np.unique(feature, return_inverse=True)
+    # feature by feature: weights are spread and gradients summed in order, and what is looked up by document stays in cache
+    order = np.argsort(feature, kind="stable")
+    doc, value = doc[order], value[order]
+    columns, starts, many = np.unique(feature[order], return_index=True, return_counts=True)
     # rare positives weigh as much as the rest
     share = np.clip(target.mean(), 0.01, 0.5)
     weight = target * (0.5 / share) + (1 - target) * (0.5 / (1 - share))
     w, bias, seen, seen_b = np.zeros(len(columns)), 0.0, np.full(len(columns), 1e-8), 1e-8
     for _ in range(steps):
-        z = np.bincount(doc, weights=value * w[feature], minlength=n) + bias
+        z = np.bincount(doc, weights=value * np.repeat(w, many), minlength=n) + bias
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
-        grad = np.bincount(feature, weights=value * g[doc], minlength=len(columns)) + l2 * w
-        seen += grad**2
+        if len(columns):
+            grad = np.add.reduceat(value * g[doc], starts) + l2 * w
+            seen += grad**2
+            w -= rate * grad / np.sqrt(seen)
         seen_b += g.sum() ** 2
-        w -= rate * grad / np.sqrt(seen)
         bias -= rate * g.sum() / np.sqrt(seen_b)
     out = np.zeros(size + 1, np.float32)
     out[columns], out[size] = w, bias

@@ -10,6 +10,7 @@ no bit block that both must share, so buckets are dealt otherwise than for
    has a fingerprint and ``BANDS`` MinHash bands of ``ROWS`` values; texts that
    agree on a band share a bucket.  Two texts of similarity s share none with
    probability (1 - s^ROWS)^BANDS, 0.0004 at 0.8.
+   Buckets of the same members count as one.
 2. In each bucket the fingerprints' trie is joined with itself, pruned by the
    error budget and by what is linked already; the similarity of each pair that
    is left is computed exactly from the two sets.  A bucket gives a spanning
@@ -196,9 +197,12 @@ def _block(blocks: Column | str) -> Column:
 
 def groups(docs: DataFrame, prints: DataFrame, scratch: Scratch, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(node, root) for each text hash that has near copies; prints: (key, bands)."""
-    dealt = prints.select("key", F.explode("bands").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("bucket")
-    live = scratch.save(dealt.join(shared, "bucket", "left_semi").distinct(), "live")
+    dealt = scratch.save(prints.dropDuplicates(["key"]).select("key", F.explode("bands").alias("bucket")), "dealt")
+    # buckets of the same members would find the same: of those one is looked at; members are told apart by their number and 128 bits
+    members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")]
+    shared = dealt.groupBy("bucket").agg(*members).where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    live = scratch.save(dealt.join(shared, "bucket", "left_semi"), "live")
+    scratch.drop("dealt")
     wanted = live.select(F.col("key").alias("__key")).distinct()
     # a text for each hash; of its copies one leaves each partition, so a text that fills a third of the rows is no hot key
     texts = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(_once, "key long, text string")

@@ -143,3 +143,17 @@ def display_groups(item_tags: DataFrame, counts: DataFrame, item_id: int) -> Dat
     own = item_tags.where(F.col("item_id") == item_id).join(counts, "tag", "left")
     shown = F.concat(F.col("tag"), F.lit("="), F.coalesce("n", F.lit(0)).cast("string"))
     return own.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list(shown)), " ").alias("tags"))
+
+
+def tags_in_order(names: DataFrame, tags: DataFrame, counts: DataFrame) -> DataFrame:
+    """(place, tag, extended_category, n) of named tags (place, tag) in the order asked for; unknown ones stay with a count of 0 (OP-239, OP-267)."""
+    known = tags.groupBy("tag").agg(F.min("extended_category").alias("extended_category"))
+    rows = names.join(known, "tag", "left").join(counts.select("tag", "n"), "tag", "left")
+    return rows.select("place", "tag", "extended_category", F.coalesce("n", F.lit(0)).alias("n")).orderBy("place")
+
+
+def set_categories(tags: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The tags with the extended category of chosen ones (tag, extended_category) set; those not named keep theirs (OP-237)."""
+    new = chosen.groupBy("tag").agg(F.min("extended_category").alias("chosen"), F.lit(True).alias("named"))
+    value = F.when(F.col("named"), F.col("chosen")).otherwise(F.col("extended_category"))
+    return tags.join(new, "tag", "left").select("tag", "category", value.alias("extended_category"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,18 @@ def calibration(actions: DataFrame) -> DataFrame:
     return actions.withColumn("manual", manual).withColumn("outcome", outcome).groupBy("suggested", "manual", "outcome").agg(F.count("*").alias("n"))
 
 
+def precision_at(judged: DataFrame, order: list[Column], depths: Sequence[int]) -> DataFrame:
+    """(k, n, right, precision): of the first k suggestions in an order, how many the reviewer called duplicates (OP-263).
+
+    judged: (is_duplicate, ..).  Only the deepest page is sorted and kept.
+    """
+    first = judged.orderBy(*order).limit(max(depths))
+    place = F.row_number().over(Window.orderBy(*order))  # over one page
+    ranked = first.withColumn("place", place)
+    each = ranked.select("place", "is_duplicate", F.explode(F.array(*(F.lit(k) for k in depths))).alias("k")).where(F.col("place") <= F.col("k"))
+    return each.groupBy("k").agg(F.count("*").alias("n"), F.count_if("is_duplicate").alias("right")).withColumn("precision", F.round(F.col("right") / F.col("n"), 4))
+
+
 def commit(pairs: DataFrame, relations: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Remaining pairs, relations and deleted items after review actions (a, b, action, detail) (OP-184)."""
     rest = pairs.join(actions.select("a", "b"), ["a", "b"], "left_anti")

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import columns, pixels
+from tagloom.functions.lineage import Scratch
 from tagloom.operators import deltas, detail, dml, health, implications, merge, rating, rebuild, relations, review, rules, search, similarity, stats
 from tagloom.operators import ingest as arrivals
 from tagloom.plans import jobs
-from tagloom.plans.registry import _SOFT, _edges, _events, _model, _naming, _rated, _scored_pairs, _tag, _weights, _PAIR_ROWS, _PAIRS, add
+from tagloom.plans.registry import _REVIEW, _SOFT, _edges, _events, _model, _naming, _rated, _scored_pairs, _tag, _weights, _PAIR_ROWS, _PAIRS, add
 from tagloom.sources import files
 from tagloom.sources.proxies import Catalog
 from tagloom.streaming import ingest
@@ -433,3 +434,79 @@ add("pixel_mean_difference", lambda c: _compared(c).select("vec_id", F.round("me
 add("pixel_metrics", lambda c: _compared(c).select("vec_id", "changed_ratio", "largest_blob_ratio", "blob_count", "peak_blob_contrast", "visual_signal"), None)
 add("pixel_hashes", lambda c: _pictures(c).select("vec_id", pixels.phash_of("grey").alias("phash")), None)
 add("embeddings_made", lambda c: similarity.embedded(c.raw("pages").select(F.col("page_id").alias("item_id"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content")), byte_shares).select("item_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 4).alias("length")), "SELECT page_id AS item_id, CAST(CASE WHEN length(coalesce(html, '')) = 0 THEN 0 ELSE 1 END AS DOUBLE) AS length FROM pages")
+
+
+# --- round trips through files ----------------------------------------------
+
+
+def _path(c: Catalog, name: str) -> str:
+    return f"{Scratch(c.spark, name).root}/{name}"
+
+
+def _model_again(c: Catalog) -> DataFrame:
+    path = _path(c, "model")
+    files.save_model(*_model(c), path)
+    return files.load_model(c.spark, path)[0].withColumn("weight", F.round("weight", 6))
+
+
+def _appended(c: Catalog) -> DataFrame:
+    """Nations written as JSON lines twice."""
+    path, rows = _path(c, "lines"), c.raw("nation").select("n_nationkey", "n_name")
+    files.write_json(rows, path)
+    files.write_json(rows.where("n_nationkey % 2 = 0"), path, append=True)
+    return c.spark.read.schema("n_nationkey long, n_name string").json(path).groupBy("n_nationkey").agg(F.count("*").alias("n"))
+
+
+def _indexed(c: Catalog) -> DataFrame:
+    """Each region's JSON file by its hash."""
+    path = _path(c, "json")
+    text = F.concat(F.lit('{"md5": "'), F.md5("r_name"), F.lit('", "name": "'), F.col("r_name"), F.lit('"}'))
+    c.raw("region").select(text.alias("value"), "r_name").write.partitionBy("r_name").text(path)  # a file for each
+    return files.metadata_index(c.spark, path).select(F.length("md5").alias("length")).distinct()
+
+
+def _compacted(c: Catalog) -> DataFrame:
+    path = _path(c, "compact")
+    files.compact(c.pool_items, path, 3, "item_id")
+    return c.spark.read.parquet(path)
+
+
+def _batched(c: Catalog) -> DataFrame:
+    """The event stream written batch by batch."""
+    path = _path(c, "batches")
+    ingest.write_batches(_events(c).select("event_id", "event_type"), lambda df, n: df.write.mode("overwrite").parquet(f"{path}/rows/batch={n}"), f"{path}/checkpoint")
+    return c.spark.read.parquet(f"{path}/rows").select("event_id", "event_type")
+
+
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+add("files_scanned", lambda c: files.scan_files(c.spark, c.sf_dir, [".parquet"]).select(F.regexp_extract("path", r"([a-z]+)\.parquet", 1).alias("name")).distinct(), f"SELECT unnest({_TABLES}) AS name")
+add("model_round_trip", _model_again, f"WITH {_TAG_WEIGHTS} SELECT tag, CAST(rating AS BIGINT) AS rating, round(weight, 6) AS weight, n FROM w WHERE abs(weight) > 0.01")
+add("json_lines", _appended, "SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM nation")
+add("json_index", _indexed, "SELECT 32 AS length")
+add("compacted_table", _compacted, "SELECT pool_id, item_id, sort_order FROM pool_items")
+add("stream_batches", _batched, "SELECT event_id, event_type FROM events")
+
+# --- more of reviews, tags and neighbours -----------------------------------
+
+
+def _judged(c: Catalog) -> DataFrame:
+    return _scored_pairs(c).withColumn("is_duplicate", (F.col("a") + F.col("b")) % 5 < 2)
+
+
+add("calibration_precision", lambda c: review.precision_at(_judged(c), [F.col("signal"), F.col("distance"), F.col("a"), F.col("b")], (10, 50, 250)), f"WITH {_REVIEW}, o AS (SELECT (a + b) % 5 < 2 AS d, row_number() OVER (ORDER BY signal, distance, a, b) AS place FROM sp), k AS (SELECT CAST(unnest([10, 50, 250]) AS INTEGER) AS k) SELECT k, count(*) AS n, count(*) FILTER (WHERE d) AS right, round(count(*) FILTER (WHERE d) / CAST(count(*) AS DOUBLE), 4) AS precision FROM k JOIN o ON place <= k GROUP BY 1")
+add("calibration_quantiles", lambda c: arrivals.quantiles(_judged(c).select(F.col("is_duplicate").cast("string").alias("g"), "distance"), "g", "distance").select("g", "n", "p25", "p50", "p75"), f"""WITH {_REVIEW}, o AS (SELECT CAST((a + b) % 5 < 2 AS VARCHAR) AS g, CAST(distance AS INTEGER) AS d, row_number() OVER (PARTITION BY (a + b) % 5 < 2 ORDER BY distance) - 1 AS k, count(*) OVER (PARTITION BY (a + b) % 5 < 2) AS n FROM sp)
+    SELECT g, CAST(max(n) AS BIGINT) AS n, max(CASE WHEN k = round_even((n - 1) * 0.25, 0) THEN d END) AS p25, max(CASE WHEN k = round_even((n - 1) * 0.5, 0) THEN d END) AS p50, max(CASE WHEN k = round_even((n - 1) * 0.75, 0) THEN d END) AS p75 FROM o GROUP BY 1""")
+
+
+def _asked_tags(c: Catalog) -> DataFrame:
+    names = c.pools.select((F.col("pool_id") * 2).alias("place"), F.col("name").alias("tag"))
+    own = c.item_tags.where("category = 'general'").select("tag").distinct()
+    return names.unionByName(own.select((F.length("tag") * 2 + 1).cast("long").alias("place"), "tag"))
+
+
+add("tags_in_order", lambda c: merge.tags_in_order(_asked_tags(c), c.tags, stats.tag_counts(c.item_tags)), "WITH n AS (SELECT tag, count(DISTINCT item_id) AS n FROM item_tags GROUP BY 1), e AS (SELECT tag, min(extended_category) AS extended_category FROM tags GROUP BY 1), x AS (SELECT pool_id * 2 AS place, name AS tag FROM pools UNION ALL SELECT DISTINCT length(tag) * 2 + 1, tag FROM item_tags WHERE category = 'general') SELECT place, x.tag, e.extended_category, coalesce(n.n, 0) AS n FROM x LEFT JOIN e ON e.tag = x.tag LEFT JOIN n ON n.tag = x.tag")
+add("tags_categorised", lambda c: merge.set_categories(c.tags, c.tags.where("category = 'artist'").select("tag", F.lit("21_Status").alias("extended_category"))), "SELECT tag, category, CASE WHEN tag IN (SELECT tag FROM tags WHERE category = 'artist') THEN '21_Status' ELSE extended_category END AS extended_category FROM tags")
+add(
+    "neighbours_without_family", lambda c: similarity.nearest(c.raw("embeddings"), 30, 10, exclude=relations.family(c.items, _edges(c), 30)),
+    f"WITH {_NEAR}, m AS (SELECT post_id, parent_id FROM items WHERE item_id = 30), fm AS (SELECT b AS item_id FROM relations WHERE a = 30 UNION SELECT a FROM relations WHERE b = 30 UNION SELECT i.item_id FROM items i JOIN m ON i.parent_id = m.post_id OR i.post_id = m.parent_id OR i.parent_id = m.parent_id), k AS (SELECT similar_id AS item_id, score FROM nr WHERE source_id = 30 AND similar_id NOT IN (SELECT item_id FROM fm) ORDER BY score DESC, similar_id LIMIT 10) SELECT item_id, score, CAST(row_number() OVER (ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM k",
+)

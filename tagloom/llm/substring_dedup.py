@@ -160,9 +160,10 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, key, start, length): word ranges whose every 13-word window also stands in a smaller document."""
     keyed = _keyed(docs).where("doc_id is not null")
     anchors = scratch.save(keyed.select("doc_id", "key", "text").mapInArrow(_anchors, "h long, key long, doc_id long"), "anchors")
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    mine = scratch.save(anchors.join(shared, "h").groupBy("doc_id", "key").agg(F.collect_set("h").alias("shared")), "shared")
-    scratch.drop("anchors")
+    # a table of its own: the shuffle of the minima is gone before the next begins, and the join with it may be split on skew
+    common = scratch.save(anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"), "common")
+    mine = scratch.save(anchors.join(common, "h").groupBy("doc_id", "key").agg(F.collect_set("h").alias("shared")), "shared")
+    scratch.drop("anchors", "common")
     bundles = scratch.save(
         keyed.join(mine, ["doc_id", "key"]).select("doc_id", "key", "text", "shared").mapInArrow(_bundles, "doc_id long, key long, h long, bundle long, start int, windows array<long>"), "bundles"
     )
@@ -170,14 +171,17 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     first = bundles.groupBy("h", "bundle").agg(F.min("doc_id").alias("owner"))
     first = scratch.save(first, "first")
     several = first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("several"))
-    rows = bundles.join(first, ["h", "bundle"])
-    whole = rows.where("owner < doc_id").select("doc_id", "key", "start", (F.size("windows") + WINDOW - 1).alias("length"))
+    # lengths go into the join, not the windows themselves
+    rows = bundles.select("doc_id", "key", "h", "bundle", "start", (F.size("windows") + WINDOW - 1).alias("length")).join(first, ["h", "bundle"])
+    whole = rows.where("owner < doc_id").select("doc_id", "key", "start", "length")
     heads = first.join(several, "h").select("h", "bundle", F.col("owner").alias("doc_id"))
     edge = bundles.join(heads, ["h", "bundle", "doc_id"]).select("doc_id", "key", "h", "start", F.posexplode("windows").alias("k", "w"))
     edge = scratch.save(edge, "edge")
-    least = edge.groupBy("h", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "w", "lo")
+    least = scratch.save(edge.groupBy("h", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "w", "lo"), "least")
     parts = edge.join(least, ["h", "w"]).where("lo < doc_id").select("doc_id", "key", (F.col("start") + F.col("k")).alias("start"), F.lit(WINDOW).alias("length"))
-    return scratch.save(whole.unionByName(parts), "ranges")
+    ranges = scratch.save(whole.unionByName(parts), "ranges")
+    scratch.drop("bundles", "first", "edge", "least")
+    return ranges
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -187,6 +191,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     [start, end).  A null text counts as empty.  A row with a null doc_id has no
     order among documents: it keeps all its words and removes none elsewhere.
     Rows with one doc_id never repeat each other; each is judged on its own text.
+    An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
     ranges = repeated_ranges(docs, scratch).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "length")).alias("ranges"))

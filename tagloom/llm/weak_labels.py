@@ -57,7 +57,7 @@ MIN_MARKED, MIN_RATIO = 4, 40.0
 FALSE_LOW, TRUE_LOW, BELIEF = 0.002, 0.7, 0.2
 #: Features that fewer sampled documents hold are left out of the scorer.
 MIN_HOLDERS = 8
-DROP_ABOVE = 0.6
+DROP_ABOVE = 0.5
 
 _LOWER = np.full(256, 0x20, np.uint8)
 for _c in range(256):
@@ -216,7 +216,7 @@ def features(r: Reading) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
-def fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.ndarray, steps: int = 250, rate: float = 1.0, l2: float = 1e-3) -> np.ndarray:
+def fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.ndarray, steps: int = 250, rate: float = 1.0, l2: float = 2e-3) -> np.ndarray:
     """Logistic weights (the last is the bias) for soft targets, by full-gradient steps scaled per feature."""
     n, size = len(target), 1 << BITS
     use = (np.bincount(feature, minlength=size) >= MIN_HOLDERS)[feature]

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType, TimestampType
+
+#: Span of a log whose times are plain numbers.
+COUNTED_SPAN = 1 << 16
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -39,7 +43,9 @@ def compacted(log: DataFrame, span: str = "day") -> DataFrame:
     task holds more of a key than a span.
     """
     sign = F.when(F.col("op") == "add", 1).otherwise(-1)
-    rows = log.select("md5", "tag", "ts", "id", sign.alias("s"), F.date_trunc(span, "ts").alias("span"))
+    timed = isinstance(log.schema["ts"].dataType, (TimestampType, TimestampNTZType))
+    part = F.date_trunc(span, "ts") if timed else F.floor(F.col("ts") / COUNTED_SPAN)
+    rows = log.select("md5", "tag", "ts", "id", sign.alias("s"), part.alias("span"))
     within = Window.partitionBy("md5", "tag", "span").orderBy("ts", "id")
     placed = rows.withColumn("k", F.row_number().over(within)).withColumn("settles", F.lag("s").over(within) == F.col("s"))
     parts = placed.groupBy("md5", "tag", "span").agg(F.count("*").alias("n"), F.min_by("s", "k").alias("first"), F.max(F.when(F.col("settles"), F.struct("k", "s"))).alias("settled"))

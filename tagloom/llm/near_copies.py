@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tagloom.functions.lineage import Scratch
 from tagloom.llm.components import components
 from tagloom.llm.simhash_trie import _majority, first_row, head_rows, shingle_digests, text_key, trie_forest
-from tagloom.llm.words import slices
+from tagloom.llm.words import slices, tidy
 
 SHINGLE_WORDS = 5
 #: Least similarity of near copies, as a fraction of whole numbers.
@@ -45,6 +45,7 @@ LEAST_SHARE = (4, 5)
 #: Bits of 64 that the fingerprints of near copies may differ in.
 BUDGET = 20
 BANDS, ROWS = 20, 5
+COLUMNS = [f"b{k}" for k in range(BANDS)]
 #: Members of a bucket that one block holds; one of over a thousand shingles counts once for each thousand.
 BLOCK_ROWS = 1024
 #: Members that all blocks of a bucket share at first.
@@ -83,10 +84,9 @@ def bands(found: np.ndarray) -> list[int]:
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [bands(shingles(t)) for _, _, texts in slices(b.column(2)) for t in texts]
-        flat = pa.array(np.array(rows, np.int64).reshape(-1))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b.num_rows + 1) * BANDS, BANDS), pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["doc_id", "key", "bands"])
+        for at, to, texts in slices(b.column(2)):
+            rows = np.array([bands(shingles(t)) for t in texts], np.int64).reshape(-1, BANDS)
+            yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in b.columns[:2]), *(pa.array(rows[:, k]) for k in range(BANDS))], ["doc_id", "key", *COLUMNS])
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,6 +97,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = ~np.isin(key, seen)
         seen = np.concatenate((seen, key[fresh]))
         yield b.take(pa.array(np.sort(first[fresh])))
+        tidy()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +181,10 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         elif cut:
             yield solved(b.slice(0, cut))
         held.append(b.slice(cut))
+        tidy()
     if held:
         yield solved(pa.concat_batches(held))
+    tidy()
 
 
 def _met(dealt: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,8 +199,9 @@ def _block(blocks: Column | str) -> Column:
 
 
 def groups(docs: DataFrame, prints: DataFrame, scratch: Scratch, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(node, root) for each text hash that has near copies; prints: (key, bands)."""
-    dealt = scratch.save(prints.dropDuplicates(["key"]).select("key", F.explode("bands").alias("bucket")), "dealt")
+    """(node, root) for each text hash that has near copies; prints: (key, and a column for each band)."""
+    once = prints.groupBy("key").agg(*(F.min(c).alias(c) for c in COLUMNS))  # copies are alike
+    dealt = scratch.save(once.select("key", F.explode(F.array(*COLUMNS)).alias("bucket")), "dealt")
     # buckets of the same members would find the same: of those one is looked at; members are told apart by their number and 128 bits
     members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")]
     shared = dealt.groupBy("bucket").agg(*members).where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
@@ -250,8 +254,8 @@ def keep_near(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "near-copies")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
-    prints = scratch.save(keyed.mapInArrow(_banded, "doc_id long, key long, bands array<long>"), "prints")
-    roots = groups(docs, prints.select("key", "bands"), scratch, block_rows)
+    prints = scratch.save(keyed.mapInArrow(_banded, "doc_id long, key long, " + ", ".join(f"{c} long" for c in COLUMNS)), "prints")
+    roots = groups(docs, prints.select("key", *COLUMNS), scratch, block_rows)
     # least row of each text first, so that a text with many copies is one row of the join
     rows = prints.groupBy("key").agg(first_row()).join(roots, F.col("key") == F.col("node"), "left")
     least = rows.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("least").alias("least"))

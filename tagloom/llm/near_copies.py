@@ -51,7 +51,7 @@ BLOCK_ROWS = 1024
 #: Members that all blocks of a bucket share at first.
 HUBS = 8
 #: Shingles whose values are computed at a time, and set members that are looked up at a time.
-CHUNK, PROBES = 4096, 1 << 20
+CHUNK, PROBES = 2048, 1 << 18
 #: Node pairs walked at a time: few, so that links found early spare later comparisons.
 FRONTIER = 1 << 14
 _rng = np.random.Generator(np.random.PCG64(20240602))

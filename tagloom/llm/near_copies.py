@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.lineage import Scratch
 from tagloom.llm.components import components
-from tagloom.llm.simhash_trie import _majority, first_row, head_rows, shingle_digests, text_key, trie_forest
+from tagloom.llm.simhash_trie import first_row, head_rows, majority, shingle_digests, text_key, trie_forest
 from tagloom.llm.words import slices, tidy
 
 SHINGLE_WORDS = 5
@@ -67,7 +67,7 @@ def shingles(text: bytes) -> np.ndarray:
 
 def fingerprint(found: np.ndarray) -> int:
     """The SimHash of a set of shingle hashes."""
-    return _majority(found.view(np.uint8), len(found))
+    return majority(found.view(np.uint8), len(found))
 
 
 def bands(found: np.ndarray) -> list[int]:

@@ -62,10 +62,10 @@ def shingle_digests(text: bytes, shingle_words: int = SHINGLE_WORDS) -> bytes:
 def fingerprint(text: bytes) -> int:
     """The SimHash of one text: bit set where over half the shingle hashes have it."""
     raw = shingle_digests(text)
-    return _majority(np.frombuffer(raw, np.uint8), len(raw) // 8)
+    return majority(np.frombuffer(raw, np.uint8), len(raw) // 8)
 
 
-def _majority(digests: np.ndarray, n: int) -> int:
+def majority(digests: np.ndarray, n: int) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # a very long text is counted in pieces
         part = digests[8 * at : 8 * min(at + (1 << 16), n)]

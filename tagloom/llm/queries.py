@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat_repair, mixing, packing, pii, quality_rules, simhash_trie, substring_dedup, topk_search, warc_fixity, weak_labels
+from tagloom.llm import chat_repair, mixing, packing, pii, quality_rules, sentence_pieces, simhash_trie, source_divergence, substring_dedup, timestamps, topk_search, warc_fixity, weak_labels
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,20 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.normalise(_table(spark, sf_dir, "stamps"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_simhash_near_dedup, op3_quality_rules, op4_weak_label_classifier, op5_personal_data, op6_chat_repair, op7_best_fit_packing, op8_warc_fixity, op9_substring_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_topk_search, op2_simhash_near_dedup, op3_quality_rules, op4_weak_label_classifier, op5_personal_data, op6_chat_repair, op7_best_fit_packing, op8_warc_fixity, op9_substring_dedup, op10_source_mixing, op11_source_divergence, op12_sentence_pieces, op13_timestamps)}
 
 
 OP1_SQL = """
@@ -140,5 +152,96 @@ FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id
 """
 
 
+OP11_SQL = r"""
+WITH read_docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), kept_terms AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(words)) AS term FROM read_docs) GROUP BY ALL HAVING count(*) >= 10
+), occurrences AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(words) AS term FROM read_docs) GROUP BY ALL
+), found_groups AS (
+  SELECT DISTINCT lang, source FROM read_docs
+), grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n
+  FROM found_groups g JOIN kept_terms k USING (lang) LEFT JOIN occurrences o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term
+), of_group AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source) AS size, count(*) OVER (PARTITION BY lang, source) AS v FROM grid
+), of_lang AS (
+  SELECT lang, term, n, sum(n) OVER (PARTITION BY lang) AS size, count(*) OVER (PARTITION BY lang) AS v FROM (SELECT lang, term, sum(n) AS n FROM grid GROUP BY ALL)
+), shares AS (
+  SELECT lang, source, term, n, CAST(1 + (CAST(1000000000 AS HUGEINT) * CAST(n + 2 AS HUGEINT)) // CAST(size + 2 * v AS HUGEINT) AS HUGEINT) AS p FROM of_group
+), lang_shares AS (
+  SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * CAST(n + 2 AS HUGEINT)) // CAST(size + 2 * v AS HUGEINT) AS HUGEINT) AS q FROM of_lang
+), by_pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+), all_pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM found_groups a JOIN found_groups b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN by_pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+), by_term AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM shares JOIN lang_shares USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM all_pairs UNION ALL SELECT * FROM by_term)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+_WHEN = r"([T ](\d\d):(\d\d)(:(\d\d))?( ?([AP])M)?( ?(Z|[+-]\d\d:?\d\d))?)?".replace(r"\d", "[0-9]")
+_MONTHS = "|".join(timestamps.MONTHS)
+# written apart from the operator: a kind per form, days from 1970 by DuckDB's dates, offsets tried in quarters of an hour, a skipped time by the offset a day later
+OP13_SQL = f"""
+WITH stripped AS (
+  SELECT stamp_id, source, zone, regexp_replace(raw, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS t FROM stamps
+), kinds AS (
+  SELECT *, CASE
+    WHEN regexp_full_match(t, '[0-9]{{10}}') THEN 's' WHEN regexp_full_match(t, '[0-9]{{13}}') THEN 'ms'
+    WHEN regexp_full_match(t, '20[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}{_WHEN}') THEN 'iso' WHEN regexp_full_match(t, '20[0-9]{{6}}{_WHEN}') THEN 'plain'
+    WHEN regexp_full_match(t, '[0-9]{{2}}[.][0-9]{{2}}[.]20[0-9]{{2}}{_WHEN}') THEN 'dots' WHEN regexp_full_match(t, '[0-9]{{2}} ({_MONTHS}) 20[0-9]{{2}}{_WHEN}') THEN 'named'
+    WHEN regexp_full_match(t, '[0-9]{{2}}/[0-9]{{2}}/20[0-9]{{2}}{_WHEN}') THEN 'slash' ELSE 'bad' END AS kind
+  FROM stripped
+), cut AS (
+  SELECT *, CASE kind WHEN 'iso' THEN 10 WHEN 'plain' THEN 8 WHEN 'dots' THEN 10 WHEN 'named' THEN 11 WHEN 'slash' THEN 10 END AS n FROM kinds
+), fields AS (
+  SELECT *,
+    CASE kind WHEN 'iso' THEN t[1:4] WHEN 'plain' THEN t[1:4] WHEN 'named' THEN t[8:11] ELSE t[7:10] END AS y,
+    CASE kind WHEN 'iso' THEN t[6:7] WHEN 'plain' THEN t[5:6] WHEN 'named' THEN lpad(CAST((instr('JanFebMarAprMayJunJulAugSepOctNovDec', t[4:6]) + 2) // 3 AS VARCHAR), 2, '0') ELSE t[4:5] END AS m,
+    CASE kind WHEN 'iso' THEN t[9:10] WHEN 'plain' THEN t[7:8] ELSE t[1:2] END AS d,
+    regexp_extract(t[n + 1:], '^{_WHEN}$', ['all', 'h', 'mi', 'cs', 's', 'ch', 'half', 'co', 'off']) AS w
+  FROM cut
+), times AS (
+  SELECT *, w.h AS h, w.mi AS mi, w.s AS s, w.half AS half, w.off AS off,
+    kind NOT IN ('s', 'ms', 'bad') AND (w.h = '' OR (CASE WHEN w.half = '' THEN w.h <= '23' ELSE w.h BETWEEN '01' AND '12' END)) AND w.mi <= '59' AND w.s <= '59'
+      AND (w.off IN ('', 'Z') OR (w.off[2:3] <= '14' AND right(w.off, 2) <= '59')) AS fits
+  FROM fields
+), days AS (
+  SELECT *, CASE WHEN fits THEN TRY_CAST(y || '-' || m || '-' || d AS DATE) END AS by_day,
+    CASE WHEN fits THEN TRY_CAST(CASE kind WHEN 'slash' THEN y || '-' || d || '-' || m ELSE y || '-' || m || '-' || d END AS DATE) END AS by_month,
+    CASE WHEN fits THEN 3600 * CASE WHEN h = '' THEN 0 WHEN half = '' THEN CAST(h AS INT) ELSE CAST(h AS INT) % 12 + CASE half WHEN 'P' THEN 12 ELSE 0 END END
+      + 60 * coalesce(TRY_CAST(mi AS INT), 0) + coalesce(TRY_CAST(s AS INT), 0) END AS second_of_day,
+    CASE WHEN fits THEN CASE WHEN off = 'Z' THEN 0 WHEN off <> '' THEN (CASE off[1:1] WHEN '-' THEN -1 ELSE 1 END) * (3600 * CAST(off[2:3] AS INT) + 60 * CAST(right(off, 2) AS INT)) END END AS "offset"
+  FROM times
+), votes AS (
+  SELECT source, count(by_day) AS n_day, count(by_month) AS n_month FROM days WHERE kind = 'slash' AND (by_day IS NULL) <> (by_month IS NULL) GROUP BY source
+), told AS (
+  SELECT d.*, coalesce(n_day, 0) AS n_day, coalesce(n_month, 0) AS n_month,
+    CASE WHEN kind IN ('s', 'ms') THEN 'epoch' WHEN by_day IS NULL AND by_month IS NULL THEN 'bad' WHEN by_day <> by_month THEN CASE WHEN coalesce(n_day, 0) <> coalesce(n_month, 0) THEN 'votes' ELSE 'default' END ELSE 'plain' END AS rule
+  FROM days d LEFT JOIN votes v ON v.source IS NOT DISTINCT FROM d.source
+), walls AS (
+  SELECT *, CASE WHEN rule IN ('votes', 'default') AND n_month > n_day THEN by_month WHEN rule <> 'bad' THEN coalesce(by_day, by_month) END + to_seconds(second_of_day) AS wall FROM told
+), tried AS (
+  SELECT *, CASE WHEN "offset" IS NULL AND rule <> 'bad' AND kind NOT IN ('s', 'ms') THEN
+    list_filter(list_transform(range(-56, 57), lambda q: 900 * q), lambda o: timezone(zone, to_timestamp(epoch(wall) - o)) = wall) END AS hits
+  FROM walls
+), solved AS (
+  SELECT *, CASE WHEN hits IS NULL THEN "offset" WHEN len(hits) > 0 THEN list_min(hits) ELSE CAST(epoch(timezone(zone, to_timestamp(epoch(wall) + 86400))) - epoch(wall) - 86400 AS BIGINT) END AS final FROM tried
+)
+SELECT stamp_id, CASE kind WHEN 's' THEN CAST(t AS BIGINT) * 1000000 WHEN 'ms' THEN CAST(t AS BIGINT) * 1000 ELSE CAST(epoch(wall) AS BIGINT) * 1000000 - final * 1000000 END AS utc_us,
+  rule, rule IN ('votes', 'default') OR coalesce(len(hits) <> 1, false) AS ambiguous
+FROM solved
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL, "op8_warc_fixity": OP8_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op1_topk_search": OP1_SQL, "op8_warc_fixity": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL, "op13_timestamps": OP13_SQL}

@@ -152,7 +152,7 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [[{"kind": k, "start": s, "end": e} for s, k, e in spans(t.decode())] for _, _, texts in slices(b.column(1)) for t in texts]
+        rows = [[{"kind": k, "start": s, "end": e} for s, k, e in spans(t.decode("utf-8", "replace"))] for _, _, texts in slices(b.column(1)) for t in texts]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, _SPANS)], ["doc_id", "spans"])
 
 
@@ -161,8 +161,9 @@ def find(docs: DataFrame) -> DataFrame:
 
     spans: array of (kind, start, end), code points, end exclusive, by start and
     then kind.  A null or empty text has none; null and repeated doc_ids pass,
-    each row for itself; texts are read whole, however long; an empty table
-    gives an empty result.
+    each row for itself; texts are read whole, however long; bytes that are no
+    UTF-8 count as the replacement character; an empty table gives an empty
+    result.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _find, "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
@@ -189,7 +190,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced in ``text`` (and ``n_chars`` counted anew where it exists); other columns as they were.
 
     Each row is changed for itself, so repeated rows stay equal; a null text
-    stays null; an empty table stays empty.
+    stays null; bytes that are no UTF-8 become the replacement character; an
+    empty table stays empty.
     """
     place = docs.columns.index("text")
 
@@ -199,7 +201,7 @@ def redact(docs: DataFrame) -> DataFrame:
             kind, parts = b.schema.field(place).type, []
             for at, to, texts in slices(b.column(place)):
                 known = b.column(place).slice(at, to - at).is_valid().to_pylist()
-                parts.append(pa.array([redacted(t.decode()) if k else None for t, k in zip(texts, known, strict=True)], kind))
+                parts.append(pa.array([redacted(t.decode("utf-8", "replace")) if k else None for t, k in zip(texts, known, strict=True)], kind))
             columns[place] = pa.concat_arrays(parts) if parts else pa.array([], kind)
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 

@@ -288,11 +288,12 @@ def head_rows(docs: DataFrame, prints: DataFrame, least: DataFrame, scratch: Scr
     """
     heads = scratch.save(least.select("least.doc_id", "least.key").distinct(), "heads")
     # a text lies in one group, so id and text hash name the group; sort-merge at every size, open to the skew split
-    mine = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", text_key()).alias("m")
-    found = mine.join(heads.alias("h").hint("merge"), (F.col("m.__key") == F.col("h.key")) & F.col("m.__id").eqNullSafe(F.col("h.doc_id")), "left_semi")
+    # the row itself is one column, so names cannot clash
+    mine = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("key")).alias("m")
+    found = mine.join(heads.alias("h").hint("merge"), (F.col("m.key") == F.col("h.key")) & F.col("m.id").eqNullSafe(F.col("h.doc_id")), "left_semi")
     if prints.groupBy("doc_id", "key").count().where("count > 1").head(1):
-        found = found.dropDuplicates(["__id", "__key"])
-    return found.drop("__id", "__key")
+        found = found.dropDuplicates(["id", "key"])
+    return found.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

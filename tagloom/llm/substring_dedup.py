@@ -142,7 +142,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for s, e in reversed(merged):
                         del words[s:e]
                 n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words).decode())
+                kept.append(b" ".join(words).decode("utf-8", "replace"))
                 found.append([{"start": s, "end": e} for s, e in merged])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).slice(at, to - at), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(found, span)],
@@ -179,7 +179,8 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     edge = scratch.save(edge, "edge")
     least = scratch.save(edge.groupBy("h", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "w", "lo"), "least")
     parts = edge.join(least, ["h", "w"]).where("lo < doc_id").select("doc_id", "key", (F.col("start") + F.col("k")).alias("start"), F.lit(WINDOW).alias("length"))
-    ranges = scratch.save(whole.unionByName(parts), "ranges")
+    # each of equal rows has found the same ranges; they leave their partition once
+    ranges = scratch.save(whole.unionByName(parts).distinct(), "ranges")
     scratch.drop("bundles", "first", "edge", "least")
     return ranges
 
@@ -191,10 +192,13 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     [start, end).  A null text counts as empty.  A row with a null doc_id has no
     order among documents: it keeps all its words and removes none elsewhere.
     Rows with one doc_id never repeat each other; each is judged on its own text.
-    An empty table gives an empty result.
+    Bytes that are no UTF-8 are words' bytes like others and are shown as the
+    replacement character.  An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
+    # a row per text with at most its windows; a table of its own, so that the join may be split where one row has very many copies
     ranges = repeated_ranges(docs, scratch).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "length")).alias("ranges"))
+    ranges = scratch.save(ranges, "of-texts")
     return (
         _keyed(docs).join(ranges, ["doc_id", "key"], "left").select("doc_id", "text", "ranges")
         .mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:long,end:long>>")

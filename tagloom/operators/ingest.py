@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.columns import choose, nearest_rank
+from tagloom.functions.columns import choose
 from tagloom.functions.constants import BASE_CATEGORIES
+from tagloom.operators.selection import QUARTILES, ranked_values
 
 #: How the sites of reverse-search hits write a post's number.
 POST_URL = r"/(?:posts?|post/show|artworks|index\.php\?page=post&s=view&id=)/?([0-9]+)"
@@ -51,15 +52,8 @@ def search_hits(hits: DataFrame, least: float) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Least, quartiles by nearest rank, most and mean of a value per group (OP-132, OP-263).
-
-    Values are first counted, so a group is held as its distinct values.
-    """
-    each = rows.groupBy(group, value).agg(F.count("*").alias("n"))
-    spread = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "n"))), lambda x: F.array_repeat(x["v"], x["n"].cast("int"))))
-    whole = each.groupBy(group).agg(spread.alias("vs"), F.sum("n").alias("n"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"))
-    at = lambda q: nearest_rank(F.col("vs"), q)
-    return whole.select(group, "n", at(0.0).alias("least"), at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"), at(1.0).alias("most"), F.round("mean", 6).alias("mean"))
+    """Least, quartiles by nearest rank, most and mean of a value per group, groups of any size (OP-132, OP-263)."""
+    return ranked_values(rows, group, value, QUARTILES).select(group, "n", *QUARTILES, F.round("mean", 6).alias("mean"))
 
 
 def score_spread(scored: DataFrame) -> DataFrame:

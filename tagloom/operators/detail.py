@@ -57,9 +57,10 @@ def favourite_paths(items: DataFrame, favourites: DataFrame) -> DataFrame:
     return items.join(favourites, "item_id", "left_semi").select("item_id", "filepath")
 
 
-def refreshed(rows: DataFrame, fresh: DataFrame, key: str = "item_id") -> DataFrame:
-    """A cached table with some keys' rows replaced by fresh ones; keys without fresh rows are given with nothing else and go (OP-007)."""
-    return replace_children(rows, fresh, key)
+def refreshed(rows: DataFrame, fresh: DataFrame, changed: DataFrame, key: str = "item_id") -> DataFrame:
+    """A cached table after some keys (key) changed: their old rows go, and those that still have rows in ``fresh`` get them; rows of other keys in ``fresh`` are not looked at (OP-007)."""
+    mine = changed.select(key).distinct()
+    return rows.join(mine, key, "left_anti").unionByName(fresh.select(*rows.columns).join(mine, key, "left_semi"))
 
 
 def edit_tags(item_tags: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -21,17 +21,18 @@ def extract_tags(raw: DataFrame) -> DataFrame:
     """(item_id, source, category, tag) from (item_id, data): JSON of the form {"sources": {name: {...}}} (OP-223).
 
     A source gives tags as tag_string_<category> texts, as a tags object of
-    arrays by category, or as one tags text, which is general.  JSON that does
-    not parse gives nothing.
+    arrays by category, or as one tags text or list of texts, which are general.
+    JSON that does not parse gives nothing.
     """
     sources = raw.select("item_id", F.explode(F.from_json(F.get_json_object("data", "$.sources"), "map<string,string>")).alias("source", "d"))
     as_text = F.get_json_object("d", "$.tags")
+    listed = F.when(as_text.startswith("["), F.array_join(F.from_json(as_text, "array<string>"), " ")).otherwise(as_text)
     lists = F.from_json(as_text, "struct<" + ",".join(f"{c}:array<string>" for c in _TAG_FIELDS) + ">")
     by_category = [
         F.struct(F.lit(c).alias("category"), F.when(as_text.startswith("{"), F.coalesce(lists[c], F.array().cast("array<string>"))).otherwise(_split(F.get_json_object("d", f"$.tag_string_{c}"))).alias("tags"))
         for c in _TAG_FIELDS if c != "general"
     ]
-    general = F.when(as_text.startswith("{"), F.coalesce(lists["general"], F.array().cast("array<string>"))).when(F.get_json_object("d", "$.tag_string_general").isNotNull(), _split(F.get_json_object("d", "$.tag_string_general"))).otherwise(_split(as_text))
+    general = F.when(as_text.startswith("{"), F.coalesce(lists["general"], F.array().cast("array<string>"))).when(F.get_json_object("d", "$.tag_string_general").isNotNull(), _split(F.get_json_object("d", "$.tag_string_general"))).otherwise(_split(listed))
     rows = sources.select("item_id", "source", F.explode(F.array(*by_category, F.struct(F.lit("general").alias("category"), general.alias("tags")))).alias("c"))
     return rows.select("item_id", "source", "c.category", F.explode("c.tags").alias("tag")).withColumn("tag", normal_rating(F.col("tag"))).distinct()
 

@@ -1,8 +1,10 @@
 """Search over tagged items: one declarative plan per query.
 
 Every filter is applied, results hold each item once, and every order ends with
-item_id.  Conditions on tags are semi-joins on the tag table, where the names
-are pushed into the scan, so no tag list is built for items that do not match.
+item_id.  Conditions on tags are semi-joins on postings sorted by word, where
+the words are pushed into the scan, so no tag list is built for items that do
+not match.  A part of a word is found by the postings of its runs of three
+characters and then compared.
 """
 
 from __future__ import annotations
@@ -29,11 +31,28 @@ def with_all(items: DataFrame, bridge: DataFrame, column: str, values: tuple[str
     return items.join(hit, "item_id", "left_semi")
 
 
-def with_word(items: DataFrame, item_tags: DataFrame, word: str, exact: bool) -> Column | DataFrame:
-    """Items with a tag equal to the word, or where it is part of a tag or of the path (OP-049, OP-050)."""
-    if exact:
-        return items.join(item_tags.where(F.lower("tag") == word), "item_id", "left_semi")
-    tagged = item_tags.where(F.contains(F.lower("tag"), F.lit(word))).select("item_id")
+def with_words(items: DataFrame, c: Catalog, words: Sequence[str]) -> DataFrame:
+    """Items that have every word as a tag, by the postings of these words (OP-047)."""
+    if not words:
+        return items
+    hit = c.postings.where(F.col("word").isin(*words)).groupBy("item_id").agg(F.countDistinct("word").alias("n")).where(F.col("n") == len(set(words)))
+    return items.join(hit, "item_id", "left_semi")
+
+
+def holding(c: Catalog, word: str) -> DataFrame:
+    """(item_id, sure) of items of which a tag, or perhaps the path, holds the word: postings of all its runs of three characters, of which those of tags are compared with the word (OP-050, OP-120)."""
+    runs = sorted({word[k : k + 3] for k in range(len(word) - 2)})
+    every = lambda table, key: table.where(F.col("gram").isin(*runs)).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == len(runs)).select(key)
+    tags = every(c.tag_grams, "word").where(F.contains("word", F.lit(word)))
+    tagged = c.postings.join(tags, "word", "left_semi").select("item_id", F.lit(True).alias("sure"))
+    return tagged.unionByName(every(c.path_grams, "item_id").withColumn("sure", F.lit(False))).groupBy("item_id").agg(F.max("sure").alias("sure"))
+
+
+def with_part(items: DataFrame, c: Catalog, word: str) -> DataFrame:
+    """Items where the word is part of a tag or of the path; words of fewer than three characters are looked for in all tags and paths (OP-049, OP-050)."""
+    if len(word) >= 3:
+        return items.join(holding(c, word), "item_id").where(F.col("sure") | F.contains(F.lower("filepath"), F.lit(word))).drop("sure")
+    tagged = c.postings.where(F.contains("word", F.lit(word))).select("item_id")
     named = items.where(F.contains(F.lower("filepath"), F.lit(word))).select("item_id")
     return items.join(tagged.unionByName(named), "item_id", "left_semi")
 
@@ -77,17 +96,17 @@ def compile_search(spec: SearchSpec, c: Catalog) -> DataFrame:
         named = c.pools.where(F.contains(F.lower("name"), F.lit(spec.pool))).select("pool_id")
         items = items.join(c.pool_items.join(named, "pool_id", "left_semi"), "item_id", "left_semi")
     items = with_all(items, c.item_sources, "source", tuple(s.lower() for s in spec.sources))
-    items = with_all(items, c.item_tags, "tag", spec.ratings)
+    items = with_words(items, c, spec.ratings)
     for category, tag in spec.in_category:
         items = items.join(c.item_tags.where((F.col("category") == category) & (F.lower("tag") == tag)), "item_id", "left_semi")
     known: set[str] = set()
     if spec.terms:  # one small lookup decides which words are tags
-        known = {r.t for r in c.tags.where(F.lower("tag").isin(*spec.terms)).select(F.lower("tag").alias("t")).distinct().collect()}
-    items = with_all(items, c.item_tags, "tag", tuple(t for t in spec.terms if t in known))
+        known = {r.word for r in c.postings.where(F.col("word").isin(*spec.terms)).select("word").distinct().collect()}
+    items = with_words(items, c, [t for t in spec.terms if t in known])
     for word in [t for t in spec.terms if t not in known] + list(spec.free):
-        items = with_word(items, c.item_tags, word, exact=False)
+        items = with_part(items, c, word)
     for word in spec.negative:
-        items = items.join(c.item_tags.where(F.lower("tag") == word), "item_id", "left_anti").where(~F.contains(F.lower("filepath"), F.lit(word)))
+        items = items.join(c.postings.where(F.col("word") == word), "item_id", "left_anti").where(~F.contains(F.lower("filepath"), F.lit(word)))
     return items
 
 

@@ -113,7 +113,11 @@ add(
 )
 add("implied_tags", lambda c: detail.implied_tags(c.facts, c.tags), "SELECT f.item_id, f.tag, f.category, t.extended_category FROM facts f JOIN tags t ON t.tag = f.tag AND t.category = f.category WHERE f.source = 'implication'")
 add("favourite_paths", lambda c: detail.favourite_paths(c.items, c.favourites), "SELECT item_id, filepath FROM items WHERE item_id IN (SELECT item_id FROM favourites)")
-add("cache_refreshed", lambda c: detail.refreshed(c.pool_items, c.pool_items.where("pool_id % 3 = 0").withColumn("sort_order", F.col("sort_order") * 10), "pool_id"), "SELECT pool_id, item_id, CASE WHEN pool_id % 3 = 0 THEN sort_order * 10 ELSE sort_order END AS sort_order FROM pool_items")
+add(
+    "cache_refreshed",
+    lambda c: detail.refreshed(c.pool_items, c.pool_items.where("pool_id % 7 <> 0").withColumn("sort_order", F.col("sort_order") * 10), c.pools.where("pool_id % 3 = 0 or pool_id % 7 = 0"), "pool_id"),
+    "SELECT pool_id, item_id, CASE WHEN pool_id % 3 = 0 THEN sort_order * 10 ELSE sort_order END AS sort_order FROM pool_items WHERE pool_id % 7 <> 0",
+)
 
 
 def _edited(c: Catalog) -> DataFrame:

@@ -244,18 +244,15 @@ _SCORES = f"""WITH {_TAG_W}, {_PAIRS}, {_PAIR_ROWS}, {_PAIR_W}, u AS (SELECT DIS
     x AS (SELECT parts.item_id, q.rating, coalesce(sum(CASE WHEN parts.rating = q.rating THEN parts.weight END), 0) AS score FROM parts CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS rating) q GROUP BY 1, 2)"""
 
 
-#: Trained models of this process, by session and directory; a model is trained once and read by every inference (OP-193).
-_models: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+def _trained(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    rated, found = _rated(c)
+    scratch = Scratch(c.spark, "model")
+    return scratch.save(rating.weigh(found, rated, ["tag"]), "tags"), scratch.save(rating.pair_weights(rating.pair_counts(found), rated), "pairs")
 
 
 def _model(c: Catalog) -> tuple[DataFrame, DataFrame]:
-    """Tag and pair weights as written tables."""
-    key = (c.spark.sparkContext.applicationId, c.sf_dir)
-    if key not in _models:
-        rated, found = _rated(c)
-        scratch = Scratch(c.spark, "model")
-        _models[key] = scratch.save(rating.weigh(found, rated, ["tag"]), "tags"), scratch.save(rating.pair_weights(rating.pair_counts(found), rated), "pairs")
-    return _models[key]
+    """Tag and pair weights as written tables, trained once and read by every inference (OP-193)."""
+    return c.kept("model", lambda: _trained(c))
 
 
 def _scored(c: Catalog) -> DataFrame:
@@ -329,7 +326,7 @@ def _raw_metadata(c: Catalog) -> DataFrame:
 add("primary_source", lambda c: merge.primary_source(c.item_sources, SOURCE_PRIORITY), "SELECT item_id, min(source) AS source FROM item_sources GROUP BY 1")
 add("merge_sources", lambda c: merge.merge_categories(_two_sources(c)), "WITH p AS (SELECT item_id, tag, max(CASE category WHEN 'character' THEN 6 WHEN 'species' THEN 5 WHEN 'copyright' THEN 4 WHEN 'artist' THEN 3 WHEN 'meta' THEN 2 ELSE 1 END) AS p FROM item_tags GROUP BY 1, 2) SELECT item_id, tag, CASE p WHEN 6 THEN 'character' WHEN 5 THEN 'species' WHEN 4 THEN 'copyright' WHEN 3 THEN 'artist' WHEN 2 THEN 'meta' ELSE 'general' END AS category FROM p")
 add("merge_two", lambda c: merge.merge_two(c.item_tags.where("category <> 'artist'"), c.item_tags), "SELECT item_id, category, string_agg(DISTINCT tag, ' ' ORDER BY tag) AS tags FROM item_tags WHERE category <> 'artist' GROUP BY 1, 2")
-add("dedupe_categories", lambda c: merge.dedupe_general(_two_sources(c)), "WITH t AS (SELECT item_id, tag, category FROM item_tags UNION ALL SELECT item_id, tag, 'general' FROM item_tags WHERE category = 'copyright') SELECT item_id, tag, category FROM t WHERE category <> 'general' OR NOT EXISTS (SELECT 1 FROM t x WHERE x.item_id = t.item_id AND x.tag = t.tag AND x.category <> 'general')")
+add("dedupe_categories", lambda c: merge.dedupe_general(_two_sources(c)), "WITH t AS MATERIALIZED (SELECT item_id, tag, category FROM item_tags UNION ALL SELECT item_id, tag, 'general' FROM item_tags WHERE category = 'copyright'), o AS (SELECT item_id, tag, bool_or(category <> 'general') AS other FROM t GROUP BY 1, 2) SELECT t.item_id, t.tag, t.category FROM t JOIN o ON o.item_id = t.item_id AND o.tag = t.tag WHERE t.category <> 'general' OR NOT o.other")
 add("category_pivot", lambda c: merge.category_columns(c.item_tags), "SELECT item_id, " + ", ".join(f"coalesce(string_agg(DISTINCT CASE WHEN category = '{x}' THEN tag END, ' ' ORDER BY CASE WHEN category = '{x}' THEN tag END), '') AS tags_{x}" for x in ("character", "copyright", "artist", "species", "meta", "general")) + " FROM item_tags GROUP BY 1")
 add("orphan_repair", lambda c: merge.repair_missing(merge.category_columns(c.item_tags), c.item_tags.where("category <> 'meta'")), "SELECT item_id, tag, category FROM item_tags WHERE category = 'meta'")
 add("rename_ratings", lambda c: merge.rename_ratings(c.item_tags.withColumn("tag", F.regexp_replace("tag", "^rating:", "rating_"))), "SELECT DISTINCT item_id, tag, category FROM item_tags")

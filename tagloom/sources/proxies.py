@@ -6,21 +6,29 @@ customers; sources are return flags; the change log is the event stream.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.lineage import Scratch
+from tagloom.sources.kept import forget, kept
 
+T = TypeVar("T")
 RATINGS = ("rating:general", "rating:sensitive", "rating:questionable", "rating:explicit")
 SOURCE_PRIORITY = ("A", "N", "R")
+#: What the tag table is made of.
+TAG_TABLES = ("lineitem", "orders", "part")
 EXTENDED_PROXY = ("00_Subject_Count", "01_Body_Physique", "02_Body_Hair", "03_Body_Face")
 
 
-#: Tag tables that this process has written, by session and directory.
-_bridges: dict[tuple[str, str], DataFrame] = {}
+def grams_of(text: Column, n: int = 3) -> Column:
+    """The distinct runs of n characters of a text; none of a shorter one."""
+    last = F.char_length(text) - n + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.substring(text, k, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
 @dataclass(frozen=True)
@@ -29,7 +37,8 @@ class Catalog:
 
     The tag table, which nearly every query joins, is written once per session
     as Parquet in the shared folder, sorted by tag within files so that a tag's
-    rows are found by row-group statistics; ``refresh`` drops it (OP-006).
+    rows are found by row-group statistics.  It and what is made of it is made
+    anew when a file of its tables changes; ``refresh`` drops it at once (OP-006).
     """
 
     spark: SparkSession
@@ -51,16 +60,39 @@ class Catalog:
             F.when(key % 11 != 0, F.element_at(F.array(*map(F.lit, SOURCE_PRIORITY)), (key % 3 + 1).cast("int"))).alias("active_source"),
         )
 
+    def kept(self, name: str, make: Callable[[], T]) -> T:
+        """What is made once of the tag table's own tables."""
+        return kept(self.spark, self.sf_dir, name, TAG_TABLES, make)
+
+    @property
+    def _bridge(self) -> DataFrame:
+        rows = lambda: self.derived_item_tags.withColumn("word", F.lower("tag")).sortWithinPartitions("word", "tag", "item_id")
+        return self.kept("bridge", lambda: Scratch(self.spark, "item-tags").save(rows(), "bridge"))
+
     @property
     def item_tags(self) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _bridges:
-            _bridges[key] = Scratch(self.spark, "item-tags").save(self.derived_item_tags.sortWithinPartitions("tag", "item_id"), "bridge")
-        return _bridges[key]
+        return self._bridge.select("item_id", "tag", "category")
+
+    @property
+    def postings(self) -> DataFrame:
+        """(word, item_id): items by tag in lower case, sorted, so that a condition on the word reads its row groups alone (OP-048)."""
+        return self._bridge.select("word", "item_id")
+
+    @property
+    def tag_grams(self) -> DataFrame:
+        """(gram, word): the tags in which each three characters occur, sorted by these (OP-050)."""
+        words = lambda: self.postings.select("word").distinct()
+        return self.kept("tag-grams", lambda: Scratch(self.spark, "tag-grams").save(words().select(F.explode(grams_of(F.col("word"))).alias("gram"), "word").sortWithinPartitions("gram"), "grams"))
+
+    @property
+    def path_grams(self) -> DataFrame:
+        """(gram, item_id): the same of paths."""
+        rows = lambda: self.items.select(F.explode(grams_of(F.lower("filepath"))).alias("gram"), "item_id").repartitionByRange("gram").sortWithinPartitions("gram", "item_id")
+        return self.kept("path-grams", lambda: Scratch(self.spark, "path-grams").save(rows(), "grams"))
 
     def refresh(self) -> None:
-        """The next query builds the tag table anew."""
-        _bridges.pop((self.spark.sparkContext.applicationId, self.sf_dir), None)
+        """The next query makes the tag table and all that is made of it anew."""
+        forget(self.spark, self.sf_dir)
 
     @cached_property
     def derived_item_tags(self) -> DataFrame:
@@ -115,13 +147,14 @@ class Catalog:
 
     @cached_property
     def metadata(self) -> DataFrame:
-        """(item_id, data): JSON of up to three sources per item, in their three shapes, from the event table."""
+        """(item_id, data): JSON of up to three sources per item, in their four shapes, from the event table."""
         k, user = F.get_json_object("props", "$.k").cast("long"), F.col("user_id")
         code = F.substring(F.lit("gsqe"), (k % 4 + 1).cast("int"), F.lit(1))
         text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
         first = text('"alpha": {"id": ', F.col("event_id"), ', "parent_id": ', user, ', "has_children": true, "rating": "', code, '", "score": ', k, ', "tag_string_character": "hero', k % 7, '", "tag_string_general": "', F.col("event_type"), " shared", k % 5, '"}')
         second = text('"beta": {"id": ', F.col("event_id") + 1_000_000, ', "relationships": {"parent_id": ', k, '}, "rating": "s", "score": {"total": ', k, '}, "tags": {"general": ["', F.col("event_type"), '", "extra"], "species": ["shared', k % 5, '"], "artist": ["u', user, '"]}}')
-        third = text('"gamma": {"id": ', F.col("event_id") + 2_000_000, ', "tags": "plain shared', k % 5, '"}')
+        third_tags = F.when(F.col("event_id") % 10 == 0, text('["plain", "shared', k % 5, '"]')).otherwise(text('"plain shared', k % 5, '"'))
+        third = text('"gamma": {"id": ', F.col("event_id") + 2_000_000, ', "tags": ', third_tags, "}")
         given = F.array_compact(F.array(F.when(F.col("event_id") % 3 > 0, first), F.when(F.col("event_id") % 2 == 0, second), F.when(F.col("event_id") % 5 == 0, third)))
         return self.raw("events").select(F.col("event_id").alias("item_id"), F.concat(F.lit('{"sources": {'), F.array_join(given, ", "), F.lit("}}")).alias("data"))
 

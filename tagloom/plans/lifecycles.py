@@ -17,7 +17,7 @@ from tagloom.plans import jobs
 from tagloom.plans.registry import _REVIEW, _SOFT, _edges, _events, _model, _naming, _rated, _scored_pairs, _tag, _weights, _PAIR_ROWS, _PAIRS, add
 from tagloom.sources import files
 from tagloom.sources.proxies import Catalog
-from tagloom.streaming import ingest
+from tagloom.streaming import commits, ingest
 
 def byte_shares(contents: list[bytes]) -> np.ndarray:
     """A stand-in for a model: how often each of 16 groups of bytes occurs."""
@@ -408,7 +408,57 @@ add(
     f"WITH x AS (SELECT event_id, user_id, CASE WHEN event_id % 17 = 0 THEN 'error' WHEN {_KNOWN} THEN 'duplicate' END AS o FROM events), y AS (SELECT event_id, coalesce(o, CASE WHEN row_number() OVER (PARTITION BY user_id, o ORDER BY 'in/' || CAST(event_id AS VARCHAR)) = 1 THEN 'success' ELSE 'race_condition' END) AS o FROM x) SELECT o AS outcome, count(*) AS n FROM y GROUP BY 1",
 )
 add("arrival_new_content", lambda c: ingest.new_content(_arrived(c).where("md5 is not null"), c.raw("events").where(_KNOWN).select(F.md5(F.col("user_id").cast("string")).alias("md5"))).select("md5"), f"SELECT DISTINCT md5(CAST(user_id AS VARCHAR)) AS md5 FROM events WHERE event_id % 17 <> 0 AND NOT ({_KNOWN})")
-add("stream_debounced", lambda c: ingest.drain(ingest.debounced(_events(c).select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("path"), F.col("ts").cast("timestamp").alias("ts")), ["path"], delay="3650 days")).select("path"), "SELECT DISTINCT CAST(user_id AS VARCHAR) || '/' || event_type AS path FROM events")
+_RUN_KEYS = "CAST(user_id % 40 AS VARCHAR)"
+
+
+def _by_user(c: Catalog) -> DataFrame:
+    """Events of forty groups of users, so that some come within two seconds of each other."""
+    return _events(c).select(F.expr("cast(user_id % 40 as string)").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+add(
+    "stream_debounced", lambda c: ingest.drain(ingest.settled(_by_user(c), "path")).select("path", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "n"),
+    f"""WITH e AS (SELECT {_RUN_KEYS} AS path, epoch_us(ts) AS t, epoch_us(max(ts) OVER ()) AS top FROM events), l AS (SELECT *, lag(t) OVER (PARTITION BY path ORDER BY t) AS prev FROM e),
+    r AS (SELECT *, sum(CASE WHEN prev IS NULL OR t - prev > 2000000 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY t RANGE UNBOUNDED PRECEDING) AS run FROM l)
+    SELECT path, min(t) AS first_us, max(t) AS last_us, count(*) AS n FROM r GROUP BY path, run HAVING max(t) + 2000000 <= max(top) - 60000000""",
+)
+add(
+    "stream_throttled", lambda c: ingest.drain(ingest.throttled(_by_user(c), "path")).select("path", F.unix_micros("ts").alias("t")),
+    f"""WITH e AS (SELECT DISTINCT {_RUN_KEYS} AS path, epoch_us(ts) AS t FROM events),
+    p AS (SELECT path, min(t) AS t FROM e GROUP BY path UNION ALL SELECT path, t FROM (SELECT p.path, min(e.t) AS t FROM p JOIN e ON e.path = p.path AND e.t >= p.t + 2000000 GROUP BY p.path, p.t) q) SELECT path, t FROM p""", recursive=True,
+)
+
+
+def _committed(c: Catalog) -> commits.Ledger:
+    """The arrivals of all events in two batches, each offered twice."""
+    ledger, rows = commits.Ledger(c.spark, Scratch(c.spark, "arrivals").root), _arrived(c)
+    early = rows.where(F.substring_index("path", "/", -1).cast("long") % 3 > 0)
+    for batch, number in ((early, 0), (early, 0), (rows.join(early, "path", "left_anti"), 1), (early, 1)):
+        ledger.arrive(batch, number)
+    return ledger
+
+
+_LEDGER = """x AS (SELECT 'in/' || CAST(event_id AS VARCHAR) AS path, CASE WHEN event_id % 17 <> 0 THEN md5(CAST(user_id AS VARCHAR)) END AS md5, CASE WHEN event_id % 3 > 0 THEN 0 ELSE 1 END AS batch FROM events),
+    f AS (SELECT *, min(batch) OVER (PARTITION BY md5) AS first_batch, min(path) OVER (PARTITION BY md5, batch) AS first_path FROM x),
+    o AS (SELECT path, md5, CASE WHEN md5 IS NULL THEN 'error' WHEN first_batch < batch THEN 'duplicate' WHEN path <> first_path THEN 'race_condition' ELSE 'success' END AS outcome FROM f)"""
+add("ledger_outcomes", lambda c: _committed(c).outcomes(), f"WITH {_LEDGER} SELECT path, md5, outcome FROM o")
+add("ledger_items", lambda c: _committed(c).items(), f"WITH {_LEDGER} SELECT md5, path FROM o WHERE outcome = 'success'")
+
+
+def _listings(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    """A folder of orders before and after: some moved, some rewritten, some new, some gone."""
+    files = c.items.select("item_id", F.col("filepath").alias("path"), "md5")
+    before = files.where("item_id % 5 <> 0").select("path", "md5")
+    path = F.when(F.col("item_id") % 7 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    return before, files.where("item_id % 11 <> 0").select(path.alias("path"), F.when(F.col("item_id") % 13 == 0, F.md5("md5")).otherwise(F.col("md5")).alias("md5"))
+
+
+add(
+    "files_changed", lambda c: commits.folder_changes(*_listings(c)),
+    """WITH k AS (SELECT filepath AS was, CASE WHEN item_id % 7 = 0 THEN 'moved/' || filepath ELSE filepath END AS path, item_id % 5 <> 0 AS there, item_id % 11 <> 0 AS now, item_id % 7 = 0 AS moves, item_id % 13 = 0 AS other FROM items)
+    SELECT 'created' AS kind, path, CAST(NULL AS VARCHAR) AS was FROM k WHERE now AND (NOT there OR moves AND other) UNION ALL SELECT 'removed', NULL, was FROM k WHERE there AND (NOT now OR moves AND other)
+    UNION ALL SELECT 'moved', path, was FROM k WHERE now AND there AND moves AND NOT other UNION ALL SELECT 'changed', path, was FROM k WHERE now AND there AND NOT moves AND other""",
+)
 add("search_terms_repeated", lambda c: search.search(c, "red RED red order:none"), f"SELECT item_id, filepath FROM items WHERE {_tag('red')}")
 
 # --- maintenance and pictures -----------------------------------------------

@@ -57,6 +57,46 @@ def debounced(stream: DataFrame, keys: list[str], time: str = "ts", delay: str =
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def settled(stream: DataFrame, key: str, time: str = "ts", quiet: str = "2 seconds", late: str = "1 minute") -> DataFrame:
+    """(key, first, last, n): runs of a key's events of which each follows the one before within the quiet time; a run is given once it is over (OP-249).
+
+    A repeat makes the wait longer, and an event after it begins a new run.
+    State holds the runs that are not over yet.
+    """
+    runs = stream.withWatermark(time, late).groupBy(F.session_window(time, quiet).alias("w"), key)
+    return runs.agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("n")).select(key, "first", "last", "n")
+
+
+def throttled(stream: DataFrame, key: str, time: str = "ts", seconds: int = 2, late: str = "1 minute") -> DataFrame:
+    """(key, time) of events that pass: none of their key has passed in the seconds before them (OP-249).
+
+    Events that do not pass change nothing.  State is one time per key, and goes
+    when the watermark is beyond its reach; events of a batch are taken in order
+    of time, and one before the last that passed does not.
+    """
+    span = seconds * 1_000_000
+
+    def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        passed = []
+        for at in sorted(t for part in parts for t in part["at"].tolist()):
+            if last is None or at >= last + span:
+                last = at
+                passed.append(at)
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + span) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if passed:
+            yield pd.DataFrame({key: [name[0]] * len(passed), "at": passed})
+
+    kind = stream.schema[key].dataType.simpleString()
+    rows = stream.withWatermark(time, late).where(f"{key} is not null and {time} is not null").select(key, time, F.unix_micros(time).alias("at"))
+    out = rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(key, F.timestamp_micros("at").alias(time))
+
+
 def distinct_by(stream: DataFrame, keys: list[str]) -> DataFrame:
     """The first row of each key, for all time (OP-250).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,21 @@ from tagloom.operators.selection import QUARTILES, ranked_values
 POST_URL = r"/(?:posts?|post/show|artworks|index\.php\?page=post&s=view&id=)/?([0-9]+)"
 
 
+def tagger_outputs(raw: DataFrame, tags: DataFrame, stored: float = 0.5, shown: float = 0.5, shown_by_category: Mapping[str, float] | None = None) -> DataFrame:
+    """(item_id, tag, category, confidence, shown) of a model's raw outputs (item_id, idx, logit) and its tags (idx, tag, category) (OP-264).
+
+    Confidence is the sigmoid of an output; rows below ``stored``, outputs
+    without a tag and ratings go; categories that are not known are general; a
+    tag is shown from its category's threshold on, else from ``shown``.
+    """
+    sure = 1.0 / (1.0 + F.exp(-F.col("logit")))
+    named = tags.where(~F.col("tag").rlike("^rating[:_]")).select("idx", "tag", F.when(F.col("category").isin(*BASE_CATEGORIES), F.col("category")).otherwise("general").alias("category"))
+    # the sigmoid rises, so the limit is one on the outputs themselves and reaches the scan
+    rows = raw.where(F.col("logit") >= math.log(stored / (1.0 - stored))).join(named, "idx").withColumn("p", sure)
+    limit = F.coalesce(choose(F.col("category"), dict(shown_by_category or {})), F.lit(shown)) if shown_by_category else F.lit(shown)
+    return rows.select("item_id", "tag", "category", F.round("p", 6).alias("confidence"), (F.col("p") >= limit).alias("shown"))
+
+
 def frame_votes(predictions: DataFrame, least: float = 0.5, sure: float = 0.8) -> DataFrame:
     """(item_id, tag, category) of tags that two frames or one sure frame give (OP-264)."""
     kept = predictions.where((F.col("confidence") >= least) & ~F.col("tag").rlike("^rating[:_]"))

@@ -122,6 +122,15 @@ def between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return edges.join(both, ["a", "b"], "left_semi")
 
 
+def latest_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The newest edge (made_at) between the two items of each pair (a, b), in either order; of equal times the first by kind, source and a (OP-219)."""
+    asked = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    rows = edges.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).join(asked, ["lo", "hi"], "left_semi")
+    # a least struct is a partial aggregate, so a pair of very many edges is no hot key
+    order = F.struct((-F.unix_micros("made_at")).alias("age"), "kind", "source", "a", "b", "made_at")
+    return rows.groupBy("lo", "hi").agg(F.min(order).alias("e")).select("e.a", "e.b", "e.kind", "e.source", "e.made_at")
+
+
 def link_arrivals(edges: DataFrame, items: DataFrame, arrived: DataFrame) -> DataFrame:
     """Edges that new items (item_id) bring: to their parent, to their parent's other children, to their own children (OP-220)."""
     new = items.join(arrived, "item_id", "left_semi").select("item_id", "post_id", "parent_id")

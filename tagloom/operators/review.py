@@ -107,6 +107,13 @@ def commit(pairs: DataFrame, relations: DataFrame, actions: DataFrame) -> tuple[
     return rest, left.unionByName(fresh), gone.distinct()
 
 
+def replaced(stored: DataFrame, pairs: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The stored suggestion rows after a batch was built anew: rows of pairs (a, b) that are no longer there go, those that ``fresh`` has take its place, others stay (OP-270)."""
+    key, live = ["a", "b"], pairs.select("a", "b").distinct()
+    new = fresh.select(*stored.columns).join(live, key, "left_semi")
+    return stored.join(live, key, "left_semi").join(new.select(*key), key, "left_anti").unionByName(new)
+
+
 def exact_duplicates(rows: DataFrame, content: Column, id_column: str) -> DataFrame:
     """(id, keeper) of rows whose content another row of smaller id holds (OP-186).
 

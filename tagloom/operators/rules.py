@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.implications import closure
 
+#: How long found suggestions are shown before they are looked for again.
+LIFE_SECONDS = 300
 PAIR = ["source_tag", "implied_tag"]
 
 
@@ -30,6 +32,11 @@ def suggestions(naming: DataFrame, correlated: DataFrame, tags: DataFrame) -> Da
     return both.join(source, "source_tag", "left").join(implied, "implied_tag", "left").select(*PAIR, "pattern_type", "confidence", *(F.coalesce(c, F.lit("general")).alias(c) for c in ("source_category", "implied_category")))
 
 
+def unexpired(found: DataFrame, now: Column, seconds: int = LIFE_SECONDS) -> DataFrame:
+    """Kept suggestions (made_at) that are younger than their life; the rest are to be found anew (OP-204)."""
+    return found.where(F.unix_micros("made_at") > F.unix_micros(now) - seconds * 1_000_000)
+
+
 def _allowed(column: str, wanted: Sequence[str]) -> Column:
     """Among the named categories and not among those named with an exclamation mark; "all" allows any."""
     if "all" in wanted:

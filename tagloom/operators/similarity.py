@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.columns import category_weight, cosine, hamming, hash_score
+from tagloom.functions.columns import category_weight, cosine, hamming, hash_score, hybrid_score
 from tagloom.functions.lineage import Scratch
 from tagloom.operators.graphs import connected
 from tagloom.sources.proxies import Catalog
@@ -198,11 +198,18 @@ def signature_groups(signatures: DataFrame, threshold: int) -> DataFrame:
     return rows.select(F.coalesce("group_id", "head").alias("group_id"), "item_id")
 
 
-def visual_range(signatures: DataFrame, item_id: int, threshold: float, k: int, exclude: DataFrame | None = None) -> DataFrame:
-    """The k items of least effective distance to one item, within a threshold (OP-165)."""
-    one = signatures.where(F.col("item_id") == item_id).select(F.col("w0").alias("q0"), F.col("w1").alias("q1"))  # one row
-    d = hamming([F.col("w0"), F.col("w1")], [F.col("q0"), F.col("q1")])
-    found = signatures.where(F.col("item_id") != item_id).join(F.broadcast(one), F.lit(True)).select("item_id", (64.0 * (1.0 - hash_score(d))).alias("distance")).where(F.col("distance") <= threshold)
+def visual_range(signatures: DataFrame, item_id: int, threshold: float, k: int, exclude: DataFrame | None = None, colour: float = 0.0) -> DataFrame:
+    """The k items of least effective distance to one item, within a threshold (OP-165).
+
+    colour: the share of the colour signature (c0, 32 bits) in the score; an
+    item without one, or compared with one without, has a colour score of 0.
+    """
+    own = ["w0", "w1", *["c0"] * (colour > 0)]
+    one = signatures.where(F.col("item_id") == item_id).select(*(F.col(c).alias(f"q_{c}") for c in own))  # one row
+    structure = hash_score(hamming([F.col("w0"), F.col("w1")], [F.col("q_w0"), F.col("q_w1")]))
+    shade = hash_score(hamming([F.col("c0")], [F.col("q_c0")]), 32) if colour > 0 else F.lit(0.0)
+    distance = hybrid_score(structure, shade, colour)[1]
+    found = signatures.where(F.col("item_id") != item_id).join(F.broadcast(one), F.lit(True)).select("item_id", distance.alias("distance")).where(F.col("distance") <= threshold)
     if exclude is not None:
         found = found.join(exclude, "item_id", "left_anti")
     best = found.orderBy("distance", "item_id").limit(k)

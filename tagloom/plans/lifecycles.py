@@ -14,7 +14,7 @@ from tagloom.functions.lineage import Scratch
 from tagloom.operators import deltas, detail, dml, health, implications, merge, rating, rebuild, relations, review, rules, search, similarity, stats
 from tagloom.operators import ingest as arrivals
 from tagloom.plans import jobs
-from tagloom.plans.registry import _REVIEW, _SOFT, _edges, _events, _model, _naming, _rated, _scored_pairs, _tag, _weights, _PAIR_ROWS, _PAIRS, add
+from tagloom.plans.registry import _REVIEW, _SOFT, _edges, _events, _model, _naming, _near_pairs, _rated, _scored_pairs, _tag, _weights, _PAIR_ROWS, _PAIRS, add
 from tagloom.sources import files
 from tagloom.sources.proxies import Catalog
 from tagloom.streaming import commits, ingest
@@ -295,14 +295,35 @@ def _actions(c: Catalog) -> DataFrame:
     how = ("", "", "", "parent_child_ba", "sibling")
     at = ((F.col("a") + F.col("b")) % 5 + 1).cast("int")
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), at)
-    return similarity.hamming_pairs(c.signatures, 20).select("a", "b", pick(what).alias("action"), pick(how).alias("detail"))
+    return _near_pairs(c).select("a", "b", pick(what).alias("action"), pick(how).alias("detail"))
 
 
 _PK = "pk AS (SELECT a, b, (a + b) % 5 AS m FROM pairs)"
-add("review_commit_relations", lambda c: review.commit(similarity.hamming_pairs(c.signatures, 20), _edges(c).limit(0), _actions(c))[1], f"WITH {_PK} SELECT a, b, 'non_duplicate' AS kind, 'review' AS source FROM pk WHERE m = 2 UNION ALL SELECT b, a, 'parent_child', 'review' FROM pk WHERE m = 3 UNION ALL SELECT a, b, 'sibling', 'review' FROM pk WHERE m = 4")
-add("review_commit_deleted", lambda c: review.commit(similarity.hamming_pairs(c.signatures, 20), _edges(c).limit(0), _actions(c))[2], f"WITH {_PK} SELECT a AS item_id FROM pk WHERE m = 0 UNION SELECT b FROM pk WHERE m = 1")
-add("review_commit_left", lambda c: review.commit(similarity.hamming_pairs(c.signatures, 20), _edges(c).limit(0), _actions(c).where("(a + b) % 5 < 4"))[0], "SELECT a, b, CAST(distance AS INTEGER) AS distance FROM pairs WHERE (a + b) % 5 = 4")
-add("suggestions_replaced", lambda c: _scored_pairs(c).select("a", "b", "distance").join(_scored_pairs(c).where("a % 2 = 0").select("a", "b"), ["a", "b"], "left_anti"), "SELECT a, b, CAST(distance AS INTEGER) AS distance FROM pairs JOIN items x ON x.item_id = a JOIN items y ON y.item_id = b WHERE a % 2 <> 0")
+add("review_commit_relations", lambda c: review.commit(_near_pairs(c), _edges(c).limit(0), _actions(c))[1], f"WITH {_PK} SELECT a, b, 'non_duplicate' AS kind, 'review' AS source FROM pk WHERE m = 2 UNION ALL SELECT b, a, 'parent_child', 'review' FROM pk WHERE m = 3 UNION ALL SELECT a, b, 'sibling', 'review' FROM pk WHERE m = 4")
+add("review_commit_deleted", lambda c: review.commit(_near_pairs(c), _edges(c).limit(0), _actions(c))[2], f"WITH {_PK} SELECT a AS item_id FROM pk WHERE m = 0 UNION SELECT b FROM pk WHERE m = 1")
+add("review_commit_left", lambda c: review.commit(_near_pairs(c), _edges(c).limit(0), _actions(c).where("(a + b) % 5 < 4"))[0], "SELECT a, b, CAST(distance AS INTEGER) AS distance FROM pairs WHERE (a + b) % 5 = 4")
+add(
+    "suggestions_replaced", lambda c: review.replaced(_scored_pairs(c), _near_pairs(c).where("a % 2 <> 0"), _scored_pairs(c).where("(a + b) % 3 = 0").withColumn("signal", F.lit(1.0))).select("a", "b", F.round("signal", 4).alias("signal")),
+    f"WITH {_REVIEW} SELECT a, b, CASE WHEN (a + b) % 3 = 0 THEN 1.0 ELSE round(signal, 4) END AS signal FROM sp WHERE a % 2 <> 0",
+)
+
+
+def _dated_edges(c: Catalog) -> DataFrame:
+    """Each relation once as it was found and once or twice made by hand later."""
+    e = _edges(c).withColumn("made_at", F.timestamp_seconds((F.col("a") + F.col("b")) % 1000))
+    again = e.where("a % 2 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit("sibling").alias("kind"), F.lit("manual").alias("source"), F.timestamp_seconds((F.col("a") * 7 + F.col("b")) % 1000).alias("made_at"))
+    return e.unionByName(again).unionByName(e.where("a % 5 = 0").withColumn("source", F.lit("review")))
+
+
+add(
+    "rel_latest", lambda c: relations.latest_between(_dated_edges(c), _edges(c).select("a", "b")).select("a", "b", "kind", "source", F.unix_seconds("made_at").alias("s")),
+    """WITH e AS (SELECT a, b, a AS x, b AS y, kind, source, (a + b) % 1000 AS s FROM relations UNION ALL SELECT b, a, a, b, 'sibling', 'manual', (a * 7 + b) % 1000 FROM relations WHERE a % 2 = 0 UNION ALL SELECT a, b, a, b, kind, 'review', (a + b) % 1000 FROM relations WHERE a % 5 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY s DESC, kind, source, a) AS place FROM e) SELECT a, b, kind, source, s FROM r WHERE place = 1""",
+)
+add(
+    "rule_suggestions_fresh", lambda c: rules.unexpired(_suggested(c).withColumn("made_at", F.timestamp_seconds(F.length("source_tag") * 60)), F.timestamp_seconds(F.lit(1500))).select("source_tag", "implied_tag", "pattern_type"),
+    f"WITH {_SUGGESTED} SELECT source_tag, implied_tag, pattern_type FROM sg WHERE length(source_tag) * 60 > 1500 - 300",
+)
 
 # --- similarity -------------------------------------------------------------
 

@@ -166,6 +166,22 @@ add(
 )
 add("hamming_pairs", lambda c: similarity.hamming_pairs(c.signatures, 20), "SELECT a, b, CAST(distance AS INTEGER) AS distance FROM pairs")
 add("hamming_pairs_banded", lambda c: similarity.hamming_pairs(c.signatures, 7), "SELECT a, b, CAST(distance AS INTEGER) AS distance FROM pairs WHERE distance <= 7")
+def _near_pairs(c: Catalog) -> DataFrame:
+    """Pairs within 20 bits, found once and read by all that reviews them."""
+    return c.kept("pairs-20", lambda: Scratch(c.spark, "pairs").save(similarity.hamming_pairs(c.signatures, 20), "pairs"), ("embeddings",))
+
+
+def _coloured(c: Catalog) -> DataFrame:
+    """Signatures with a colour signature of one word, which every fifth item lacks."""
+    return c.signatures.withColumn("c0", F.when(F.col("item_id") % 5 != 0, F.col("w1")))
+
+
+add(
+    "visual_range_colour", lambda c: similarity.visual_range(_coloured(c), QUERY_ITEM, 30.0, 50, colour=0.3).withColumn("distance", F.round("distance", 6)),
+    """WITH s AS (SELECT *, CASE WHEN item_id % 5 <> 0 THEN w1 END AS c0 FROM signatures),
+    d AS (SELECT b.item_id, 64.0 * (1 - (0.7 * greatest(0, 1 - (bit_count(xor(a.w0, b.w0)) + bit_count(xor(a.w1, b.w1))) / 64.0) + 0.3 * coalesce(greatest(0, 1 - bit_count(xor(a.c0, b.c0)) / 32.0), 0))) AS distance FROM s a JOIN s b ON a.item_id = 7 AND b.item_id <> 7),
+    t AS (SELECT * FROM d WHERE distance <= 30 ORDER BY distance, item_id LIMIT 50) SELECT item_id, round(CAST(distance AS DOUBLE), 6) AS distance, CAST(row_number() OVER (ORDER BY t.distance, item_id) AS INTEGER) AS rank FROM t""",
+)
 add(
     "visual_range", lambda c: similarity.visual_range(c.signatures, QUERY_ITEM, 28.0, 50),
     """WITH d AS (SELECT b.item_id, CAST(bit_count(xor(a.w0, b.w0)) + bit_count(xor(a.w1, b.w1)) AS DOUBLE) AS distance FROM signatures a JOIN signatures b ON a.item_id = 7 AND b.item_id <> 7),
@@ -177,7 +193,7 @@ add(
     SELECT min(r) AS group_id, item_id FROM reach GROUP BY item_id""", recursive=True,
 )
 add(
-    "star_groups", lambda c: graphs.star_groups(similarity.hamming_pairs(c.signatures, 20)),
+    "star_groups", lambda c: graphs.star_groups(_near_pairs(c)),
     """WITH ends AS (SELECT a AS id FROM pairs UNION SELECT b FROM pairs), n AS (SELECT id, row_number() OVER (ORDER BY id) AS k, (SELECT list(a) FROM pairs WHERE b = id) AS smaller FROM ends),
     h AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS heads UNION ALL SELECT n.k, CASE WHEN len(list_intersect(h.heads, coalesce(n.smaller, []))) > 0 THEN h.heads ELSE list_append(h.heads, n.id) END FROM h JOIN n ON n.k = h.k + 1),
     f AS (SELECT heads FROM h ORDER BY k DESC LIMIT 1) SELECT coalesce(list_min(list_intersect(f.heads, coalesce(n.smaller, []))), n.id) AS group_id, n.id AS item_id FROM n CROSS JOIN f""", recursive=True,
@@ -382,7 +398,7 @@ add("surrogate_keys", lambda c: dml.surrogate_keys(c.tags.select(F.col("tag").al
 def _scored_pairs(c: Catalog) -> DataFrame:
     """Pairs of signatures with metadata of the items of their ids and stand-ins for what pixels give."""
     meta = c.items.select("item_id", (F.col("image_width") * F.col("image_height")).alias("px"), F.coalesce("score", F.lit(0)).alias("fs"), F.col("fav_count").alias("tg"))
-    pairs = similarity.hamming_pairs(c.signatures, 20)
+    pairs = _near_pairs(c)
     x, y = (meta.select(*(F.col(k).alias(f"{k}_{s}") for k in meta.columns)) for s in ("a", "b"))
     j = pairs.join(x, F.col("a") == F.col("item_id_a")).join(y, F.col("b") == F.col("item_id_b"))
     stand_in = {"visual_signal": (F.col("a") * 7 + F.col("b")) % 60 / 1000.0, "largest_blob_ratio": (F.col("a") + F.col("b")) % 9 / 2000.0, "peak_blob_contrast": F.col("a") % 5 / 10.0, "changed_ratio": F.col("b") % 7 / 10.0, "mean_abs_diff": F.col("a") % 3 / 10.0}
@@ -453,6 +469,22 @@ def _frames(c: Catalog) -> DataFrame:
     return c.raw("lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("item_id"), "tag", F.lit("other").alias("category"), (F.col("l_discount") * 10).alias("confidence"))
 
 
+def _raw_outputs(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    """A model's raw outputs, a line of an order as a picture of its own and each part as a tag, and the parts' names."""
+    rows = c.raw("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"), F.col("l_partkey").cast("long").alias("idx"), (F.col("l_discount") * 100 - 5).alias("logit"))
+    kind = F.when(F.col("p_partkey") % 4 == 0, "character").when(F.col("p_partkey") % 4 == 1, "unknown")
+    tag = F.when(F.col("p_partkey") % 9 == 0, F.concat(F.lit("rating_"), "p_name")).otherwise(F.col("p_name"))
+    return rows, c.raw("part").where("p_partkey % 11 <> 0").select(F.col("p_partkey").cast("long").alias("idx"), tag.alias("tag"), kind.alias("category"))
+
+
+add(
+    "tagger_outputs", lambda c: arrivals.tagger_outputs(*_raw_outputs(c), shown=0.7, shown_by_category={"character": 0.9}),
+    """WITH o AS (SELECT l_orderkey * 10 + l_linenumber AS item_id, p_name AS tag, CASE p_partkey % 4 WHEN 0 THEN 'character' ELSE 'general' END AS category, 1 / (1 + exp(-(l_discount * 100 - 5))) AS p
+      FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey % 11 <> 0 AND p_partkey % 9 <> 0)
+    SELECT item_id, tag, category, round(p, 6) AS confidence, p >= CASE category WHEN 'character' THEN 0.9 ELSE 0.7 END AS shown FROM o WHERE p >= 0.5""",
+)
+
+
 def _hits(c: Catalog) -> DataFrame:
     return c.raw("events").select(F.col("event_id").alias("item_id"), F.col("value").alias("similarity"), F.concat(F.lit("https://site.example/posts/"), F.col("user_id").cast("string")).alias("url"))
 

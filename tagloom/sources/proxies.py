@@ -60,9 +60,9 @@ class Catalog:
             F.when(key % 11 != 0, F.element_at(F.array(*map(F.lit, SOURCE_PRIORITY)), (key % 3 + 1).cast("int"))).alias("active_source"),
         )
 
-    def kept(self, name: str, make: Callable[[], T]) -> T:
-        """What is made once of the tag table's own tables."""
-        return kept(self.spark, self.sf_dir, name, TAG_TABLES, make)
+    def kept(self, name: str, make: Callable[[], T], tables: tuple[str, ...] = TAG_TABLES) -> T:
+        """What is made once of some tables."""
+        return kept(self.spark, self.sf_dir, name, tables, make)
 
     @property
     def _bridge(self) -> DataFrame:

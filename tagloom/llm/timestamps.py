@@ -29,41 +29,42 @@ PATTERN = rf"\A(?:{_DATE})(?:[T\x20]{_N}:{_N}(?::{_N})?(?:\x20?([AP])M)?(?:\x20?
 _FIELDS = "$1$4$9$12$15,$2$5$8$11,$3$6$7$10,$13,$14,$16,$17,$18,$19,$20"
 
 
-def _days(year: Column, month: Column, day: Column) -> Column:
-    """Days since 1970, null if there is no such day; years 2000 to 2099, of which each fourth is a leap year."""
-    length = F.when(month == 2, F.when(year % 4 == 0, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    there = month.between(1, 12) & (day >= 1) & (day <= length)
-    safe = lambda c: F.when(there, c).otherwise(1)
-    return F.when(there, F.unix_date(F.make_date(year, safe(month), safe(day))))
+def _days(rows: DataFrame, name: str, month: str, day: str) -> DataFrame:
+    """rows with the days since 1970 of their year, month and day columns, null if there is no such day; years 2000 to 2099, of which each fourth is a leap year."""
+    year, m, d = F.col("year"), F.col(month), F.col(day)
+    length = F.when(m == 2, F.when(year % 4 == 0, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    rows = rows.withColumn("there", F.coalesce(F.col("fits") & m.between(1, 12) & (d >= 1) & (d <= length), F.lit(False)))
+    known = F.make_date(F.when(F.col("there"), year).otherwise(2000), F.when(F.col("there"), m).otherwise(1), F.when(F.col("there"), d).otherwise(1))
+    return rows.withColumn(name, F.when(F.col("there"), F.unix_date(known))).drop("there")
 
 
 def parse(stamps: DataFrame) -> DataFrame:
-    """Each stamp's columns with epoch_us, or day_first and month_first (days since 1970, equal for all but dates with slashes, null if impossible), second_of_day and offset (null: as the zone has it)."""
-    text = F.btrim(F.col("raw").cast("string"), F.lit(BLANKS))
-    f = F.split(F.when(text.rlike(PATTERN), F.regexp_replace(text, PATTERN, _FIELDS)), ",")
-    rows = stamps.withColumn("text", text).withColumn("f", f)
+    """stamp_id, source and zone with epoch_us, or day_first and month_first (days since 1970, equal for all but dates with slashes, null if impossible), second_of_day and offset (null: as the zone has it).
+
+    Each step's numbers are columns of a projection, so that later steps do not work them out again.
+    """
+    text = F.btrim("raw", F.lit(BLANKS))
+    rows = stamps.select("stamp_id", "source", "zone", text.alias("text"))
+    rows = rows.withColumn("f", F.split(F.when(F.col("text").rlike(PATTERN), F.regexp_replace("text", PATTERN, _FIELDS)), ","))
     number = lambda k: F.when(F.col("f")[k] != "", F.col("f")[k]).cast("int")
-    named = (F.instr(F.lit("".join(MONTHS)), F.col("f")[1]) + 2) / 3
-    month = F.when(F.length(F.col("f")[1]) == 3, named.cast("int")).otherwise(F.when(F.col("f")[1].rlike("^[0-9]+$"), F.col("f")[1]).cast("int"))
-    slashed, year = F.col("f")[3] != "", number(0)
-    hour, minute, second = F.coalesce(number(5), F.lit(0)), F.coalesce(number(6), F.lit(0)), F.coalesce(number(7), F.lit(0))
-    half, zone = F.col("f")[8], F.col("f")[9]
-    hour_is = F.when(half == "", hour <= 23).otherwise(hour.between(1, 12))
-    off_hour = F.when(F.length(zone) > 1, F.substring(zone, 2, 2)).cast("int")
-    off_minute = F.when(F.length(zone) > 1, F.right(zone, F.lit(2))).cast("int")
-    off_is = (F.length(zone) <= 1) | ((off_hour <= 14) & (off_minute <= 59))
-    fits = F.col("f").isNotNull() & hour_is & (minute <= 59) & (second <= 59) & off_is
-    in_day = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "P", 12).otherwise(0))
-    offset = F.when(zone == "Z", 0).when(F.length(zone) > 1, F.when(zone.startswith("-"), -1).otherwise(1) * (off_hour * 3600 + off_minute * 60))
-    digits = F.when(F.col("text").rlike(r"\A(?:[0-9]{10}|[0-9]{13})\z"), F.col("text")).cast("long")
+    second = F.col("f")[1]
+    month = F.when(F.length(second) == 3, ((F.instr(F.lit("".join(MONTHS)), second) + 2) / 3).cast("int")).otherwise(number(1))
+    named = {"year": number(0), "m": F.coalesce(number(4), month), "d": F.coalesce(number(3), number(2)), "hour": F.coalesce(number(5), F.lit(0)), "minute": F.coalesce(number(6), F.lit(0)), "second": F.coalesce(number(7), F.lit(0))}
+    rows = rows.select("stamp_id", "source", "zone", "text", *(c.alias(k) for k, c in named.items()), (F.col("f")[3] != "").alias("slashed"), F.col("f")[8].alias("half"), F.col("f")[9].alias("sign"))
+    with_sign = F.length("sign") > 1
+    rows = rows.withColumn("off_hour", F.when(with_sign, F.substring("sign", 2, 2)).cast("int")).withColumn("off_minute", F.when(with_sign, F.right("sign", F.lit(2))).cast("int"))
+    hour_is = F.when(F.col("half") == "", F.col("hour") <= 23).otherwise(F.col("hour").between(1, 12))
+    off_is = ~with_sign | ((F.col("off_hour") <= 14) & (F.col("off_minute") <= 59))
+    rows = rows.withColumn("fits", hour_is & (F.col("minute") <= 59) & (F.col("second") <= 59) & off_is)
+    rows = _days(rows.withColumn("m2", F.when(F.col("slashed"), F.col("d")).otherwise(F.col("m"))).withColumn("d2", F.when(F.col("slashed"), F.col("m")).otherwise(F.col("d"))), "day_first", "m", "d")
+    rows = _days(rows, "month_first", "m2", "d2")
+    in_day = F.when(F.col("half") == "", F.col("hour")).otherwise(F.col("hour") % 12 + F.when(F.col("half") == "P", 12).otherwise(0))
+    offset = F.when(F.col("sign") == "Z", 0).when(with_sign, F.when(F.col("sign").startswith("-"), -1).otherwise(1) * (F.col("off_hour") * 3600 + F.col("off_minute") * 60))
+    digits = F.when(F.col("year").isNull() & F.col("text").rlike(r"\A(?:[0-9]{10}|[0-9]{13})\z"), F.col("text")).cast("long")
     return rows.select(
-        "*",
-        F.when(F.length("text") == 10, digits * 1_000_000).otherwise(digits * 1000).alias("epoch_us"),
-        F.when(fits, F.when(slashed, _days(year, number(4), number(3))).otherwise(_days(year, month, number(2)))).alias("day_first"),
-        F.when(fits, F.when(slashed, _days(year, number(3), number(4))).otherwise(_days(year, month, number(2)))).alias("month_first"),
-        (in_day * 3600 + minute * 60 + second).alias("second_of_day"),
-        offset.alias("offset"),
-    ).drop("text", "f")
+        "stamp_id", "source", "zone", F.when(F.length("text") == 10, digits * 1_000_000).otherwise(digits * 1000).alias("epoch_us"),
+        "day_first", "month_first", (in_day * 3600 + F.col("minute") * 60 + F.col("second")).alias("second_of_day"), offset.alias("offset"),
+    )
 
 
 def zone_offsets(spark: SparkSession, zones: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def normalise(stamps: DataFrame, majority: float = MAJORITY) -> DataFrame:
     named = stamps.select(F.col("stamp_id").cast("long").alias("stamp_id"), F.col("source").cast("string").alias("source"), F.col("zone").cast("string").alias("zone"), F.col("raw").cast("string").alias("raw"))
     offsets = scratch.save(zone_offsets(spark, named), "zones")
     # one row per name of the time zone database
-    placed = parse(named).drop("raw").join(F.broadcast(offsets), "zone", "left")
+    placed = parse(named).join(F.broadcast(offsets), "zone", "left")
     placed = placed.withColumn("bad", F.col("epoch_us").isNull() & (F.coalesce("day_first", "month_first").isNull() | (F.col("offset").isNull() & F.col("offsets").isNull())))
     parsed = scratch.save(placed.drop("offsets"), "parsed")
     dated = parsed.where("not bad and epoch_us is null")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import columns, pixels
 from tagloom.functions.lineage import Scratch
-from tagloom.operators import deltas, detail, dml, health, implications, merge, rating, rebuild, relations, review, rules, search, similarity, stats
+from tagloom.operators import deltas, detail, dml, health, implications, maintenance, merge, rating, rebuild, relations, review, rules, search, similarity, stats
 from tagloom.operators import ingest as arrivals
 from tagloom.plans import jobs
 from tagloom.plans.registry import _REVIEW, _SOFT, _edges, _events, _model, _naming, _near_pairs, _rated, _scored_pairs, _tag, _weights, _PAIR_ROWS, _PAIRS, add
@@ -250,6 +250,28 @@ add("rating_clear_inferred", lambda c: rating.without_inferred(c.facts), "SELECT
 add("rating_config", lambda c: rating.config_from(rating.Config().updated("min_confidence", 0.5).table(c.items)).updated("stale_after", 9).table(c.items).where("key in ('min_confidence', 'stale_after', 'threshold_explicit')"), "SELECT unnest(['min_confidence', 'stale_after', 'threshold_explicit']) AS key, unnest([CAST(0.5 AS DOUBLE), 9, 0.8]) AS value")
 add("rating_retrain_counts", lambda c: rating.retrain_and_reapply(c.items, c.facts)[0].where("source = 'ai_inference'").agg(F.count_if(F.startswith("tag", F.lit("rating:"))).alias("a"), F.count_if(F.startswith("tag", F.lit("rating-source:"))).alias("b")).select((F.col("a") == F.col("b")).alias("paired")), "SELECT TRUE AS paired")
 
+# --- derived tables kept up -------------------------------------------------
+
+
+def _after_edits(c: Catalog) -> maintenance.Derived:
+    """Items of every 9th number lose their makers and get a new tag; every 31st item goes; the derived tables follow."""
+    key = ["item_id", "tag", "category"]
+    lost = c.item_tags.where("item_id % 9 = 0 and category = 'artist'").select(*key, F.lit("remove").alias("op"))
+    new = c.items.where("item_id % 9 = 0").select("item_id", F.lit("Edited_now").alias("tag"), F.lit("meta").alias("category"), F.lit("add").alias("op"))
+    after = maintenance.edited(c.item_tags, lost.unionByName(new))
+    touched = maintenance.items_of_tags(c.item_tags, after, new.select("tag")).union(lost.select("item_id")).union(c.items.where("item_id % 31 = 0").select("item_id"))
+    return maintenance.maintained(maintenance.built(c.items, c.item_tags), c.items.where("item_id % 31 <> 0"), c.item_tags, after, touched)
+
+
+_EDITED = "nt AS (SELECT item_id, tag, category FROM item_tags WHERE item_id % 31 <> 0 AND NOT (item_id % 9 = 0 AND category = 'artist') UNION ALL SELECT item_id, 'Edited_now', 'meta' FROM items WHERE item_id % 9 = 0 AND item_id % 31 <> 0)"
+add("maintained_counts", lambda c: _after_edits(c).counts, f"WITH {_EDITED} SELECT tag, category, count(*) AS n FROM nt GROUP BY 1, 2")
+add("maintained_texts", lambda c: _after_edits(c).texts, f"WITH {_EDITED}, tx AS (SELECT item_id, string_agg(DISTINCT tag, ' ' ORDER BY tag) AS tags FROM nt GROUP BY 1) SELECT i.item_id, coalesce(tx.tags, '') AS tags FROM items i LEFT JOIN tx ON tx.item_id = i.item_id WHERE i.item_id % 31 <> 0")
+add(
+    "maintained_index", lambda c: _after_edits(c).index.where("field = 'tag'").groupBy("word").agg(F.countDistinct("item_id").alias("n"), F.sum("item_id").alias("ids")),
+    f"""WITH {_EDITED}, wd AS (SELECT DISTINCT item_id, unnest(list_concat([lower(tag)], regexp_extract_all(lower(tag), '[\\p{{L}}\\p{{N}}]+'))) AS word FROM nt)
+    SELECT word, count(DISTINCT item_id) AS n, CAST(sum(item_id) AS BIGINT) AS ids FROM wd GROUP BY 1""",
+)
+
 # --- graph ------------------------------------------------------------------
 
 

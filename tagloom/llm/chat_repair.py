@@ -34,6 +34,8 @@ LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT:
 #: Costs, in hundredths, so that sums are exact.
 KEEP, MERGE, RELABEL, INSERT = 0, 60, 100, 90
 _INF = 1 << 40
+#: Turns of a part of the sorted table, about; parts grow in number with the turns, not in size.
+PART_TURNS = 1 << 16
 
 
 def _insertions() -> np.ndarray:
@@ -191,15 +193,19 @@ def repair_chats(turns: DataFrame) -> DataFrame:
 
     Turns go by ``turn``, null last; ties by role, then text.  A null or unknown
     role costs a relabel; a null text is empty; null conv_ids are one
-    conversation.  More columns are ignored; an empty table gives an empty result.
+    conversation.  Equal rows are turns like others, in any order, and may lie in
+    different parts.  More columns are ignored; an empty table gives an empty
+    result.
     """
     spark = turns.sparkSession
     scratch = Scratch(spark, "chats")
     own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     order = [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.xxhash64("text")]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    sorted_ = own.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    rows = scratch.save(sorted_.mapInArrow(_number, "conv_id long, turn long, role string, text string, code int, part int, seq long"), "rows")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-turns.count() // PART_TURNS))
+    # a row's place in the input comes last, so that rows that are alike do not share one range
+    placed_in = [*order, F.col("place")]
+    sorted_ = own.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n, *placed_in).sortWithinPartitions(*placed_in)
+    rows = scratch.save(sorted_.drop("place").mapInArrow(_number, "conv_id long, turn long, role string, text string, code int, part int, seq long"), "rows")
     # a conversation's turns within one part: bounded by the part
     pieces = scratch.save(rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "code"))).alias("codes")), "pieces")
     spans = pieces.groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("conv_id").alias("c"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.llm import near_copies, pii, simhash_trie, substring_dedup
+from tagloom.llm import chat_repair, near_copies, pii, simhash_trie, substring_dedup
 from tests.llm.test_contracts import PROSE
 
 LONG = PROSE + " " + " ".join(f"w{k}" for k in range(40))
@@ -40,3 +40,25 @@ def test_bytes_that_are_no_text(spark):
     assert pii.redact(docs).first().text == "mail [EMAIL] � and [IP]"
     kept = substring_dedup.dedup_substrings(docs).where("doc_id = 1").first()
     assert (kept.n_words, kept.n_removed, kept.kept) == (5, 0, "mail a@b.org � and 10.0.0.1")
+
+
+def total_cost(rows):
+    each = {"keep": chat_repair.KEEP, "relabel": chat_repair.RELABEL, "merge": chat_repair.MERGE}
+    return sum(each[r.action] + chat_repair.INSERT * (len(r.inserted) + len(r.closing)) for r in rows)
+
+
+def test_equal_turns_are_dealt_to_many_parts(spark, monkeypatch):
+    turns = [(1, 1, "user", "same")] * 900 + [(1, 2, "assistant", "same")] * 700 + [(2, k, ("user", "assistant")[k % 2], "t") for k in range(300)] + [(None, None, None, None)] * 50
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    whole = chat_repair.repair_chats(frame).collect()
+    monkeypatch.setattr(chat_repair, "PART_TURNS", 60)
+    parts = []
+    number = chat_repair.boundaries
+    monkeypatch.setattr(chat_repair, "boundaries", lambda p: parts.append(len(p)) or number(p))
+    split = chat_repair.repair_chats(frame).collect()
+    assert max(parts) > 15 and len(split) == len(whole) == len(turns)
+    assert total_cost(split) == total_cost(whole)
+    one = [(r["code"]) for r in ({"code": chat_repair.code(t[2])} for t in turns if t[0] == 1)]
+    best = chat_repair.repair(one)
+    cost = sum({"keep": 0, "relabel": chat_repair.RELABEL, "merge": chat_repair.MERGE}[a] + chat_repair.INSERT * len(i) for a, _, i in best) + chat_repair.INSERT * len(chat_repair.closing(best[-1][1]))
+    assert total_cost([r for r in split if r.conv_id == 1]) == cost

@@ -188,6 +188,17 @@ def filter_suggestions(token: str, sources: Sequence[str] = ()) -> list[str]:
     return [f for f, words in filter_keywords(sources).items() if len(token) >= 2 and (f.startswith(token) or any(w.startswith(token) for w in words))]
 
 
+def filters_for(tokens: DataFrame, sources: Sequence[str] = ()) -> DataFrame:
+    """(token, filter) of all tokens (token) of two characters or more: the filters that each may begin (OP-058).
+
+    The filters and their words are a table of the language's size, whatever the tokens.
+    """
+    rows = [(f, w) for f, words in filter_keywords(sources).items() for w in (f, *words)]
+    known = tokens.sparkSession.createDataFrame(rows, "filter string, word string")
+    asked = tokens.where(F.length("token") >= 2).select("token").distinct()
+    return asked.join(F.broadcast(known), F.startswith("word", F.col("token"))).select("token", "filter").distinct()
+
+
 def pool_search(c: Catalog, text: str) -> DataFrame:
     """(pool_id, name, n) of pools whose name or description holds the text (OP-059)."""
     hit = c.pools.where(F.contains(F.lower("name"), F.lit(text.lower())) | F.contains(F.lower("description"), F.lit(text.lower())))

@@ -14,7 +14,8 @@ from tagloom.functions.lineage import Scratch
 from tagloom.operators import deltas, detail, dml, health, implications, maintenance, merge, rating, rebuild, relations, review, rules, search, similarity, stats
 from tagloom.operators import ingest as arrivals
 from tagloom.plans import jobs
-from tagloom.plans.registry import _REVIEW, _SOFT, _edges, _events, _model, _naming, _near_pairs, _rated, _scored_pairs, _tag, _weights, _PAIR_ROWS, _PAIRS, add
+from tagloom.plans.oracle import TABLES
+from tagloom.plans.registry import _REVIEW, _SOFT, _edges, _events, _model, _naming, _near_pairs, _rated, _scored_pairs, _tag, _weights, _PAIR_ROWS, _PAIRS, ORACLE, add
 from tagloom.sources import files
 from tagloom.sources.proxies import Catalog
 from tagloom.streaming import commits, ingest
@@ -145,7 +146,13 @@ add(
     "index_updated", lambda c: search.index_updated(search.text_index(c.items, c.item_tags), c.items.where("item_id % 10 <> 0"), c.item_tags.where("item_id % 10 <> 0 and (item_id % 6 <> 0 or category = 'meta')"), c.items.where("item_id % 10 = 0 or item_id % 6 = 0").select("item_id")),
     f"WITH {_INDEX}, kept AS (SELECT * FROM ix WHERE item_id % 10 <> 0) SELECT word, item_id, field FROM kept WHERE item_id % 6 <> 0 OR field = 'path' UNION SELECT unnest(list_append(regexp_extract_all(lower(tag), '[a-z0-9]+'), lower(tag))), item_id, 'tag' FROM item_tags WHERE item_id % 10 <> 0 AND item_id % 6 = 0 AND category = 'meta'",
 )
-add("filter_suggestions", lambda c: c.spark.createDataFrame([(f,) for f in search.filter_suggestions("ra", PRIORITY)], "filter string"), "SELECT unnest(['rating:general', 'rating:sensitive', 'rating:questionable', 'rating:explicit']) AS filter")
+add(
+    "filter_suggestions", lambda c: search.filters_for(c.raw("nation").select(F.lower(F.substring("n_name", 1, 2)).alias("token")).union(c.item_sources.select(F.concat(F.lit("source:"), F.lower("source")))), PRIORITY).where("filter rlike '^(rating|source):'"),
+    """WITH tk AS (SELECT DISTINCT lower(substr(n_name, 1, 2)) AS token FROM nation UNION SELECT DISTINCT 'source:' || lower(source) FROM item_sources),
+    kw AS (SELECT 'rating:' || unnest(['general', 'sensitive', 'questionable', 'explicit']) AS filter UNION ALL SELECT 'source:' || unnest(['alpha', 'beta', 'gamma'])),
+    wd AS (SELECT filter, filter AS word FROM kw UNION ALL SELECT filter, split_part(filter, ':', 2) FROM kw UNION ALL SELECT filter, split_part(filter, ':', 1) FROM kw WHERE filter LIKE 'rating:%' UNION ALL SELECT 'rating:general', 'safe')
+    SELECT DISTINCT token, filter FROM tk JOIN wd ON starts_with(word, token)""",
+)
 add("random_page", lambda c: files.random_page(c.items, 20, 5).select("item_id", "filepath"), "SELECT item_id, filepath FROM items ORDER BY md5(CAST(item_id AS VARCHAR) || '|5'), item_id LIMIT 20")
 
 # --- rules ------------------------------------------------------------------
@@ -247,8 +254,31 @@ def _rating_log(c: Catalog) -> DataFrame:
 _STATS = "SELECT TRUE AS trained, p AS pending, p >= 50 AS stale, u AS unrated, count(*) AS ratings, count(*) FILTER (WHERE source = 'user') AS by_user, count(*) FILTER (WHERE source = 'original') AS by_source, count(*) FILTER (WHERE source = 'ai_inference') AS by_model FROM facts, (SELECT count(*) AS p FROM deltas WHERE tag = 'click' AND ts > TIMESTAMP '2024-01-05 00:00:00'), (SELECT count(*) AS u FROM items WHERE item_id NOT IN (SELECT item_id FROM rated)) WHERE tag LIKE 'rating:%' GROUP BY p, u"
 add("rating_model_stats", lambda c: rating.model_stats(c.items, c.facts, _rating_log(c), "2024-01-05 00:00:00"), _STATS)
 add("rating_clear_inferred", lambda c: rating.without_inferred(c.facts), "SELECT item_id, tag, category, source FROM facts WHERE source <> 'ai_inference'")
-add("rating_config", lambda c: rating.config_from(rating.Config().updated("min_confidence", 0.5).table(c.items)).updated("stale_after", 9).table(c.items).where("key in ('min_confidence', 'stale_after', 'threshold_explicit')"), "SELECT unnest(['min_confidence', 'stale_after', 'threshold_explicit']) AS key, unnest([CAST(0.5 AS DOUBLE), 9, 0.8]) AS value")
-add("rating_retrain_counts", lambda c: rating.retrain_and_reapply(c.items, c.facts)[0].where("source = 'ai_inference'").agg(F.count_if(F.startswith("tag", F.lit("rating:"))).alias("a"), F.count_if(F.startswith("tag", F.lit("rating-source:"))).alias("b")).select((F.col("a") == F.col("b")).alias("paired")), "SELECT TRUE AS paired")
+def _settings(c: Catalog) -> DataFrame:
+    """Settings as a table: numbers of rows of other tables, and a name that is none."""
+    count = lambda name, key: c.raw(name).agg(F.lit(key).alias("key"), F.count("*").cast("double").alias("value"))
+    return count("customer", "min_training_samples").unionByName(count("nation", "stale_after")).unionByName(count("region", "no_such_setting"))
+
+
+add(
+    "rating_config", lambda c: rating.config_from(_settings(c)).updated("min_confidence", 0.25).table(c.items).where("key in ('min_confidence', 'min_training_samples', 'stale_after', 'threshold_explicit', 'no_such_setting')"),
+    "SELECT 'min_training_samples' AS key, CAST(count(*) AS DOUBLE) AS value FROM customer UNION ALL SELECT 'stale_after', count(*) FROM nation UNION ALL SELECT 'min_confidence', 0.25 UNION ALL SELECT 'threshold_explicit', 0.8",
+)
+def _half_inferred(c: Catalog) -> DataFrame:
+    """The tag table with every tenth item's rating given by the model, all else by its source."""
+    by_model = (F.col("item_id") % 10 == 0) & F.startswith("tag", F.lit("rating:"))
+    return c.item_tags.withColumn("source", F.when(by_model, "ai_inference").otherwise("original"))
+
+
+add(
+    "rating_retrained", lambda c: rating.retrain_and_reapply(c.items, _half_inferred(c))[0].where("source = 'ai_inference' and tag like 'rating:%'").select("item_id", "tag"),
+    f"""{_SOFT}, best AS (SELECT item_id, rating, round(p, 9) AS p, row_number() OVER (PARTITION BY item_id ORDER BY round(p, 9) DESC, rating) AS r FROM z WHERE item_id NOT IN (SELECT item_id FROM rated)),
+    told AS (SELECT item_id, CASE WHEN p >= CASE rating WHEN 0 THEN 0.5 WHEN 1 THEN 0.6 WHEN 2 THEN 0.7 ELSE 0.8 END THEN 'rating:' || ['general', 'sensitive', 'questionable', 'explicit'][rating + 1] END AS tag FROM best WHERE r = 1)
+    SELECT item_id, tag FROM told WHERE tag IS NOT NULL""",
+)
+# the model of that query has not seen the ratings that a model gave
+_GIVEN = f"item_tags AS ({TABLES['item_tags']})"
+ORACLE["rating_retrained"] = ORACLE["rating_retrained"].replace(_GIVEN, f"all_tags AS ({TABLES['item_tags']}), item_tags AS (SELECT * FROM all_tags WHERE NOT (item_id % 10 = 0 AND tag LIKE 'rating:%'))")
 
 # --- derived tables kept up -------------------------------------------------
 
@@ -530,7 +560,15 @@ _GREY = "g AS (SELECT vec_id, list_transform(embedding, lambda x: least(greatest
 add("pixel_mean_difference", lambda c: _compared(c).select("vec_id", F.round("mean_abs_diff", 6).alias("mean_abs_diff"), F.round("mask_mismatch", 6).alias("mask_mismatch")), f"WITH {_GREY} SELECT a.vec_id, round(list_avg(list_transform(range(1, 65), lambda i: abs(a.v[i] - b.v[i]))), 6) AS mean_abs_diff, CAST(0.0 AS DOUBLE) AS mask_mismatch FROM g a JOIN g b ON b.vec_id = a.vec_id + 1")
 add("pixel_metrics", lambda c: _compared(c).select("vec_id", "changed_ratio", "largest_blob_ratio", "blob_count", "peak_blob_contrast", "visual_signal"), None)
 add("pixel_hashes", lambda c: _pictures(c).select("vec_id", pixels.phash_of("grey").alias("phash")), None)
-add("embeddings_made", lambda c: similarity.embedded(c.raw("pages").select(F.col("page_id").alias("item_id"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content")), byte_shares).select("item_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 4).alias("length")), "SELECT page_id AS item_id, CAST(CASE WHEN length(coalesce(html, '')) = 0 THEN 0 ELSE 1 END AS DOUBLE) AS length FROM pages")
+add(
+    "embeddings_made",
+    lambda c: similarity.embedded(c.raw("pages").select(F.col("page_id").alias("item_id"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content")), byte_shares)
+    # the order of the sixteen shares, equal ones by place, tells the counts behind them apart
+    .select("item_id", F.array_join(F.transform(F.array_sort(F.transform("embedding", lambda x, k: F.struct((-x).alias("x"), k.alias("k")))), lambda s: s["k"].cast("string")), ",").alias("ranking")),
+    """WITH hx AS (SELECT page_id, hex(encode(coalesce(html, ''))) AS h FROM pages),
+    ct AS (SELECT page_id, list_transform(range(0, 16), lambda k: len(list_filter(range(1, len(h), 2), lambda i: h[i] = '0123456789ABCDEF'[k + 1]))) AS n FROM hx)
+    SELECT page_id AS item_id, array_to_string(list_transform(list_sort(list_transform(range(0, 16), lambda k: {'x': -n[k + 1], 'k': k})), lambda s: CAST(s.k AS VARCHAR)), ',') AS ranking FROM ct""",
+)
 
 
 # --- round trips through files ----------------------------------------------
@@ -559,7 +597,8 @@ def _indexed(c: Catalog) -> DataFrame:
     path = _path(c, "json")
     text = F.concat(F.lit('{"md5": "'), F.md5("r_name"), F.lit('", "name": "'), F.col("r_name"), F.lit('"}'))
     c.raw("region").select(text.alias("value"), "r_name").write.partitionBy("r_name").text(path)  # a file for each
-    return files.metadata_index(c.spark, path).select(F.length("md5").alias("length")).distinct()
+    found = files.metadata_index(c.spark, path).select("md5")
+    return found.join(c.raw("region").select(F.md5("r_name").alias("md5"), F.col("r_name").alias("name")), "md5")
 
 
 def _compacted(c: Catalog) -> DataFrame:
@@ -579,7 +618,7 @@ _TABLES = "region nation customer supplier part orders lineitem events documents
 add("files_scanned", lambda c: files.scan_files(c.spark, c.sf_dir, [".parquet"]).select(F.regexp_extract("path", r"([a-z]+)\.parquet", 1).alias("name")).distinct(), f"SELECT unnest({_TABLES}) AS name")
 add("model_round_trip", _model_again, f"WITH {_TAG_WEIGHTS} SELECT tag, CAST(rating AS BIGINT) AS rating, round(weight, 6) AS weight, n FROM w WHERE abs(weight) > 0.01")
 add("json_lines", _appended, "SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM nation")
-add("json_index", _indexed, "SELECT 32 AS length")
+add("json_index", _indexed, "SELECT md5(r_name) AS md5, r_name AS name FROM region")
 add("compacted_table", _compacted, "SELECT pool_id, item_id, sort_order FROM pool_items")
 add("stream_batches", _batched, "SELECT event_id, event_type FROM events")
 

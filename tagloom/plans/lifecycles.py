@@ -147,8 +147,8 @@ add(
     f"WITH {_INDEX}, kept AS (SELECT * FROM ix WHERE item_id % 10 <> 0) SELECT word, item_id, field FROM kept WHERE item_id % 6 <> 0 OR field = 'path' UNION SELECT unnest(list_append(regexp_extract_all(lower(tag), '[a-z0-9]+'), lower(tag))), item_id, 'tag' FROM item_tags WHERE item_id % 10 <> 0 AND item_id % 6 = 0 AND category = 'meta'",
 )
 add(
-    "filter_suggestions", lambda c: search.filters_for(c.raw("nation").select(F.lower(F.substring("n_name", 1, 2)).alias("token")).union(c.item_sources.select(F.concat(F.lit("source:"), F.lower("source")))), PRIORITY).where("filter rlike '^(rating|source):'"),
-    """WITH tk AS (SELECT DISTINCT lower(substr(n_name, 1, 2)) AS token FROM nation UNION SELECT DISTINCT 'source:' || lower(source) FROM item_sources),
+    "filter_suggestions", lambda c: search.filters_for(c.raw("nation").select(F.lower(F.substring("n_name", 1, 2)).alias("token")).union(c.item_sources.select(F.concat(F.lit("source:"), F.lower("source")))).union(c.item_tags.where("tag like 'rating:%'").select(F.expr("substr(tag, 1, 9)"))).union(c.item_tags.where("tag like 'rating:%'").select(F.expr("substr(tag, 8, 3)"))), PRIORITY).where("filter rlike '^(rating|source):'"),
+    """WITH tk AS (SELECT DISTINCT lower(substr(n_name, 1, 2)) AS token FROM nation UNION SELECT DISTINCT 'source:' || lower(source) FROM item_sources UNION SELECT substr(tag, 1, 9) FROM item_tags WHERE tag LIKE 'rating:%' UNION SELECT substr(tag, 8, 3) FROM item_tags WHERE tag LIKE 'rating:%'),
     kw AS (SELECT 'rating:' || unnest(['general', 'sensitive', 'questionable', 'explicit']) AS filter UNION ALL SELECT 'source:' || unnest(['alpha', 'beta', 'gamma'])),
     wd AS (SELECT filter, filter AS word FROM kw UNION ALL SELECT filter, split_part(filter, ':', 2) FROM kw UNION ALL SELECT filter, split_part(filter, ':', 1) FROM kw WHERE filter LIKE 'rating:%' UNION ALL SELECT 'rating:general', 'safe')
     SELECT DISTINCT token, filter FROM tk JOIN wd ON starts_with(word, token)""",
@@ -481,23 +481,20 @@ add(
     f"WITH x AS (SELECT event_id, user_id, CASE WHEN event_id % 17 = 0 THEN 'error' WHEN {_KNOWN} THEN 'duplicate' END AS o FROM events), y AS (SELECT event_id, coalesce(o, CASE WHEN row_number() OVER (PARTITION BY user_id, o ORDER BY 'in/' || CAST(event_id AS VARCHAR)) = 1 THEN 'success' ELSE 'race_condition' END) AS o FROM x) SELECT o AS outcome, count(*) AS n FROM y GROUP BY 1",
 )
 add("arrival_new_content", lambda c: ingest.new_content(_arrived(c).where("md5 is not null"), c.raw("events").where(_KNOWN).select(F.md5(F.col("user_id").cast("string")).alias("md5"))).select("md5"), f"SELECT DISTINCT md5(CAST(user_id AS VARCHAR)) AS md5 FROM events WHERE event_id % 17 <> 0 AND NOT ({_KNOWN})")
-_RUN_KEYS = "CAST(user_id % 40 AS VARCHAR)"
-
-
-def _by_user(c: Catalog) -> DataFrame:
-    """Events of forty groups of users, so that some come within two seconds of each other."""
-    return _events(c).select(F.expr("cast(user_id % 40 as string)").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+def _by(c: Catalog, path: str) -> DataFrame:
+    """Events under few paths, so that some come within two seconds of each other."""
+    return _events(c).select(F.expr(path).alias("path"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 add(
-    "stream_debounced", lambda c: ingest.drain(ingest.settled(_by_user(c), "path")).select("path", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "n"),
-    f"""WITH e AS (SELECT {_RUN_KEYS} AS path, epoch_us(ts) AS t, epoch_us(max(ts) OVER ()) AS top FROM events), l AS (SELECT *, lag(t) OVER (PARTITION BY path ORDER BY t) AS prev FROM e),
+    "stream_debounced", lambda c: ingest.drain(ingest.settled(_by(c, "cast(user_id % 2 as string)"), "path")).select("path", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "n"),
+    f"""WITH e AS (SELECT CAST(user_id % 2 AS VARCHAR) AS path, epoch_us(ts) AS t, epoch_us(max(ts) OVER ()) AS top FROM events), l AS (SELECT *, lag(t) OVER (PARTITION BY path ORDER BY t) AS prev FROM e),
     r AS (SELECT *, sum(CASE WHEN prev IS NULL OR t - prev > 2000000 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY t RANGE UNBOUNDED PRECEDING) AS run FROM l)
     SELECT path, min(t) AS first_us, max(t) AS last_us, count(*) AS n FROM r GROUP BY path, run HAVING max(t) + 2000000 <= max(top) - 60000000""",
 )
 add(
-    "stream_throttled", lambda c: ingest.drain(ingest.throttled(_by_user(c), "path")).select("path", F.unix_micros("ts").alias("t")),
-    f"""WITH e AS (SELECT DISTINCT {_RUN_KEYS} AS path, epoch_us(ts) AS t FROM events),
+    "stream_throttled", lambda c: ingest.drain(ingest.throttled(_by(c, "event_type"), "path")).select("path", F.unix_micros("ts").alias("t")),
+    f"""WITH e AS (SELECT DISTINCT event_type AS path, epoch_us(ts) AS t FROM events),
     p AS (SELECT path, min(t) AS t FROM e GROUP BY path UNION ALL SELECT path, t FROM (SELECT p.path, min(e.t) AS t FROM p JOIN e ON e.path = p.path AND e.t >= p.t + 2000000 GROUP BY p.path, p.t) q) SELECT path, t FROM p""", recursive=True,
 )
 
@@ -566,7 +563,7 @@ add(
     # the order of the sixteen shares, equal ones by place, tells the counts behind them apart
     .select("item_id", F.array_join(F.transform(F.array_sort(F.transform("embedding", lambda x, k: F.struct((-x).alias("x"), k.alias("k")))), lambda s: s["k"].cast("string")), ",").alias("ranking")),
     """WITH hx AS (SELECT page_id, hex(encode(coalesce(html, ''))) AS h FROM pages),
-    ct AS (SELECT page_id, list_transform(range(0, 16), lambda k: len(list_filter(range(1, len(h), 2), lambda i: h[i] = '0123456789ABCDEF'[k + 1]))) AS n FROM hx)
+    up AS (SELECT page_id, regexp_replace(h, '(.).', '\\1', 'g') AS u FROM hx), ct AS (SELECT page_id, list_transform(range(0, 16), lambda k: len(u) - len(replace(u, '0123456789ABCDEF'[k + 1], ''))) AS n FROM up)
     SELECT page_id AS item_id, array_to_string(list_transform(list_sort(list_transform(range(0, 16), lambda k: {'x': -n[k + 1], 'k': k})), lambda s: CAST(s.k AS VARCHAR)), ',') AS ranking FROM ct""",
 )
 

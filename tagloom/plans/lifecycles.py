@@ -611,8 +611,8 @@ def _batched(c: Catalog) -> DataFrame:
     return c.spark.read.parquet(f"{path}/rows").select("event_id", "event_type")
 
 
-_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-add("files_scanned", lambda c: files.scan_files(c.spark, c.sf_dir, [".parquet"]).select(F.regexp_extract("path", r"([a-z]+)\.parquet", 1).alias("name")).distinct(), f"SELECT unnest({_TABLES}) AS name")
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
+add("files_scanned", lambda c: files.scan_files(c.spark, c.sf_dir, [".parquet"]).select(F.regexp_extract("path", r"([a-z_]+)\.parquet", 1).alias("name")).distinct(), f"SELECT unnest({_TABLES}) AS name")
 add("model_round_trip", _model_again, f"WITH {_TAG_WEIGHTS} SELECT tag, CAST(rating AS BIGINT) AS rating, round(weight, 6) AS weight, n FROM w WHERE abs(weight) > 0.01")
 add("json_lines", _appended, "SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM nation")
 add("json_index", _indexed, "SELECT md5(r_name) AS md5, r_name AS name FROM region")

@@ -1,9 +1,9 @@
 """Search over tagged items: one declarative plan per query.
 
 Every filter is applied, results hold each item once, and every order ends with
-item_id.  Conditions on tags are semi-joins on postings sorted by word, where
-the words are pushed into the scan, so no tag list is built for items that do
-not match.  A part of a word is found by the postings of its runs of three
+item_id.  Conditions on whole tags are one intersection of bits, words of 64
+items sorted by tag, where the tags are pushed into the scan, so no tag list is
+built for items that do not match.  A part of a word is found by the postings of its runs of three
 characters and then compared.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.constants import AUTOCOMPLETE_ORDER, BASE_CATEGORIES, RATINGS, VIDEO_EXTENSIONS
+from tagloom.operators.coded import with_words
 from tagloom.operators.dsl import FLAGS, SearchSpec, parse
 from tagloom.sources.proxies import Catalog
 
@@ -31,14 +32,6 @@ def with_all(items: DataFrame, bridge: DataFrame, column: str, values: tuple[str
     return items.join(hit, "item_id", "left_semi")
 
 
-def with_words(items: DataFrame, c: Catalog, words: Sequence[str]) -> DataFrame:
-    """Items that have every word as a tag, by the postings of these words (OP-047)."""
-    if not words:
-        return items
-    hit = c.postings.where(F.col("word").isin(*words)).groupBy("item_id").agg(F.countDistinct("word").alias("n")).where(F.col("n") == len(set(words)))
-    return items.join(hit, "item_id", "left_semi")
-
-
 def holding(c: Catalog, word: str) -> DataFrame:
     """(item_id, sure) of items of which a tag, or perhaps the path, holds the word: postings of all its runs of three characters, of which those of tags are compared with the word (OP-050, OP-120)."""
     runs = sorted({word[k : k + 3] for k in range(len(word) - 2)})
@@ -96,17 +89,16 @@ def compile_search(spec: SearchSpec, c: Catalog) -> DataFrame:
         named = c.pools.where(F.contains(F.lower("name"), F.lit(spec.pool))).select("pool_id")
         items = items.join(c.pool_items.join(named, "pool_id", "left_semi"), "item_id", "left_semi")
     items = with_all(items, c.item_sources, "source", tuple(s.lower() for s in spec.sources))
-    items = with_words(items, c, spec.ratings)
     for category, tag in spec.in_category:
         items = items.join(c.item_tags.where((F.col("category") == category) & (F.lower("tag") == tag)), "item_id", "left_semi")
     known: set[str] = set()
     if spec.terms:  # one small lookup decides which words are tags
-        known = {r.word for r in c.postings.where(F.col("word").isin(*spec.terms)).select("word").distinct().collect()}
-    items = with_words(items, c, [t for t in spec.terms if t in known])
+        known = {r.word for r in c.tag_bits.where(F.col("word").isin(*spec.terms)).select("word").distinct().collect()}
+    items = with_words(items, c.tag_bits, [*spec.ratings, *(t for t in spec.terms if t in known)], spec.negative)
     for word in [t for t in spec.terms if t not in known] + list(spec.free):
         items = with_part(items, c, word)
     for word in spec.negative:
-        items = items.join(c.postings.where(F.col("word") == word), "item_id", "left_anti").where(~F.contains(F.lower("filepath"), F.lit(word)))
+        items = items.where(~F.contains(F.lower("filepath"), F.lit(word)))
     return items
 
 

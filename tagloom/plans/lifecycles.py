@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import columns, pixels
 from tagloom.functions.lineage import Scratch
-from tagloom.operators import deltas, detail, dml, health, implications, maintenance, merge, rating, rebuild, relations, review, rules, search, similarity, stats
+from tagloom.operators import coded, deltas, detail, dml, health, implications, maintenance, merge, rating, rebuild, relations, review, rules, search, similarity, stats
 from tagloom.operators import ingest as arrivals
 from tagloom.plans import jobs
 from tagloom.plans.oracle import TABLES
@@ -302,6 +302,21 @@ add(
     SELECT word, count(DISTINCT item_id) AS n, CAST(sum(item_id) AS BIGINT) AS ids FROM wd GROUP BY 1""",
 )
 
+add("maintained_bits", lambda c: coded.items_of(_after_edits(c).bits.where("word like '%o%'")).groupBy("item_id").agg(F.count("*").alias("n")), f"WITH {_EDITED} SELECT item_id, count(DISTINCT lower(tag)) AS n FROM nt WHERE lower(tag) LIKE '%o%' GROUP BY 1")
+
+# --- tags as integers and bits ----------------------------------------------
+
+_CODES = "cd AS (SELECT word, row_number() OVER (ORDER BY word) AS tag_id FROM (SELECT DISTINCT lower(tag) AS word FROM item_tags) w)"
+_BITS = "bt AS (SELECT word, run, CAST(CASE WHEN b > 9223372036854775807 THEN b - 18446744073709551616 ELSE b END AS BIGINT) AS bits FROM (SELECT lower(tag) AS word, item_id // 64 AS run, bit_or(CAST(1 AS HUGEINT) << CAST(item_id % 64 AS INTEGER)) AS b FROM item_tags GROUP BY 1, 2) x)"
+add("tags_numbered", lambda c: c.tag_dictionary, f"WITH {_CODES} SELECT word, tag_id FROM cd")
+add("tags_numbered_later", lambda c: coded.tag_dictionary(c.item_tags, coded.tag_dictionary(c.item_tags.where("category = 'artist'"))), "WITH wd AS (SELECT lower(tag) AS word, bool_or(category = 'artist') AS old FROM item_tags GROUP BY 1) SELECT word, row_number() OVER (ORDER BY NOT old, word) AS tag_id FROM wd")
+add("items_coded", lambda c: coded.coded_items(c.item_tags, c.tag_dictionary).select("item_id", F.array_join(F.transform("tag_ids", lambda k: k.cast("string")), " ").alias("tag_ids")), f"WITH {_CODES} SELECT item_id, string_agg(CAST(tag_id AS VARCHAR), ' ' ORDER BY tag_id) AS tag_ids FROM (SELECT DISTINCT item_id, tag_id FROM item_tags JOIN cd ON word = lower(tag)) x GROUP BY 1")
+add("items_decoded", lambda c: coded.decoded_items(coded.coded_items(c.item_tags, c.tag_dictionary), c.tag_dictionary), "SELECT DISTINCT item_id, lower(tag) AS word FROM item_tags")
+add("tag_bits", lambda c: c.tag_bits, f"WITH {_BITS} SELECT word, run, bits FROM bt")
+add("bits_conjunction", lambda c: coded.items_of(coded.combined(c.tag_bits, ["red", "bolt"], ["gear", "rating:general"])), "SELECT DISTINCT item_id FROM item_tags WHERE item_id IN (SELECT item_id FROM item_tags WHERE tag = 'red') AND item_id IN (SELECT item_id FROM item_tags WHERE tag = 'bolt') AND item_id NOT IN (SELECT item_id FROM item_tags WHERE tag IN ('gear', 'rating:general'))")
+add("bits_counted", lambda c: coded.counted(coded.combined(c.tag_bits, ["red"], ["gear"])), "SELECT count(DISTINCT item_id) AS n FROM item_tags WHERE tag = 'red' AND item_id NOT IN (SELECT item_id FROM item_tags WHERE tag = 'gear')")
+add("search_exclusions", lambda c: search.search(c, "-red -bolt"), "SELECT item_id, filepath FROM items WHERE item_id NOT IN (SELECT item_id FROM item_tags WHERE tag IN ('red', 'bolt')) AND NOT contains(filepath, 'red') AND NOT contains(filepath, 'bolt')")
+
 # --- graph ------------------------------------------------------------------
 
 

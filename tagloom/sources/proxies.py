@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.lineage import Scratch
+from tagloom.operators import coded
 from tagloom.sources.kept import forget, kept
 
 T = TypeVar("T")
@@ -78,6 +79,17 @@ class Catalog:
         """(word, item_id): items by tag in lower case, sorted, so that a condition on the word reads its row groups alone (OP-048)."""
         return self._bridge.select("word", "item_id")
 
+    @property
+    def tag_bits(self) -> DataFrame:
+        """(word, run, bits): the postings as words of 64 items, sorted (OP-047)."""
+        rows = lambda: coded.tag_bits(self.postings).sortWithinPartitions("word", "run")
+        return self.kept("tag-bits", lambda: Scratch(self.spark, "tag-bits").save(rows(), "bits"))
+
+    @property
+    def tag_dictionary(self) -> DataFrame:
+        """(word, tag_id): the tags numbered (OP-005)."""
+        return self.kept("tag-dictionary", lambda: Scratch(self.spark, "tag-dictionary").save(coded.tag_dictionary(self.item_tags), "words"))
+
     @property
     def tag_grams(self) -> DataFrame:
         """(gram, word): the tags in which each three characters occur, sorted by these (OP-050)."""

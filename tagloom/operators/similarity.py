@@ -102,6 +102,23 @@ def in_cells(rows: DataFrame, group: Column, blocks: int, both_ways: bool, solve
     return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side", "id").mapInArrow(solve, schema)
 
 
+def in_rectangle(own: DataFrame, others: DataFrame, group: Column, sizes: tuple[int, int], solve: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """As ``in_cells``, for two tables (id, v): each row of the one meets each row of its group in the other in one cell, the first table's rows on side 0.
+
+    sizes: how many blocks each table is cut into.  A row goes to as many cells
+    as the other table has blocks, so a short table makes few copies of a long one.
+    """
+
+    def dealt(rows: DataFrame, side: int) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.lit(sizes[side])).cast("int")
+        far = F.explode(F.sequence(F.lit(0), F.lit(sizes[1 - side] - 1)))
+        cut = rows.select(group.alias("g"), block.alias("block"), far.alias("far"), "id", "v")
+        i, j = ("block", "far") if side == 0 else ("far", "block")
+        return cut.select("g", F.col(i).alias("i"), (F.col(j) + sizes[0]).alias("j"), F.lit(side).alias("side"), "id", "v")  # no cell is (i, i)
+
+    return dealt(own, 0).unionByName(dealt(others, 1)).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side", "id").mapInArrow(solve, schema)
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], bool]]:
     """Each cell's (ids, vectors) of both sides, and whether they are one block; a cell may span batches."""
     held: list[pa.RecordBatch] = []
@@ -261,22 +278,69 @@ def _best_products(k: int, digits: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
+NEIGHBOURS = "source_id long, similar_id long, score double"
+
+
+def _unit(vectors: DataFrame) -> DataFrame:
+    """(id, v) of vectors of length one; null ones and those of length zero go."""
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    long = vectors.where("embedding is not null").select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), length.alias("len")).where("len > 0")
+    return long.select("id", F.transform("v", lambda x: x / F.col("len")).alias("v"))
+
+
+def _blocks(rows: DataFrame | int) -> int:
+    return max(1, -(-(rows if isinstance(rows, int) else rows.count()) // BLOCK))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "similar_id"))
+    return found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
+
+
 def neighbour_cache(vectors: DataFrame, k: int = 50, rows: int | None = None, sources: DataFrame | None = None, digits: int = 5) -> DataFrame:
     """(source_id, similar_id, score, rank) of each vector's k nearest by cosine, ties to the smaller id (OP-022, OP-106, OP-175).
 
     A cell of two blocks is one matrix product, of which each row gives its k
     best; what moves on is k rows per vector and block.  Vectors that are null
     or of length zero have no neighbours; different dimensions do not meet.
-    sources: (item_id) whose neighbours alone are wanted.
+    sources: (item_id) whose neighbours alone are wanted; only their rows are
+    then compared with all.
     """
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = vectors.where("embedding is not null").select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), length.alias("len")).where("len > 0").select("id", F.transform("v", lambda x: x / F.col("len")).alias("v"))
-    blocks = max(1, -(-(rows if rows is not None else vectors.count()) // BLOCK))
-    found = in_cells(unit, F.size("v"), blocks, True, _best_products(k, digits), "source_id long, similar_id long, score double")
-    if sources is not None:
-        found = found.join(sources.select(F.col("item_id").alias("source_id")), "source_id", "left_semi")
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "similar_id"))
-    return found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
+    unit = _unit(vectors)
+    blocks = _blocks(vectors if rows is None else rows)
+    if sources is None:
+        return _ranked(in_cells(unit, F.size("v"), blocks, True, _best_products(k, digits), NEIGHBOURS), k)
+    own = unit.join(sources.select(F.col("item_id").alias("id")), "id", "left_semi")
+    return _ranked(in_rectangle(own, unit, F.size("v"), (_blocks(own), blocks), _best_products(k, digits), NEIGHBOURS), k)
+
+
+def neighbours_maintained(cache: DataFrame, vectors: DataFrame, changed: DataFrame, k: int = 50, digits: int = 5) -> DataFrame:
+    """The neighbour cache after the vectors of some items (item_id) came, changed or went, equal to one made anew (OP-022, OP-175, OP-268).
+
+    cache: of the same k and digits, before; vectors: all, as they are now.
+    Other sources are compared with the changed vectors alone.  What
+    a list did not hold lies behind its old k-th place, so a list is whole as
+    long as k rows are at that place or before it; lists that are not, and
+    those of changed vectors, are made anew against all.
+    """
+    scratch, columns = Scratch(vectors.sparkSession, "neighbours"), ["source_id", "similar_id", "score"]
+    mine = scratch.save(changed.select(F.col("item_id").cast("long").alias("item_id")).where("item_id is not null").distinct(), "changed")
+    ids = lambda name: mine.select(F.col("item_id").alias(name))
+    unit = _unit(vectors)
+    fresh, still = unit.join(ids("id"), "id", "left_semi"), unit.join(ids("id"), "id", "left_anti")
+    met = in_rectangle(still, fresh, F.size("v"), (_blocks(vectors), _blocks(mine)), _best_products(k, digits), NEIGHBOURS)
+    others = cache.join(ids("source_id"), "source_id", "left_anti")
+    last = others.where(F.col("rank") == k).select("source_id", F.col("score").alias("last_score"), F.col("similar_id").alias("last_id"))
+    merged = scratch.save(others.join(ids("similar_id"), "similar_id", "left_anti").select(*columns).unionByName(met), "merged")
+    before = (F.col("score") > F.col("last_score")) | (F.col("score") == F.col("last_score")) & (F.col("similar_id") <= F.col("last_id"))
+    whole = merged.join(last, "source_id").where(before).groupBy("source_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = last.join(whole, "source_id", "left_anti").select(F.col("source_id").alias("item_id"))
+    redo = scratch.save(mine.unionByName(short), "redo")
+    anew = neighbour_cache(vectors, k, sources=redo, digits=digits)
+    others = _ranked(merged.join(redo.select(F.col("item_id").alias("source_id")), "source_id", "left_anti"), k)
+    made = scratch.save(others.unionByName(anew), "cache")  # written, so that edits upon edits do not pile up plans
+    scratch.drop("changed", "merged", "redo")
+    return made
 
 
 def cached_neighbours(cache: DataFrame, items: DataFrame, item_id: int, k: int, kind: str | None = None, exclude: DataFrame | None = None) -> DataFrame:

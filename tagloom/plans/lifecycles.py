@@ -405,6 +405,16 @@ def _cache(c: Catalog, k: int = 10) -> DataFrame:
 add("neighbours_read", lambda c: similarity.cached_neighbours(_cache(c), c.items, 7, 5, exclude=c.items.where("item_id % 3 = 0").select("item_id")), f"WITH {_NEAR}, x AS (SELECT similar_id, filepath, nr.score, row_number() OVER (ORDER BY rank) AS r FROM nr JOIN items ON item_id = similar_id WHERE source_id = 7 AND rank <= 10 AND similar_id % 3 <> 0) SELECT similar_id, filepath, score, CAST(r AS INTEGER) AS rank FROM x WHERE r <= 5")
 add("neighbours_replaced", lambda c: similarity.cache_replaced(_cache(c, 3), _cache(c, 3).where("source_id % 4 = 0").select("source_id", "similar_id", (F.col("score") / 2).alias("score")), c.raw("embeddings").where("vec_id % 4 = 0").select(F.col("vec_id").alias("item_id")), 2), f"WITH {_NEAR} SELECT source_id, similar_id, CASE WHEN source_id % 4 = 0 THEN score / 2 ELSE score END AS score, rank FROM nr WHERE rank <= CASE WHEN source_id % 4 = 0 THEN 2 ELSE 3 END")
 add("neighbours_of_some", lambda c: similarity.neighbour_cache(c.raw("embeddings"), 4, sources=c.raw("embeddings").where("vec_id < 20").select(F.col("vec_id").alias("item_id"))), f"WITH {_NEAR} SELECT source_id, similar_id, score, rank FROM nr WHERE rank <= 4 AND source_id < 20")
+
+
+def _vectors_edited(c: Catalog) -> DataFrame:
+    return c.raw("embeddings").where("vec_id % 23 <> 0").withColumn("embedding", F.expr("if(vec_id % 17 = 0, reverse(embedding), embedding)"))
+
+
+add(
+    "neighbours_maintained", lambda c: similarity.neighbours_maintained(_cache(c, 6), _vectors_edited(c), c.raw("embeddings").where("vec_id % 17 = 0 or vec_id % 23 = 0").select(F.col("vec_id").alias("item_id")), 6),
+    "WITH " + _NEAR.replace("FROM embeddings)", "FROM (SELECT vec_id, CASE WHEN vec_id % 17 = 0 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 23 <> 0) e)") + " SELECT source_id, similar_id, score, rank FROM nr WHERE rank <= 6",
+)
 add("neighbours_cleared", lambda c: similarity.cache_without(_cache(c, 3), c.raw("embeddings").where("vec_id % 4 = 0").select(F.col("vec_id").alias("item_id"))), f"WITH {_NEAR} SELECT source_id, similar_id, score, rank FROM nr WHERE rank <= 3 AND source_id % 4 <> 0 AND similar_id % 4 <> 0")
 add("neighbours_stats", lambda c: similarity.cache_stats(_cache(c, 3), c.raw("embeddings")), f"WITH {_NEAR} SELECT count(*) AS rows, count(DISTINCT source_id) AS sources, (SELECT count(*) FROM embeddings) AS items, CAST(100.0 AS DOUBLE) AS coverage, max(score) AS best, min(score) AS worst FROM nr WHERE rank <= 3")
 add("vectors_sound", lambda c: similarity.sound_vectors(c.raw("embeddings"), 64).select("vec_id"), "SELECT vec_id FROM embeddings WHERE len(embedding) = 64")

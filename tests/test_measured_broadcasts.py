@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions.lineage import GUESSED_BROADCAST, measured_broadcasts
-from tagloom.operators import health
+from tagloom.operators import health, similarity
 from tagloom.sources.proxies import Catalog
 
 GUESSED, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
@@ -45,3 +45,17 @@ def test_limits_of_a_session(spark, limits):
     spark.conf.set(GUESSED, "-1")
     measured_broadcasts(spark)
     assert spark.conf.get(GUESSED) == "-1" and spark.conf.get(MEASURED, None) is None
+
+
+def _sent(df):
+    """Columns of the exchanges of a plan."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+
+
+def test_pair_sums_move_numbers(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    pairs = c.pool_items.where("pool_id < 20").alias("x").join(c.pool_items.alias("y"), "pool_id").where("x.item_id < y.item_id").select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"))
+    for by_category in (False, True):
+        sums = similarity.pair_sums(c, pairs, by_category)
+        assert not [x for x in _sent(sums) if "tag#" in x]
+        assert sums.where("inter > own + 1e-9 or inter > other + 1e-9").count() == 0 < sums.where("inter > 0").count()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions.lineage import GUESSED_BROADCAST, measured_broadcasts
-from tagloom.operators import health, similarity
+from tagloom.operators import health, rating, similarity
 from tagloom.sources.proxies import Catalog
 
 GUESSED, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
@@ -59,3 +59,16 @@ def test_pair_sums_move_numbers(spark, sf_dir):
         sums = similarity.pair_sums(c, pairs, by_category)
         assert not [x for x in _sent(sums) if "tag#" in x]
         assert sums.where("inter > own + 1e-9 or inter > other + 1e-9").count() == 0 < sums.where("inter > 0").count()
+
+
+def test_pairs_of_tags_are_not_sent(spark):
+    """Pairs are laid out within an item's row; repeats count as often as they stand there, a null tag takes a place and no weight."""
+    found = spark.createDataFrame([(1, 0, t) for t in ("a", "b", "b", "c")] + [(2, 3, t) for t in ("a", "b")] + [(None, 0, "a"), (None, 0, "b"), (3, 1, None)], "item_id long, rating long, tag string")
+    got = {(r.tag1, r.tag2): (r.n, r["0"], r["3"]) for r in rating.pair_counts(found, 1, 1).collect()}
+    assert got == {("a", "b"): (3, 2, 1), ("a", "c"): (1, 1, 0), ("b", "c"): (2, 2, 0)}
+    tags = spark.createDataFrame([(1, None), (1, "a"), (1, "b"), (1, "c"), (1, "c"), (None, "a"), (None, "b")], "item_id long, tag string")
+    weights = spark.createDataFrame([("a", 0, 1.0, 1), ("c", 0, 10.0, 1)], "tag string, rating long, weight double, n long")
+    pairs = spark.createDataFrame([("a", "b", 0, 100.0, 1), ("b", "c", 0, 1000.0, 1), ("b", "a", 0, 5.0, 1)], "tag1 string, tag2 string, rating long, weight double, n long")
+    scored = rating.scores(tags, weights, pairs, 1.0, 3)
+    assert not [x for x in _sent(scored) if "k1#" in x or "tag1#" in x]
+    assert {r.item_id: r.score for r in scored.where("rating = 0").collect()} == {1: 111.0, None: 1.0}

@@ -64,3 +64,15 @@ def test_tags_in_a_list(spark):
     got = {(r.source, r.category, r.tag) for r in merge.extract_tags(spark.createDataFrame([(1, data)], "item_id long, data string")).collect()}
     assert {g for g in got if g[0] == "g"} >= {("g", "general", "red"), ("g", "general", "blue"), ("g", "general", "x")} and not any(set(t) & set('"],') for s, _, t in got if s == "g")
     assert {g for g in got if g[0] in "hj"} == {("j", "general", "red"), ("j", "general", "[blue]")}
+
+
+def test_word_index_moves_names_by_item_alone(spark):
+    """One exchange for each kind of name, none of words; rows are distinct though names, items and words repeat or are null."""
+    items = spark.createDataFrame([(1, "c1/Red.png"), (1, "c1/Red.png"), (1, "c2/x"), (2, None), (None, "c1/y")], "item_id long, filepath string")
+    tags = spark.createDataFrame([(1, "Red"), (1, "red"), (1, "red_(gear)"), (1, "red_(gear)"), (2, None), (2, ""), (None, "a b")], "item_id long, tag string")
+    index = search.text_index(items, tags)
+    moved = [line for line in index._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 2 and not [line for line in moved if "word#" in line]
+    assert sorted(map(tuple, index.collect()), key=repr) == sorted(
+        [(w, 1, "path") for w in ("c1", "c2", "png", "red", "x")] + [(w, None, "path") for w in ("c1", "y")] + [(w, 1, "tag") for w in ("gear", "red", "red_(gear)")] + [("", 2, "tag")] + [(w, None, "tag") for w in ("a", "a b", "b")], key=repr
+    )

@@ -72,3 +72,10 @@ def test_pairs_of_tags_are_not_sent(spark):
     scored = rating.scores(tags, weights, pairs, 1.0, 3)
     assert not [x for x in _sent(scored) if "k1#" in x or "tag1#" in x]
     assert {r.item_id: r.score for r in scored.where("rating = 0").collect()} == {1: 111.0, None: 1.0}
+
+
+def test_a_generous_session_does_not_fill_the_driver(spark, limits):
+    """Joins of one query are broadcast at the same time, each several times its size in the driver."""
+    spark.conf.set(GUESSED, "200m")
+    measured_broadcasts(spark)
+    assert (spark.conf.get(GUESSED), spark.conf.get(MEASURED)) == (str(GUESSED_BROADCAST), str(10 * 1024 * 1024))

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import dml, health
+from tagloom.operators import dml, health, stats
+from tagloom.sources.proxies import Catalog
 
 
 def _plan(df):
@@ -28,3 +29,9 @@ def test_rows_of_gone_keys_leave(tables):
     for out in (dml.delete_cascade(rows, {"tags": rows}, gone, "item_id")[1]["tags"], health.cleanup({"items": rows.withColumn("filepath", F.lit("p")), "tags": rows}, gone, "delete")[0]["tags"]):
         assert "SortMergeJoin" not in _plan(out) and "ShuffledHashJoin" in _plan(out)
         assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(2, "a"), (None, "a"), (3, None)]))
+
+
+def test_predictions_of_holders(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    out = stats.prediction_crossref(c.predictions, c.item_tags, "red", 0.45, 5)
+    assert "SortMergeJoin" not in _plan(out) and "BroadcastHashJoin" not in _plan(out) and _plan(out).count("ShuffledHashJoin") == 2

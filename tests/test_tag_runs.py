@@ -5,9 +5,10 @@ import shutil
 import duckdb
 import pytest
 
+from tagloom.functions import lineage
 from tagloom.operators import coded, search
 from tagloom.plans.oracle import sql
-from tagloom.sources import kept
+from tagloom.sources import kept, proxies
 from tagloom.sources.proxies import Catalog
 from tests.oracle import connect, same
 
@@ -37,3 +38,27 @@ def test_rows_on_awkward_tables(spark, tmp_path):
     bits = {(r.word, r.item_id) for r in coded.laid_out(c.tag_bits).collect()}
     assert bits == set(con.execute(sql("SELECT DISTINCT lower(tag), item_id FROM item_tags WHERE tag IS NOT NULL AND item_id IS NOT NULL")).fetchall())
     assert c.tag_bits.groupBy("word", "run").count().where("count > 1").count() == 0
+
+
+def _dealt(plan):
+    """The columns of each exchange by a given number of partitions."""
+    below = [plan.children().apply(k) for k in range(plan.children().size())]
+    own = [sorted(plan.output().apply(k).name() for k in range(plan.output().size()))] if plan.nodeName() == "RepartitionByExpression" else []
+    return own + [x for p in below for x in _dealt(p)]
+
+
+def test_a_line_is_dealt_with_the_number_of_its_kind_alone(spark, sf_dir):
+    made = Catalog(spark, sf_dir).derived_tag_runs()
+    assert _dealt(made._jdf.queryExecution().optimizedPlan()) == [["item_id", "kind_id", "run"]]
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 1
+
+
+@pytest.mark.parametrize("most", [0, 3000])
+def test_rows_where_kinds_or_names_are_too_many_to_broadcast(spark, tmp_path, sf_dir, most, monkeypatch):
+    for name in ("orders", "lineitem", "part"):
+        shutil.copy(f"{sf_dir}/{name}.parquet", tmp_path / f"{name}.parquet")
+    for module in (lineage, proxies):
+        monkeypatch.setattr(module, "MAX_BROADCAST_ROWS", most)
+    c = Catalog(spark, str(tmp_path))
+    assert same(c.item_tags, connect(tmp_path), sql("SELECT item_id, tag, category FROM item_tags")) > 1000

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from tagloom.operators import similarity
+from tagloom.plans import lifecycles, registry
+from tagloom.sources.proxies import Catalog
 
 
 def frame(spark, v, kind="float"):
@@ -59,3 +61,17 @@ def test_streams_equal_plain_loops(spark, monkeypatch, k):
         s = sorted((-float(np.sign(d) * np.floor(abs(d) * 1e5 + 0.5) / 1e5) + 0.0, j) for h, x in unit if h == i for j, y in unit if j != i for d in [float(x @ y)])[:k]
         want += [(i, place, j, -x) for place, (x, j) in enumerate(s, 1)]
     assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=1e-9)
+
+
+@pytest.mark.parametrize("name", ["neighbours_read", "neighbours_replaced", "neighbours_cleared", "neighbours_stats"])
+def test_cache_is_made_once(spark, sf_dir, name):
+    """What reads a neighbour cache reads a written one, which holds all vectors' lists; vectors are not compared again for each use."""
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+    assert lifecycles._cache(Catalog(spark, sf_dir), 3).select("source_id").distinct().count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+
+
+def test_edits_read_the_cache_once(spark, sf_dir):
+    """Lists before an edit are needed three times, and vectors are compared with changed ones and for short lists alone."""
+    cache = lifecycles._cache(Catalog(spark, sf_dir), 6)
+    assert "MapInArrow" not in cache._jdf.queryExecution().executedPlan().toString()

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.operators import rating
 
@@ -56,3 +57,10 @@ def test_scores_equal_plain_loops(spark, little, monkeypatch, dense, most):
         scored = rating.scores(tags, weights, pairs, 1.5, most)
         assert (" explode(" in scored._jdf.queryExecution().analyzed().toString()) == many
         assert {(x.item_id, x.rating): x.score for x in scored.collect()} == pytest.approx(want)
+
+
+def test_model_is_trained_once(spark):
+    """Scores read the model three times; its pairs were counted anew for each."""
+    tags = spark.range(80).select(F.col("id").alias("item_id"), F.explode(F.array(F.lit("a"), F.lit("b"), F.when(F.col("id") % 2 == 0, "rating:general").otherwise("rating:explicit"))).alias("tag"))
+    for w in rating.train(tags):
+        assert "Aggregate" not in w._jdf.queryExecution().optimizedPlan().toString()

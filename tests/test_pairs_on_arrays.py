@@ -53,7 +53,7 @@ def test_scores_equal_plain_loops(spark, little, monkeypatch, dense, most):
         if any(x is not None for m in met for x in m):
             want |= {(i, k): sum(m[k] or 0 for m in met) for k in range(4)}
     for many in (False, True):  # more weights than are broadcast meet the pairs in a join
-        monkeypatch.setattr(rating, "MAX_BROADCAST_ROWS", 0 if many else 100_000)
+        monkeypatch.setattr(rating, "MAX_LOOKED_UP", 0 if many else 100_000)
         scored = rating.scores(tags, weights, pairs, 1.5, most)
         assert (" explode(" in scored._jdf.queryExecution().analyzed().toString()) == many
         assert {(x.item_id, x.rating): x.score for x in scored.collect()} == pytest.approx(want)
